@@ -42,6 +42,9 @@ class ByteBPE:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.token_bytes[i] = len(token)
         self.kept_words = kept_words
         self.words: dict[str, bytes] = {}
 
@@ -81,9 +84,11 @@ class ByteBPE:
         if not new:
             return
         (e,) = self.tokenizer.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(e.ids, "<u4").tobytes()
-        ends = np.searchsorted(np.array(e.word_ids), np.arange(1, len(new) + 1)) * 4
-        start = 0
+        ids = np.array(e.ids, "<u4")
+        # a byte-level token has a character for each byte: where the bytes of a word end, so do its ids
+        word_bytes = np.cumsum(np.fromiter((len(w.encode()) for w in new), np.int64, len(new)))
+        ends = (np.searchsorted(np.cumsum(self.token_bytes[ids]), word_bytes) + 1) * 4
+        ids, start = ids.tobytes(), 0
         for word, end in zip(new, ends.tolist(), strict=True):
             self.words[word] = ids[start:end]
             start = end
