@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_files
+from . import exact_dedup, packing, simhash, token_files
 
-QUERIES = {f.__name__: f for f in (packing.op1_packing, token_files.op2_token_files, exact_dedup.op4_exact_dedup)}
+QUERIES = {f.__name__: f for f in (packing.op1_packing, token_files.op2_token_files, exact_dedup.op4_exact_dedup, simhash.op5_simhash)}
 
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
