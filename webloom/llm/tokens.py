@@ -9,6 +9,7 @@ that holds a special token's string, goes to the library whole.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import unicodedata
 from functools import lru_cache
@@ -19,12 +20,22 @@ from tokenizers import Tokenizer
 #: The range in which both patterns' character classes agree, and the word pattern of byte-level BPE.
 PLAIN = r"[\t\n\r -~¡-¬®-ɏ]*"
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Words kept at most; when more come, the table starts anew (about 150 bytes a word).
-KEPT_WORDS = 500_000
+#: Words kept at most; when more come, the table starts anew (about 180 bytes a word).
+KEPT_WORDS = 800_000
 #: Words of a long text that are held at once.
 WORDS_AT_ONCE = 200_000
 
 
+def _alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable characters of Latin-1 stand for themselves, other bytes for U+0100 onwards."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+ALPHABET = _alphabet()
+
+
 def _class(kind: str) -> str:
     return "".join(c for c in map(chr, range(0xA1, 0x250)) if unicodedata.category(c)[0] == kind)
 
@@ -42,6 +53,9 @@ class ByteBPE:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.to_str())
+        #: the same merges, for words that are cut and spelt in the byte-level alphabet already
+        self.merger = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "added_tokens": []}))
         self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.token_bytes[i] = len(token)
@@ -83,10 +97,12 @@ class ByteBPE:
             new = list(set().union(*lists))
         if not new:
             return
-        (e,) = self.tokenizer.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)
+        # plain text has no zero byte; the byte-level alphabet has a character for each byte
+        cut = "\0".join(new).encode().decode("latin-1").translate(ALPHABET).split(ALPHABET[0])
+        (e,) = self.merger.encode_batch_fast([cut], is_pretokenized=True, add_special_tokens=False)
         ids = np.array(e.ids, "<u4")
-        # a byte-level token has a character for each byte: where the bytes of a word end, so do its ids
-        word_bytes = np.cumsum(np.fromiter((len(w.encode()) for w in new), np.int64, len(new)))
+        # where the bytes of a word end, so do its ids
+        word_bytes = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
         ends = (np.searchsorted(np.cumsum(self.token_bytes[ids]), word_bytes) + 1) * 4
         ids, start = ids.tobytes(), 0
         for word, end in zip(new, ends.tolist(), strict=True):
