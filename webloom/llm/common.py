@@ -37,11 +37,18 @@ def remove(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+#: Rows of a file of a small table.
+ROWS_A_FILE = 100_000
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    ``rows``: about how many rows it has, if known; then it gets files of ``ROWS_A_FILE`` rows, so many small partitions don't make many small files.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

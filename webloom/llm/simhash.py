@@ -23,7 +23,6 @@ null doc_id gets a row, but names no component unless the component has no other
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,19 +36,18 @@ from .common import documents, materialize, remove, slices, whole_text
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
-#: White space between words, and the generator x^11+x^9+x^7+x^6+x^5+x+1 of the Golay code.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Fixed value: the generator x^11+x^9+x^7+x^6+x^5+x+1 of the Golay code.
 GENERATOR = 0b101011100011
 #: Bits of the segments, lowest first.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 TILE = 2048
-_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Hashes counted at once.
 COUNTED = 1 << 16
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    words = WORD.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
+    # of bytes, lower touches A-Z alone and split cuts at [\x20\x09-\x0D]
+    words = text.encode().lower().split()
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
@@ -57,7 +55,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     counts = np.zeros(64, np.int64)
     for a in range(0, n, COUNTED):
         part = words[a : min(n, a + COUNTED) + shingle - 1]
-        grams = [" ".join(g) for g in zip(*(part[k:] for k in range(shingle)), strict=False)] if len(words) >= shingle else [" ".join(words)]
+        grams = [b" ".join(g) for g in zip(*(part[k:] for k in range(shingle)), strict=False)] if len(words) >= shingle else [b" ".join(words)]
         hashes = np.fromiter([h(g, SEED) for g in grams], np.uint64, len(grams))
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
@@ -243,10 +241,13 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> Da
     return found.distinct()
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """node and root (the smallest node of its component) for every node of ``edges`` (u, v); rounds of large-star and small-star."""
+def components(edges: DataFrame, label: str = "components", rows: int | None = None) -> DataFrame:
+    """node and root (the smallest node of its component) for every node of ``edges`` (u, v); rounds of large-star and small-star.
+
+    ``rows``: at least as many as ``edges`` has, if known; a round never has more edges than the one before.
+    """
     spark = edges.sparkSession
-    table, path = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v"), label)
+    table, path = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v"), label, rows)
     while True:
         # large-star: every neighbour above a node is hung on the least of the node and its neighbours
         both = table.union(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -256,7 +257,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         lowest = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(lowest, "v")
         nxt = small.select(F.col("m").alias("u"), "v").union(small.filter("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct()
-        nxt, nxt_path = materialize(nxt, label)
+        nxt, nxt_path = materialize(nxt, label, rows)
         # done when every edge hangs a node that hangs nothing on its only parent
         parents = nxt.groupBy("v").agg(F.count("*").alias("n"))
         inner = nxt.select(F.col("u").alias("v")).distinct().join(nxt.select("v"), "v", "left_semi").isEmpty()
@@ -273,7 +274,8 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
         raise ValueError("the keys find links of up to 3 bits")
     fps, _ = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(links(distinct, max_bits))
+    edges, _ = materialize(links(distinct, max_bits), "simhash-edges")
+    roots = components(edges, rows=edges.count())
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")
