@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, shared_path, slices, whole_text
+from .common import documents, shared_path, slices, whole_text
 from .tokens import byte_bpe
 
 MAGIC = b"WLPLANE1"
@@ -159,7 +159,7 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
     """Write the ids of all documents; gives a row a file: path, n_docs, n_tokens, first_id and start.
 
-    ``start`` counts the ids of all files before it. The list is kept in the shared folder.
+    ``start`` counts the ids of all files before it.
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "token-files")
@@ -185,7 +185,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, block: i
             yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64())]))
 
     ordered = whole_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    files, _ = materialize(ordered.mapInArrow(write, "path string, n_docs long, n_tokens long, first_id long"), "token-file-list")
+    schema = "path string, n_docs long, n_tokens long, first_id long"
+    # the names of the files alone, one row a task, as any committer gathers them; running the plan again would write again
+    files = spark.createDataFrame(ordered.mapInArrow(write, schema).collect(), schema)
     # one row a file, however many documents
     before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
