@@ -13,9 +13,9 @@ follows it over many pieces of text at once.
 
 Counts cover all training rows. N-grams are counted in each task, summed by Spark, and only the contexts above the
 share reach the driver. Unigram counts can't be bounded, so they never leave Spark: documents are dealt to buckets of
-about ``BUCKET_TOKENS`` tokens, each bucket asks for its distinct tokens (one row a token and bucket, so a
-common word is asked for once a bucket), and the answers, which name tokens by their place among the bucket's sorted
-tokens, meet the bucket's documents again.
+about ``BUCKET_TOKENS`` tokens, and each bucket asks once for each of its distinct tokens, however common. Questions
+go by parts of the token's hash, a compressed list of sorted tokens for each bucket and part; the answer is the list of
+their counts, which meets the bucket's documents again.
 
 Defined cases: null text counts as empty: the end token alone; with no training rows every count is 0 and all
 distributions are uniform; repeated rows are rows of the result each; an empty table gives no rows; other columns are ignored.
@@ -24,6 +24,7 @@ distributions are uniform; repeated rows are rows of the result each; an empty t
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,23 +32,28 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fold, materialize, slices, whole_text
 
-DEPTH = 6
-LEAST_SHARE = 1e-5
-LEAST_DIVERGENCE = 0.005
+DEPTH = 5
+LEAST_SHARE = 4e-6
+LEAST_DIVERGENCE = 0.01
+#: A symbol's least share of a context's occurrences; rarer ones follow the shorter context.
+LEAST_SYMBOL = 2e-4
 #: Weight of the shorter context's distribution, as a number of occurrences.
 SHRINK = 8.0
 FOLDS, HELD_OUT = 7, 2
 BUCKET_TOKENS = 1_000_000
 END = b"\n"
+#: Distinct training tokens whose counts one task looks up.
+PART_TOKENS = 200_000
 #: Symbols of a piece of text that is scored in step with others.
 LANE = 1024
 #: Distinct tokens or n-grams that a task counts before it hands them on.
-COUNTED = 1_000_000
+COUNTED = 2_000_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -158,34 +164,32 @@ class SuffixTree:
 
 
 def build(counts: pd.DataFrame, depth: int = DEPTH) -> SuffixTree:
-    """``counts``: rows (len, context, symbol, n) of every context above the share, and of the empty one (len 0)."""
+    """``counts``: rows (len, context, symbol, n, all) of every context above the share, and of the empty one (len 0).
+
+    ``all`` is the context's count. What its rows don't add up to is spread as the shorter context spreads it.
+    """
     seen_symbols = np.unique(counts.loc[counts["len"] == 0, "symbol"].to_numpy(np.int64))
     classes = np.zeros(256, np.int32)
     classes[seen_symbols] = np.arange(1, len(seen_symbols) + 1)
     width, unseen = len(seen_symbols) + 1, max(1, 256 - len(seen_symbols))
-    contexts: list[dict[int, np.ndarray]] = [{} for _ in range(depth + 1)]
+    uniform = np.full(width, 1 / 256, np.float32)
+    uniform[0] = unseen / 256
+    probability: list[dict[int, np.ndarray]] = [{0: uniform}] + [{} for _ in range(depth)]
+    kept: list[set[int]] = [{0}] + [set() for _ in range(depth)]
     for length, part in counts.groupby("len"):
         part = part.sort_values(["context", "symbol"])
         keys, first = np.unique(part["context"].to_numpy(np.int64), return_index=True)
-        symbol, n = classes[part["symbol"].to_numpy(np.int64)], part["n"].to_numpy(np.float32)
+        symbol, n, total = classes[part["symbol"].to_numpy(np.int64)], part["n"].to_numpy(np.float32), part["all"].to_numpy(np.float32)
+        mask = (1 << 8 * max(0, length - 1)) - 1
         for key, a, b in zip(keys.tolist(), first, [*first[1:], len(part)], strict=True):
-            contexts[length][key] = np.zeros(width, np.float32)
-            contexts[length][key][symbol[a:b]] = n[a:b]
-    uniform = np.full(width, 1 / 256, np.float32)
-    uniform[0] = unseen / 256
-    root = contexts[0].get(0, np.zeros(width, np.float32))
-    probability: list[dict[int, np.ndarray]] = [{0: (root + SHRINK * uniform) / (root.sum() + SHRINK)}] + [{} for _ in range(depth)]
-    kept: list[set[int]] = [{0}] + [set() for _ in range(depth)]
-    for length in range(1, depth + 1):
-        mask = (1 << 8 * (length - 1)) - 1
-        for key, n in contexts[length].items():
-            shorter = probability[length - 1][key & mask]  # at least as frequent, so it is there
-            probability[length][key] = (n + SHRINK * shorter) / (n.sum() + SHRINK)
-            found = n > 0
-            raw = n[found] / n.sum()
-            if float((raw * np.log(raw / shorter[found])).sum()) >= LEAST_DIVERGENCE:
+            shorter = probability[length - 1][key & mask] if length else uniform  # at least as frequent, so it is there
+            rest = SHRINK + total[a] - n[a:b].sum()
+            p = rest * shorter
+            p[symbol[a:b]] += n[a:b]
+            probability[length][key] = p / (total[a] + SHRINK)
+            raw = n[a:b] / n[a:b].sum()
+            if length and float((raw * np.log(raw / shorter[symbol[a:b]])).sum()) >= LEAST_DIVERGENCE:
                 kept[length].add(key)
-        contexts[length] = {}
     for length in range(depth, 1, -1):  # what a kept context ends in is kept
         mask = (1 << 8 * (length - 1)) - 1
         kept[length - 1] |= {key & mask for key in kept[length]}
@@ -229,8 +233,8 @@ def learn(rows: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE)
     each = each.groupBy("len", "context", "symbol").agg(F.sum("n").alias("n"))
     often = each.groupBy("len", "context").agg(F.sum("n").alias("all")).filter(F.col("all") >= max(1.0, least_share * total))
     # at most depth / least_share contexts of 256 symbols
-    found = each.join(often.select(F.col("len").alias("l"), F.col("context").alias("c")), (F.col("len") == F.col("l")) & (F.col("context") == F.col("c"))).select("len", "context", "symbol", "n")
-    return build(found.toPandas(), depth)
+    found = each.join(often, ["len", "context"]).filter((F.col("n") >= LEAST_SYMBOL * F.col("all")) | (F.col("len") == 0))
+    return build(found.select(F.col("len").cast("int").alias("len"), "context", "symbol", "n", "all").toPandas(), depth)
 
 
 # ---- scores ----
@@ -245,26 +249,39 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) ->
     tree = docs.sparkSession.sparkContext.broadcast(learn(training))
     floor = math.log10(n + (v + 1))
     buckets = int(max(1, -(-n // BUCKET_TOKENS)) * folds // max(1, folds - 1) + 1)
+    parts = int(-(-v // PART_TOKENS) or 1)
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
 
-    def distinct(texts: list[str]) -> list[bytes]:
-        return sorted(set().union([b""], *(tokens(t) for t in texts)))
+    def distinct(texts: list[str]) -> list[list[bytes]]:
+        """The distinct tokens by part, each sorted."""
+        out: list[list[bytes]] = [[] for _ in range(parts)]
+        for token in sorted(set().union([b""], *(tokens(t) for t in texts))):
+            out[zlib.crc32(token) % parts].append(token)
+        return out
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        words = distinct(table.column("text").to_pylist())
-        place = pa.array(np.arange(len(words), dtype=np.int32))
-        return pa.table({"token": pa.array(words, pa.binary()), "bucket": pa.array([key[0].as_py()] * len(words), pa.int32()), "place": place})
+        pack = zstandard.ZstdCompressor(level=1).compress
+        asked = [(k, pack(END.join(words))) for k, words in enumerate(distinct(table.column("text").to_pylist())) if words]
+        return pa.table({"part": pa.array([k for k, _ in asked], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(asked), pa.int32()), "tokens": pa.array([w for _, w in asked], pa.binary())})
+
+    def answer(questions: pa.Table, known: pa.Table) -> pa.Table:
+        pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        find = dict(zip(known.column("token").to_pylist(), known.column("c").to_pylist(), strict=True)).get
+        found = [pack(np.array([find(w, 0) for w in unpack(q).split(END)], "<i8").tobytes()) for q in questions.column("tokens").to_pylist()]
+        return pa.table([questions.column("bucket"), questions.column("part"), pa.array(found, pa.binary())], ["bucket", "part", "counts"])
 
-    asked = dealt.groupBy("bucket").applyInArrow(ask, "token binary, bucket int, place int")
-    answers = asked.join(counts, "token").select("bucket", "place", "c")
+    asked = dealt.groupBy("bucket").applyInArrow(ask, "part int, bucket int, tokens binary")
+    known = counts.withColumn("part", (F.crc32("token") % parts).cast("int"))
+    answers = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, "bucket int, part int, counts binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+        unpack = zstandard.ZstdDecompressor().decompress
         texts = left.column("text").to_pylist()
         words = distinct(texts)
-        logs = np.zeros(len(words))
-        logs[right.column("place").to_numpy()] = np.log10(right.column("c").to_numpy() + 1.0)
-        known = dict(zip(words, logs.tolist(), strict=True))
+        logs: dict[bytes, float] = {}
+        for k, packed in zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), strict=True):
+            logs.update(zip(words[k], np.log10(np.frombuffer(unpack(packed), "<i8") + 1.0).tolist(), strict=True))
         del words
         out: list[tuple] = []
         doc_ids = left.column("doc_id").to_pylist()
@@ -276,8 +293,8 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) ->
                 b += 1
             cut = [tokens(t) for t in texts[a:b]]
             for i, ws, s in zip(doc_ids[a:b], cut, tree.value.score(cut).tolist(), strict=True):
-                found = [known[w] for w in ws]
-                found.append(known[b""])
+                found = [logs[w] for w in ws]
+                found.append(logs[b""])
                 out.append((i, len(found), len(found) - found.count(0.0), math.fsum(found) - len(found) * floor, s))
             a = b
         types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
