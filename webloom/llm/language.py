@@ -117,7 +117,7 @@ def train(docs: DataFrame, folds: int = FOLDS) -> Languages:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "gram", "n"])
 
     # at most 2**BITS rows a language
-    table = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    table = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     names = sorted(table["lang"].unique())
     counts = np.zeros((1 << BITS, len(names)))
     for k, name in enumerate(names):

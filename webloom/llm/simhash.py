@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, remove, slices, whole_text
@@ -62,14 +62,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer."""
+    """doc_id, the text's length n and hash, and fp, the fingerprint as a signed 64-bit integer."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096, 16 << 20):
             fps = np.fromiter((fingerprint(t, shingle) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("hash"), pa.array(fps.view(np.int64))], ["doc_id", "n", "hash", "fp"])
 
-    return whole_text(docs).mapInArrow(compute, "doc_id long, fp long")
+    rows = whole_text(docs).select("doc_id", "text", F.length("text").alias("n"), F.xxhash64("text").alias("hash"))
+    return rows.mapInArrow(compute, "doc_id long, n int, hash long, fp long")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -268,8 +269,8 @@ def components(edges: DataFrame, label: str = "components", rows: int | None = N
             return table.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint and component_id of every row."""
+def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, n, hash, fp and component_id of every row."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the keys find links of up to 3 bits")
     fps, _ = materialize(fingerprints(docs, shingle), "fingerprints")
@@ -278,8 +279,28 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     roots = components(edges, rows=edges.count())
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    return fps.join(classes, fps["fp"] == classes["class_fp"]).select("doc_id", hex16(fps["fp"]).alias("fingerprint"), "component_id")
+    named = rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")
+    return fps.join(named, fps["fp"] == named["class_fp"]).drop("class_fp")
+
+
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row."""
+    return classes(docs, shingle, max_bits).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """Of each component the row with the longest text, then the smallest doc_id stays, with all columns of ``docs``.
+
+    The row that stays is found by an aggregate over ids and lengths alone; the texts are shuffled once, to be filtered.
+    Of rows repeated with one doc_id and one text one stays.
+    """
+    best = F.max(F.struct("n", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus_id"), "hash"))
+    ranked = classes(docs, shingle, max_bits).groupBy("component_id").agg(best.alias("best"))
+    stay = ranked.select((-F.col("best.minus_id")).alias("_stay_id"), F.col("best.hash").alias("_stay_hash"))
+    keyed = docs.withColumns({"_row_id": F.col("doc_id").cast("long"), "_row_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = keyed.join(stay, keyed["_row_id"].eqNullSafe(stay["_stay_id"]) & (keyed["_row_hash"] == stay["_stay_hash"]), "left_semi")
+    order = Window.partitionBy("_row_id", "_row_hash").orderBy("_row_hash")
+    return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(docs.columns)
 
 
 def hex16(fp: Column) -> Column:

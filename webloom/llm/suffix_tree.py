@@ -234,7 +234,7 @@ def learn(rows: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE)
     often = each.groupBy("len", "context").agg(F.sum("n").alias("all")).filter(F.col("all") >= max(1.0, least_share * total))
     # at most depth / least_share contexts of 256 symbols
     found = each.join(often, ["len", "context"]).filter((F.col("n") >= LEAST_SYMBOL * F.col("all")) | (F.col("len") == 0))
-    return build(found.select(F.col("len").cast("int").alias("len"), "context", "symbol", "n", "all").toPandas(), depth)
+    return build(found.select(F.col("len").cast("int").alias("len"), "context", "symbol", "n", "all").toArrow().to_pandas(), depth)
 
 
 # ---- scores ----

@@ -108,15 +108,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         return Classifier(np.zeros(1 << BITS, np.float32), {0: -700.0, 1: 700.0}.get(next(iter(totals), 0), -700.0))
     each = spread_rows.select("label", F.explode(F.arrays_zip("f", "n")).alias("x")).select("label", F.col("x.f").alias("f"), F.col("x.n").alias("n"))
     counts = each.groupBy("f").agg(F.sum(F.col("n") * F.col("label")).alias("p"), F.sum(F.col("n") * (1 - F.col("label"))).alias("q"), F.count("*").alias("rows"))
-    table = counts.filter(F.col("rows") >= LEAST_ROWS).toPandas()  # at most 2**BITS rows
+    table = counts.filter(F.col("rows") >= LEAST_ROWS).toArrow().to_pandas()  # at most 2**BITS rows
     p, q, ratio = table["p"].to_numpy(float), table["q"].to_numpy(float), np.zeros(1 << BITS)
     size = 1 << BITS
     log = np.log((p + SMOOTHING) / (p.sum() + SMOOTHING * size)) - np.log((q + SMOOTHING) / (q.sum() + SMOOTHING * size))
     keep = np.abs(log) >= LEAST_RATIO
     ratio[table["f"].to_numpy()[keep]] = log[keep]
     kept = spark.createDataFrame([(int(f),) for f in np.nonzero(ratio)[0]], "f int")
-    small = each_of(spread_rows).join(F.broadcast(kept), "f").toPandas()  # kept features of the sample's rows
-    ids = spread_rows.select("doc_id", "label").toPandas().drop_duplicates("doc_id")
+    small = each_of(spread_rows).join(F.broadcast(kept), "f").toArrow().to_pandas()  # kept features of the sample's rows
+    ids = spread_rows.select("doc_id", "label").toArrow().to_pandas().drop_duplicates("doc_id")
     ids = ids.sort_values("doc_id").reset_index(drop=True)
     row = ids["doc_id"].searchsorted(small["doc_id"]).astype(np.int64)
     order = np.lexsort((small["f"].to_numpy(), row))
@@ -145,6 +145,23 @@ def toxicity(docs: DataFrame, model: Classifier) -> DataFrame:
     return whole_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, model: Classifier) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't call toxic, with all their columns; one pass, without a shuffle."""
+    name = uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        table = worker_table(name, held.rate)
+        for batch in batches:
+            for part in slices([pa.RecordBatch.from_arrays([batch.column(place), pa.array(np.arange(batch.num_rows))], ["text", "row"])]):
+                clean = [s < 0.5 for s in held.score([t or "" for t in part.column("text").to_pylist()], table)]
+                yield batch.slice(part.column("row")[0].as_py(), part.num_rows).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def worker_table(name: str, rate) -> WordTable:
     """A worker keeps the words of one model from task to task."""
     if name not in _tables:
