@@ -22,8 +22,8 @@ from webloom.deploy import ship
 from webloom.llm import exact_dedup, packing, pii, simhash, toxicity
 from webloom.llm.common import materialize
 
-#: Words in a shingle of the near-copy stage.
-SHINGLE = 5
+#: Words in a shingle of the near-copy stage, as the contract of the SimHash operator has them (links of 3 or fewer of 64 bits).
+SHINGLE = 3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
