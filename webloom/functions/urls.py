@@ -37,7 +37,7 @@ def absolute_url(base: Column, href: Column) -> Column:
     """``href`` against ``base``, without one trailing slash; the forms that need no dot segments, in the JVM.
 
     Covers absolute, scheme-relative, root-relative, query, fragment, empty and plain relative references. A reference
-    with ``.`` or ``..`` segments is resolved by :func:`remove_dots`.
+    with ``.`` or ``..`` segments is resolved by :func:`remove_dots`. A query alone goes to the base's folder, not its file.
     """
     root, bare = site_root(base), F.regexp_replace(base, "[?#].*$", "")
     folder = F.when(bare.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*$"), F.concat(bare, F.lit("/"))).otherwise(F.regexp_replace(bare, "[^/]*$", ""))

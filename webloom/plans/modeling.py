@@ -27,7 +27,8 @@ MODEL_SCHEMA = "site string, row_kind string, class_name string, url string, xpa
 
 def absolute(base: str, href: str) -> str:
     try:
-        return urljoin(base if urlsplit(base).path else base + "/", href).removesuffix("/")
+        rooted = base if urlsplit(base).path else base + "/"
+        return urljoin(rooted, "./" + href if href.startswith("?") else href).removesuffix("/")
     except ValueError:
         return ""
 
