@@ -40,8 +40,8 @@ def _class(kind: str) -> str:
     return "".join(c for c in map(chr, range(0xA1, 0x250)) if unicodedata.category(c)[0] == kind)
 
 
-_LETTERS, _NUMBERS = "A-Za-z" + _class("L"), "0-9" + _class("N")
-_WORD = re.compile("|".join([*(f"'{c}" for c in CONTRACTIONS), f" ?[{_LETTERS}]+", f" ?[{_NUMBERS}]+", rf" ?[^\s{_LETTERS}{_NUMBERS}]+", r"\s+(?!\S)", r"\s+"]))
+LETTERS, NUMBERS = "A-Za-z" + _class("L"), "0-9" + _class("N")
+_WORD = re.compile("|".join([*(f"'{c}" for c in CONTRACTIONS), f" ?[{LETTERS}]+", f" ?[{NUMBERS}]+", rf" ?[^\s{LETTERS}{NUMBERS}]+", r"\s+(?!\S)", r"\s+"]))
 _PLAIN = re.compile(PLAIN)
 
 

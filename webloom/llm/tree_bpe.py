@@ -12,6 +12,11 @@ word pattern reads no further back than the start of a match. Each adjacent pair
 other in one of three right encodings (left, window, right), since the two anchors belong to two of them each. A
 window that has grown over both sides is the text itself.
 
+The leaves of all long texts of a batch go to the library in one call. It uses several threads once ``THREADED``
+characters are there; below that, tasks are parallel enough and threads would only wait for each other. Short texts
+are not cut; those of plain characters share a table of the ids of words met before, and each new word goes to the
+library once.
+
 Characters are normalised once over the whole text by the library's normaliser (composition, white space, lower case),
 because a cut must not fall between characters that it would join. Strings of special tokens are found before that,
 as the library does, and are not cut. Decoding gives the library's decode; of a long list of ids the parts are decoded
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,11 +41,20 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from .common import documents, slices, whole_text
+from .tokens import ALPHABET, LETTERS, NUMBERS
 
 LEAF = 8192
 WINDOW = 48
 #: Ids that are decoded in one call.
 DECODED = 1 << 16
+#: Characters of long texts in a batch from which the library's threads are used.
+THREADED = 1 << 20
+#: Words kept at most; when more come, the table starts anew.
+KEPT_WORDS = 400_000
+#: The pattern of words, within the range of characters where both libraries' classes agree.
+PLAIN = re.compile(r"[\t\n\r -~¡-¬®-įı-ɏ]*")
+WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+END_OF_WORD = "</w>"
 
 Span = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, starts, ends, in characters of the whole text
 
@@ -58,12 +73,25 @@ class TreeBPE:
         special = sorted((t.content for t in self.whole.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.joins_by_space = self.whole.decoder is None
+        #: merges alone, for words that are cut and spelt in the byte-level alphabet already
+        self.merger = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": None}))
+        self.merger.no_truncation()
+        self.merger.no_padding()
+        self.is_end = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, i in self.whole.get_vocab().items():
+            self.is_end[i] = token.endswith(END_OF_WORD)
+        self.words: dict[str, bytes] | None = {} if spec["model"].get("end_of_word_suffix") == END_OF_WORD else None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text: short ones by the library as they are, long ones by tree concatenation."""
         out: list = [None] * len(texts)
         short = [i for i, t in enumerate(texts) if len(t) <= self.leaf]
-        for i, e in zip(short, self.whole.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
+        plain = [i for i in short if self.words is not None and PLAIN.fullmatch(texts[i]) and not (self.special and self.special.search(texts[i]))]
+        for i, ids in zip(plain, self._by_words([WORD.findall(texts[i].lower()) for i in plain]), strict=True):
+            out[i] = ids
+        rest = [i for i in short if out[i] is None]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        for i, e in zip(rest, self.whole.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.int64)
         long = [i for i in range(len(texts)) if out[i] is None]
         sections: list[tuple[int, str]] = []
@@ -80,8 +108,26 @@ class TreeBPE:
             out[i] = np.concatenate([np.zeros(0, np.int64), *(encoded[p] if isinstance(p, int) else p for p in known[i])])
         return out
 
+    def _by_words(self, lists: list[list[str]]) -> list[np.ndarray]:
+        new = list(set().union(*lists).difference(self.words))
+        if len(self.words) + len(new) > KEPT_WORDS:
+            self.words = {}
+            new = list(set().union(*lists))
+        if new:
+            # plain text has no zero byte; the byte-level alphabet has a character for each byte
+            spelt = "\0".join(new).encode().decode("latin-1").translate(ALPHABET).split(ALPHABET[0])
+            (e,) = self.merger.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            ends, ids, start = ((np.nonzero(self.is_end[ids])[0] + 1) * 4).tolist(), ids.tobytes(), 0
+            for word, end in zip(new, ends, strict=True):
+                self.words[word] = ids[start:end]
+                start = end
+        known = self.words
+        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4").astype(np.int64) for words in lists]
+
     def _spans(self, parts: list[tuple[str, int]]) -> list[Span]:
         """Encodings of pieces of text that begin at the given characters."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if sum(len(p) for p, _ in parts) >= THREADED else "false"
         got = self.bare.encode_batch([p for p, _ in parts], add_special_tokens=False)
         out = []
         for e, (_, at) in zip(got, parts, strict=True):
@@ -144,6 +190,7 @@ class TreeBPE:
                 parts.append(x[a : a + step].tolist())
                 owner.append(i)
         texts: list[list[str]] = [[] for _ in ids]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for i, t in zip(owner, self.whole.decode_batch(parts, skip_special_tokens=False), strict=True):
             texts[i].append(t)
         return [" ".join(t) for t in texts]
