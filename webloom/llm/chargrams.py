@@ -13,6 +13,8 @@ _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 def grams(words: list[str], sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (below 2**bits) of the n-grams of each word between blanks, and the word that each belongs to."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = " " + " ".join(words) + " "
     flat = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     blanks = np.concatenate([[0], np.cumsum(flat == 32)])

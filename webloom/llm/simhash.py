@@ -270,7 +270,7 @@ def components(edges: DataFrame, label: str = "components", rows: int | None = N
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, n, hash, fp and component_id of every row."""
+    """doc_id, n, hash, fp, root (the component's smallest fingerprint) and component_id of every row."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the keys find links of up to 3 bits")
     fps, _ = materialize(fingerprints(docs, shingle), "fingerprints")
@@ -279,7 +279,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -
     roots = components(edges, rows=edges.count())
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")
+    named = rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "root", "component_id")
     return fps.join(named, fps["fp"] == named["class_fp"]).drop("class_fp")
 
 
@@ -295,7 +295,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MA
     Of rows repeated with one doc_id and one text one stays.
     """
     best = F.max(F.struct("n", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus_id"), "hash"))
-    ranked = classes(docs, shingle, max_bits).groupBy("component_id").agg(best.alias("best"))
+    ranked = classes(docs, shingle, max_bits).groupBy("root").agg(best.alias("best"))
     stay = ranked.select((-F.col("best.minus_id")).alias("_stay_id"), F.col("best.hash").alias("_stay_hash"))
     keyed = docs.withColumns({"_row_id": F.col("doc_id").cast("long"), "_row_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
     kept = keyed.join(stay, keyed["_row_id"].eqNullSafe(stay["_stay_id"]) & (keyed["_row_hash"] == stay["_stay_hash"]), "left_semi")

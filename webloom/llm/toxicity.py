@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     spread_rows, _ = materialize(rows.mapInArrow(spread, "doc_id long, label int, f array<int>, n array<int>"), "toxicity-sample")
     totals = {y: n for y, n in spread_rows.groupBy("label").count().collect()}
     if len(totals) < 2:
-        return Classifier(np.zeros(1 << BITS, np.float32), {0: -700.0, 1: 700.0}.get(next(iter(totals), 0), -700.0))
+        return Classifier(np.zeros(1 << BITS, np.float32), {0: -1000.0, 1: 1000.0}.get(next(iter(totals), 0), -1000.0))
     each = spread_rows.select("label", F.explode(F.arrays_zip("f", "n")).alias("x")).select("label", F.col("x.f").alias("f"), F.col("x.n").alias("n"))
     counts = each.groupBy("f").agg(F.sum(F.col("n") * F.col("label")).alias("p"), F.sum(F.col("n") * (1 - F.col("label"))).alias("q"), F.count("*").alias("rows"))
     table = counts.filter(F.col("rows") >= LEAST_ROWS).toArrow().to_pandas()  # at most 2**BITS rows
