@@ -8,6 +8,8 @@ import numpy as np
 
 #: Words kept at most in a worker's table; when more come it starts anew.
 KEPT_WORDS = 300_000
+#: Words whose n-grams are held at once.
+RATED = 20_000
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,7 +55,7 @@ class WordTable:
             new = set().union(*lists)
         if new:
             new = list(new)
-            rows = self.rate(new)
+            rows = np.concatenate([self.rate(new[a : a + RATED]) for a in range(0, len(new), RATED)])
             at = len(self.index)
             self.index.update(zip(new, range(at, at + len(new)), strict=True))
             if self.rows is None:

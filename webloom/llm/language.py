@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chargrams import WordTable, grams
+from .chargrams import RATED, WordTable, grams
 from .common import documents, fold, slices
 from .toxicity import worker_table
 
@@ -109,9 +109,10 @@ def train(docs: DataFrame, folds: int = FOLDS) -> Languages:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words[lang].update(WORDS.findall(text.lower()))
             for lang, counts in words.items():
-                if counts:
-                    h, owner = grams(list(counts), SIZES, BITS)
-                    held[lang] += np.bincount(h, weights=np.fromiter(counts.values(), np.float64, len(counts))[owner], minlength=1 << BITS).astype(np.int64)
+                known, times = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
+                for a in range(0, len(known), RATED):
+                    h, owner = grams(known[a : a + RATED], SIZES, BITS)
+                    held[lang] += np.bincount(h, weights=times[a : a + RATED][owner], minlength=1 << BITS).astype(np.int64)
         for lang, n in held.items():
             at = np.nonzero(n)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "gram", "n"])
