@@ -91,19 +91,38 @@ def model_cost(links: DataFrame, urls: DataFrame, labels: DataFrame | None = Non
     return class_costs(links, urls, labels).agg(F.sum("cost").alias("cost"))
 
 
+def path_counts(links: DataFrame) -> DataFrame:
+    """(class_id, xpath, n): pages of the class with the path. All that a class's cost needs besides its size and URLs."""
+    return links.groupBy("class_id", "xpath").agg(F.countDistinct("page").alias("n"))
+
+
 def merge_deltas(links: DataFrame, urls: DataFrame, pairs: DataFrame) -> DataFrame:
     """What merging each pair (a, b) of classes adds to the model's cost; merging pays where it is negative.
 
-    Costs add up over classes, so only the pair's own costs enter. Frequencies over all pages stay as they are.
+    Costs add up over classes, so only the pair's own costs enter, and a class's cost follows from its path counts: the
+    price of each path, once for the class and once for each page, less a fifth for the pages that have it. So a
+    pair costs as many rows as its two classes have paths, however many pages they have. Frequencies over all
+    pages stay as they are.
     """
     base = idf(links.select("page", "xpath"))
-    single = class_costs(links, urls, weights=weighted(links, base))
-    both = pairs.select("a", "b", F.concat_ws("+", "a", "b").alias("class_id"))
-    merged = links.join(both.select("class_id", F.explode(F.array("a", "b")).alias("_c")).withColumnRenamed("class_id", "_m"), F.col("class_id") == F.col("_c")).select(F.col("_m").alias("class_id"), "page", "xpath")
-    joint = class_costs(merged, urls, weights=weighted(merged, base))
-    rows = both.join(joint, "class_id").withColumnRenamed("cost", "joint")
-    rows = rows.join(single.select(F.col("class_id").alias("a"), F.col("cost").alias("ca")), "a").join(single.select(F.col("class_id").alias("b"), F.col("cost").alias("cb")), "b")
-    return rows.select("a", "b", (F.col("joint") - F.col("ca") - F.col("cb")).alias("delta"))
+    counts = path_counts(links).join(base, "xpath")
+    of_page = links.select("class_id", "page").distinct().join(urls, "page", "left")
+    sizes = of_page.groupBy("class_id").agg(F.count("*").alias("size"), F.sum(COST_URL * F.coalesce("n", F.lit(0))).alias("urls"))
+
+    def cost(size: Column) -> Column:
+        price = 1 / (F.col("n") / size * F.col("idf") + 1)
+        return F.sum(price * (1 + COST_PATH * size - (COST_PATH - COST_SHARED) * F.col("n")))
+
+    single = counts.join(sizes, "class_id").groupBy("class_id", "size", "urls").agg(cost(F.col("size")).alias("cost"))
+    both = pairs.select("a", "b")
+    for side in ("a", "b"):
+        both = both.join(single.select(F.col("class_id").alias(side), F.col("size").alias(f"size_{side}"), F.col("cost").alias(f"cost_{side}")), side)
+    keys = ["a", "b", "size_a", "size_b", "cost_a", "cost_b"]
+    members = both.select(*keys, F.explode(F.array("a", "b")).alias("class_id"))
+    joint = members.join(counts, "class_id").groupBy(*keys, "xpath").agg(F.sum("n").alias("n"), F.first("idf").alias("idf"))
+    merged = joint.groupBy(*keys).agg(cost(F.col("size_a") + F.col("size_b")).alias("joint"))
+    # the URLs' cost is the same before and after
+    return merged.select("a", "b", (F.col("joint") - F.col("cost_a") - F.col("cost_b")).alias("delta"))
 
 
 def weighted(links: DataFrame, frequency: DataFrame) -> DataFrame:
