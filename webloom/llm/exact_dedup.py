@@ -23,13 +23,20 @@ from .common import documents, whole_text
 SPACE = " \t\n\x0b\x0c\r"
 
 
+def without_space(text: Column) -> Column:
+    """Six plain replacements; they search bytes, where translate would look up every character."""
+    for c in SPACE:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
 def exact_dedup(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row. ``hashed`` may be weakened to test collisions."""
-    plain = F.translate("text", SPACE, "")
+    plain = without_space(F.col("text"))
     rows = whole_text(docs).select("doc_id", plain.alias("plain"), F.length("text").alias("n"))
     keyed = rows.withColumn("h", hashed(F.col("plain")))
     best = F.max(F.struct(F.col("n"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus_id")))
@@ -44,7 +51,7 @@ def exact_dedup(docs: DataFrame, hashed: Callable[[Column], Column] = content_ha
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, one for each text, with all columns of ``docs``; of rows repeated as a whole one stays."""
     stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
-    keyed = docs.withColumns({"_row_id": F.col("doc_id").cast("long"), "_row_sha": F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACE, ""), 256)})
+    keyed = docs.withColumns({"_row_id": F.col("doc_id").cast("long"), "_row_sha": F.sha2(without_space(F.coalesce("text", F.lit(""))), 256)})
     on = keyed["_row_id"].eqNullSafe(stay["_stay_id"]) & (keyed["_row_sha"] == stay["_stay_sha"])
     # the longest original of a doc_id that occurs with several texts of one class
     order = Window.partitionBy("_row_id", "_row_sha").orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
