@@ -20,30 +20,35 @@ from pyspark.sql import functions as F
 
 from webloom.deploy import ship
 from webloom.llm import exact_dedup, packing, pii, simhash, toxicity
-from webloom.llm.common import materialize
+from webloom.llm.common import materialize, small_batches
 
 #: Words in a shingle of the near-copy stage, as the contract of the SimHash operator has them (links of 3 or fewer of 64 bits).
 SHINGLE = 3
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def ready(spark: SparkSession) -> None:
     ship(spark)
+    small_batches(spark)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return simhash.drop_near_copies(docs, SHINGLE)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     masked = pii.mask_pii(docs)
     return masked.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else masked
 
@@ -51,7 +56,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ship(spark)
+    ready(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,7 +52,19 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> tuple[Dat
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of whole texts that go to a Python worker at once.
+ROWS_A_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: batches of Spark's default 10,000 rows would take tens of megabytes several times over. A setting of one's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ROWS_A_BATCH))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -67,6 +79,17 @@ def fold(id_col: Column | str, folds: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time, so stages that follow each other don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most ``rows`` rows and, beyond one row, about ``size`` bytes of ``text``."""
     for batch in batches:

@@ -12,16 +12,17 @@ import itertools
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import held
+
 #: The range in which both patterns' character classes agree, and the word pattern of byte-level BPE.
 PLAIN = r"[\t\n\r -~¡-¬®-ɏ]*"
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Words kept at most; when more come, the table starts anew (about 180 bytes a word).
-KEPT_WORDS = 800_000
+KEPT_WORDS = 600_000
 #: Words of a long text that are held at once.
 WORDS_AT_ONCE = 200_000
 
@@ -110,7 +111,6 @@ class ByteBPE:
             start = end
 
 
-@lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBPE:
-    """One encoder for each Python worker and file."""
-    return ByteBPE(path)
+    """A Python worker's encoder."""
+    return held(("byte_bpe", path), lambda: ByteBPE(path))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chargrams import WordTable, grams
-from .common import documents, fold, materialize, slices, whole_text
+from .common import documents, fold, held, materialize, slices, whole_text
 
 SIZES = (4, 5, 6)
 BITS = 19
@@ -127,19 +127,16 @@ def each_of(rows: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["doc_id"]).select("doc_id", F.explode(F.arrays_zip("f", "n")).alias("x")).select("doc_id", F.col("x.f").alias("f"), F.col("x.n").alias("n"))
 
 
-_tables: dict[str, WordTable] = {}
-
-
 def toxicity(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, score and predicted of every row."""
     name = uuid.uuid4().hex  # of this model's words in the workers
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        table = worker_table(name, held.rate)
+        model = shared.value
+        table = worker_table(name, model.rate)
         for batch in slices(batches):
-            scores = held.score(batch.column("text").to_pylist(), table)
+            scores = model.score(batch.column("text").to_pylist(), table)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
 
     return whole_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -152,11 +149,11 @@ def drop_toxic(docs: DataFrame, model: Classifier) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        table = worker_table(name, held.rate)
+        model = shared.value
+        table = worker_table(name, model.rate)
         for batch in batches:
             for part in slices([pa.RecordBatch.from_arrays([batch.column(place), pa.array(np.arange(batch.num_rows))], ["text", "row"])]):
-                clean = [s < 0.5 for s in held.score([t or "" for t in part.column("text").to_pylist()], table)]
+                clean = [s < 0.5 for s in model.score([t or "" for t in part.column("text").to_pylist()], table)]
                 yield batch.slice(part.column("row")[0].as_py(), part.num_rows).filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)
@@ -164,10 +161,7 @@ def drop_toxic(docs: DataFrame, model: Classifier) -> DataFrame:
 
 def worker_table(name: str, rate) -> WordTable:
     """A worker keeps the words of one model from task to task."""
-    if name not in _tables:
-        _tables.clear()
-        _tables[name] = WordTable(rate)
-    return _tables[name]
+    return held(("words", name), lambda: WordTable(rate))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

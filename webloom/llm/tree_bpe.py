@@ -33,14 +33,13 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import documents, slices, whole_text
+from .common import documents, held, slices, whole_text
 from .tokens import ALPHABET, LETTERS, NUMBERS
 
 LEAF = 8192
@@ -196,9 +195,9 @@ class TreeBPE:
         return [" ".join(t) for t in texts]
 
 
-@lru_cache(maxsize=2)
 def tree_bpe(path: str) -> TreeBPE:
-    return TreeBPE(path)
+    """A Python worker's encoder."""
+    return held(("tree_bpe", path), lambda: TreeBPE(path))
 
 
 def encode_decode(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
