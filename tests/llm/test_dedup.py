@@ -116,7 +116,7 @@ def test_links_of_dense_groups(spark, tile):
                 f ^= 1 << b
             fps.add(f)
     signed = {f - (1 << 64) if f >> 63 else f: f for f in fps}
-    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), tile=tile)
+    edges = simhash.links(spark.createDataFrame([(f, [f]) for f in signed], "node long, fps array<long>"), tile=tile)
     found = {(signed[r["u"]], signed[r["v"]]) for r in edges.collect()}
     assert all((u ^ v).bit_count() <= 3 for u, v in found)
     roots = {signed[r["node"]]: signed[r["root"]] for r in simhash.components(edges).collect()}
@@ -146,3 +146,34 @@ def test_drop_near_copies(spark, odd, nothing):
     assert set(rows[0].asDict()) == {"doc_id", "text", "extra"}
     assert simhash.drop_near_copies(nothing).count() == 0
     assert simhash.drop_near_copies(odd).columns == odd.columns
+
+
+def test_similarity_estimates():
+    rng = random.Random(2)
+    for share in (0.0, 0.5, 0.8, 0.9, 1.0):
+        errors = []
+        for _ in range(40):
+            n = rng.choice([4, 30, 400, 3000])
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            other = [w if rng.random() < share ** 0.2 else f"v{rng.randrange(10**6)}" for w in words]
+            shingles = [{" ".join(t[k : k + 5]) for k in range(max(1, n - 4))} for t in (words, other)]
+            exact = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
+            got = simhash.similarity([simhash.prints(" ".join(words))[1]], [simhash.prints(" ".join(other))[1]])[0]
+            errors.append(got - exact)
+        assert abs(sum(errors) / len(errors)) < 0.03 and max(map(abs, errors)) < 0.12
+
+
+def test_near_copies_are_found_and_others_left_alone(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    docs, originals = [], 150
+    for i in range(originals):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 400))]
+        docs.append((i, " ".join(words)))
+        changed = list(words)
+        for _ in range(max(1, len(words) // 100)):  # about 0.9 similar
+            changed[rng.randrange(len(words))] = "changed"
+        docs.append((1000 + i, " ".join([*changed, "more"])))
+    left = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(i in left or 1000 + i in left for i in range(originals))
+    assert len(left) <= originals * 1.05

@@ -42,8 +42,8 @@ def test_stages(spark, sf, some):
             assert set(kept) == {r["doc_id"] for r in exact_dedup.exact_dedup(rows).filter("kept").collect()}
         elif name == "simhash_near_dedup":
             groups = {}
-            for r in simhash.simhash_components(rows, cp.SHINGLE).collect():
-                groups.setdefault(r["component_id"], []).append(r["doc_id"])
+            for r in simhash.similar_groups(rows).collect():
+                groups.setdefault(r["root"], []).append(r["doc_id"])
             assert set(kept) == {min(g, key=lambda i: (-len(before[i]["text"] or ""), i)) for g in groups.values()}
         else:
             field = pii.train()

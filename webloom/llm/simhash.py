@@ -16,6 +16,11 @@ its links, never all pairs. A bucket of over ``TILE`` fingerprints isn't held by
 and each pair of tiles is compared by a task of its own, which is exact. Components come from rounds of large-star and
 small-star over the distinct fingerprints, each round's table written to the shared folder.
 
+Near copies. :func:`similar_groups` uses the same keys for the default of near-duplicate stages, five-word shingles and a
+similarity of 0.8 or more. Such pairs differ in up to a dozen bits, which the keys find often, not always; so it keys
+fingerprints of the texts' words, which lie closer together, in two tables, and verifies each edge by the
+similarity of the shingles themselves.
+
 Defined cases: null text counts as empty; texts without words have fingerprint 0 and link like any other; with fewer
 words than a shingle holds, the whole sequence is one shingle; rows repeated are rows of the result each; a
 null doc_id gets a row, but names no component unless the component has no other; an empty table gives no rows; other columns are ignored.
@@ -26,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,6 +49,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 TILE = 2048
 #: Hashes counted at once.
 COUNTED = 1 << 16
+#: For near copies of a stage: words in a shingle, least similarity, fingerprints of words for candidates, bits in which
+#: candidates differ at most, bytes of a sketch.
+WIDE_SHINGLE, SIMILARITY, TABLES, WIDE_BITS, BINS = 5, 0.8, 2, 12, 512
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -125,121 +134,123 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def forest(fps: np.ndarray, other: np.ndarray | None = None, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Edges that connect what the links among ``fps`` (or between ``fps`` and ``other``) connect; one less than nodes at most."""
-    nodes = fps if other is None else np.concatenate([fps, other])
-    parent = np.arange(len(nodes))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges = []
-    unsigned = nodes.view(np.uint64)
-    start = 0 if other is None else len(fps)
-    for i in range(len(fps)):
-        first = max(i + 1, start)
-        if first >= len(nodes):
-            continue
-        linked = np.nonzero(np.bitwise_count(unsigned[first:] ^ unsigned[i]) <= max_bits)[0] + first
-        for j in linked.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((int(nodes[i]), int(nodes[j])))
+def forest(fps: np.ndarray, nodes: np.ndarray, first: int | None = None, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
+    """Edges that connect what the links among ``fps`` connect, the closest pairs first; one less than nodes at most.
+
+    With ``first``, only links between the first so many and the rest count. ``nodes`` names the rows.
+    """
+    bits, label, edges = fps.view(np.uint64), np.arange(len(fps)), []
+    for most in sorted({*range(MAX_BITS, max_bits, 3), max_bits}):
+        for i in range(len(fps) if first is None else first):
+            start = max(i + 1, first or 0)
+            linked = np.nonzero(np.bitwise_count(bits[start:] ^ bits[i]) <= most)[0] + start
+            if not len(linked):
+                continue
+            other, at = np.unique(label[linked], return_index=True)
+            new = other != label[i]
+            if new.any():
+                edges += [(int(nodes[i]), int(nodes[j])) for j in linked[at[new]].tolist()]
+                joined = np.append(other[new], label[i])
+                label[np.isin(label, joined)] = joined.min()
+                if len(edges) == len(fps) - 1:
+                    return edges
     return edges
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
-    """Edges u, v over distinct fingerprints (column fp) with the same components as all links of up to 3 bits."""
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
+    """Edges u, v between rows (node, fps) some of whose fingerprints share a key and differ in ``max_bits`` at most.
+
+    They connect what all such pairs connect; up to 3 bits, all pairs share a key.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
-                fps = batch.column("fp").slice(a, 2048).to_numpy(zero_copy_only=False).astype(np.int64)
-                key, row, home = keys(fps)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fps[row]), pa.array(home)], ["key", "fp", "home"])
+                part = batch.slice(a, 2048)
+                node = part.column("node").to_numpy(zero_copy_only=False)
+                tables = part.column("fps").flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+                for q in range(tables.shape[1]):
+                    fps = np.ascontiguousarray(tables[:, q])
+                    key, row, home = keys(fps)
+                    key += 3 * q << 24
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fps[row]), pa.array(node[row]), pa.array(home)], ["key", "fp", "node", "home"])
+
+    names = ["u", "v", "fp", "key", "tile", "tiles"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+
+    def of_tile(key: int, node: np.ndarray, fp: np.ndarray, number: int) -> list[tuple]:
+        return [(n, None, f, key, number, None) for n, f in zip(node.tolist(), fp.tolist(), strict=True)]
+
+    def small(key: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.ndarray) -> list[tuple]:
+        """Edges of whole buckets. A bucket without a home key, or with one row, has no candidate."""
+        if not len(key):
+            return []
+        at = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        sizes = np.diff(np.concatenate([at, [len(key)]]))
+        live = (np.add.reduceat(home.astype(np.int64), at) > 0) & (sizes > 1)
+        two = at[live & (sizes == 2)]
+        close = two[np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= max_bits]
+        out = list(zip(node[close].tolist(), node[close + 1].tolist(), strict=True))
+        for s, n in zip(at[live & (sizes > 2)].tolist(), sizes[live & (sizes > 2)].tolist(), strict=True):
+            out += forest(fp[s : s + n], node[s : s + n], max_bits=max_bits)
+        return [(u, v, None, None, None, None) for u, v in out]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key. Small buckets give edges; rows of a large one come out with their tile and a row that counts the tiles."""
-        names = ["u", "v", "key", "tile", "tiles"]
-
-        def rows(found: list[tuple]) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
-
-        carried_key, carried_fp, carried_home = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
-        passed = 0  # tiles of the carried key that have gone out
-
-        def small(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> list[tuple]:
-            """Edges of whole buckets. A bucket without a home key, or with one row, has no candidate."""
-            if not len(key):
-                return []
-            at = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
-            sizes = np.diff(np.concatenate([at, [len(key)]]))
-            homes = np.add.reduceat(home.astype(np.int64), at)
-            live = (homes > 0) & (sizes > 1)
-            out: list[tuple] = []
-            two = at[live & (sizes == 2)]
-            close = two[np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= max_bits]
-            out += [(u, v, None, None, None) for u, v in zip(fp[close].tolist(), fp[close + 1].tolist(), strict=True)]
-            for s, n in zip(at[live & (sizes > 2)].tolist(), sizes[live & (sizes > 2)].tolist(), strict=True):
-                out += [(u, v, None, None, None) for u, v in forest(fp[s : s + n], max_bits=max_bits)]
-            return out
-
+        """Rows come sorted by key. Small buckets give edges; rows of a large one come out with their tile, and a row that counts the tiles."""
+        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        passed = 0  # tiles of the held key that have gone out
         for batch in batches:
-            key = np.concatenate([carried_key, batch.column("key").to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([carried_fp, batch.column("fp").to_numpy(zero_copy_only=False)])
-            home = np.concatenate([carried_home, batch.column("home").to_numpy(zero_copy_only=False)])
+            key, fp, node, home = (np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "fp", "node", "home"), strict=True))
             if not len(key):
                 continue
             last = int(np.searchsorted(key, key[-1], "left"))
-            if passed and last > 0:  # the carried large bucket ends in this batch
+            if passed and last > 0:  # the held large bucket ends in this batch
                 end = int(np.searchsorted(key, key[0], "right"))
-                out = [(int(f), None, int(key[0]), passed, None) for f in fp[:end]]
-                yield rows([*out, (None, None, int(key[0]), None, passed + 1)])
-                key, fp, home, last, passed = key[end:], fp[end:], home[end:], last - end, 0
+                yield rows([*of_tile(int(key[0]), node[:end], fp[:end], passed), (None, None, None, int(key[0]), None, passed + 1)])
+                key, fp, node, home, last, passed = key[end:], fp[end:], node[end:], home[end:], last - end, 0
             # a large bucket may also lie whole within the batch
             at = np.nonzero(np.concatenate([[True], key[1:last] != key[: last - 1]]))[0] if last else np.zeros(0, np.int64)
             sizes = np.diff(np.concatenate([at, [last]]))
             keep = np.ones(last, bool)
             for s, n in zip(at[sizes > tile].tolist(), sizes[sizes > tile].tolist(), strict=True):
                 keep[s : s + n] = False
-                yield rows([*((int(f), None, int(key[s]), i // tile, None) for i, f in enumerate(fp[s : s + n])), (None, None, int(key[s]), None, -(-n // tile))])
-            if found := small(key[:last][keep], fp[:last][keep], home[:last][keep]):
+                for k in range(-(-n // tile)):
+                    a, b = s + k * tile, s + min(n, (k + 1) * tile)
+                    yield rows(of_tile(int(key[s]), node[a:b], fp[a:b], k))
+                yield rows([(None, None, None, int(key[s]), None, -(-n // tile))])
+            if found := small(key[:last][keep], fp[:last][keep], node[:last][keep], home[:last][keep]):
                 yield rows(found)
-            key, fp, home = key[last:], fp[last:], home[last:]
+            key, fp, node, home = key[last:], fp[last:], node[last:], home[last:]
             while len(key) > tile:  # of the last bucket only what its last tile needs is held
-                yield rows([(int(f), None, int(key[0]), passed, None) for f in fp[:tile]])
-                key, fp, home, passed = key[tile:], fp[tile:], home[tile:], passed + 1
-            carried_key, carried_fp, carried_home = key, fp, home
+                yield rows(of_tile(int(key[0]), node[:tile], fp[:tile], passed))
+                key, fp, node, home, passed = key[tile:], fp[tile:], node[tile:], home[tile:], passed + 1
+            held = [key, fp, node, home]
         if passed:
-            out = [(int(f), None, int(carried_key[0]), passed, None) for f in carried_fp]
-            yield rows([*out, (None, None, int(carried_key[0]), None, passed + 1)])
-        elif found := small(carried_key, carried_fp, carried_home):
+            yield rows([*of_tile(int(held[0][0]), held[2], held[1], passed), (None, None, None, int(held[0][0]), None, passed + 1)])
+        elif found := small(*held):
             yield rows(found)
 
-    def tiles(pdf):
-        import pandas as pd
-
+    def tiles(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        left = pdf.loc[pdf["tile"] == a, "u"].to_numpy(np.int64)
-        found = forest(left, max_bits=max_bits) if a == b else forest(left, pdf.loc[pdf["tile"] == b, "u"].to_numpy(np.int64), max_bits)
+        pdf = pdf.sort_values("tile", kind="stable")
+        first = None if a == b else int((pdf["tile"] == a).sum())
+        found = forest(pdf["fp"].to_numpy(np.int64), pdf["u"].to_numpy(np.int64), first, max_bits)
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    spread_keys = distinct.select("fp").mapInArrow(spread, "key int, fp long, home boolean")
+    spread_keys = nodes.select("node", "fps").mapInArrow(spread, "key int, fp long, node long, home boolean")
     compared, _ = materialize(
-        spread_keys.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long, key int, tile int, tiles int"), "simhash-links"
+        spread_keys.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long, fp long, key int, tile int, tiles int"), "simhash-links"
     )
     found = compared.filter("v IS NOT NULL").select("u", "v")
-    large, counts = compared.filter("v IS NULL AND u IS NOT NULL").select("u", "key", "tile"), compared.filter("tiles IS NOT NULL").select("key", "tiles")
+    large, counts = compared.filter("tile IS NOT NULL").select("u", "fp", "key", "tile"), compared.filter("tiles IS NOT NULL").select("key", "tiles")
     if not counts.isEmpty():
         other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        paired = large.join(counts, "key").withColumn("other", other).select("u", "tile", "key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
+        paired = large.join(counts, "key").withColumn("other", other).select("u", "fp", "tile", "key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
         found = found.union(paired.groupBy("key", "a", "b").applyInPandas(tiles, "u long, v long"))
-    return found.distinct()
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def components(edges: DataFrame, label: str = "components", rows: int | None = None) -> DataFrame:
@@ -275,7 +286,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -
         raise ValueError("the keys find links of up to 3 bits")
     fps, _ = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    edges, _ = materialize(links(distinct, max_bits), "simhash-edges")
+    edges, _ = materialize(links(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), max_bits), "simhash-edges")
     roots = components(edges, rows=edges.count())
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -288,14 +299,80 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     return classes(docs, shingle, max_bits).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """Of each component the row with the longest text, then the smallest doc_id stays, with all columns of ``docs``.
+# ---- similarity over five-word shingles ----
+
+
+def prints(text: str, tables: int = TABLES, shingle: int = WIDE_SHINGLE, bins: int = BINS) -> tuple[list[int], bytes]:
+    """``tables`` fingerprints of the distinct words (signed), and a sketch of the distinct shingles.
+
+    The sketch has a byte for each of ``bins`` ranges of the shingles' hashes: 0 for none, else from the least hash there.
+    """
+    words = text.encode().lower().split()
+    h, distinct = xxhash.xxh64_intdigest, list(set(words))
+    fps = []
+    for q in range(tables):
+        counts = np.zeros(64, np.int64)
+        for a in range(0, len(distinct), COUNTED):
+            hashes = np.fromiter([h(w, SEED + q) for w in distinct[a : a + COUNTED]], np.uint64, min(COUNTED, len(distinct) - a))
+            counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        fps.append(int.from_bytes(np.packbits(counts * 2 > len(distinct), bitorder="little").tobytes(), "little", signed=True))
+    sketch = np.zeros(bins, np.uint8)
+    for a in range(0, max(1, len(words) - shingle + 1) if words else 0, COUNTED):
+        part = words[a : a + COUNTED + shingle - 1]
+        grams = {b" ".join(g) for g in zip(*(part[k:] for k in range(shingle)), strict=False)} if len(words) >= shingle else {b" ".join(words)}
+        hashes = np.sort(np.fromiter([h(g, SEED) for g in grams], np.uint64, len(grams)))
+        if a == 0:
+            least = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
+        at, first = np.unique(hashes % np.uint64(bins), return_index=True)
+        least[at] = np.minimum(least[at], hashes[first])
+        some = least != np.iinfo(np.uint64).max
+        sketch = np.where(some, (least // np.uint64(bins)) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+    return fps, sketch.tobytes()
+
+
+def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Estimated share of shingles that two texts have in common, from their sketches; 0 for two without any."""
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+    either = ((x > 0) | (y > 0)).sum(axis=1)
+    return ((x == y) & (x > 0)).sum(axis=1) / np.maximum(either, 1)
+
+
+def similar_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, n, hash and root of every row: rows whose texts are connected by pairs of similarity ``least`` or more share a root.
+
+    Candidates are pairs whose fingerprints of words share a key in one of ``TABLES`` tables and differ in at most
+    ``WIDE_BITS`` bits; the closest pairs that connect them are verified by their sketches.
+    """
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096, 16 << 20):
+            made = [prints(t) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("n"), batch.column("hash"), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "hash", "fps", "sketch"])
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(similarity(a.tolist(), b.tolist()))
+
+    rows = whole_text(docs).select("doc_id", "text", F.length("text").alias("n"), F.xxhash64("text").alias("hash"))
+    made, _ = materialize(rows.mapInArrow(compute, "doc_id long, n int, hash long, fps array<long>, sketch binary"), "prints")
+    nodes = made.groupBy(F.col("hash").alias("node")).agg(F.first("fps").alias("fps"))
+    candidates = links(nodes, WIDE_BITS)
+    sketches = made.select("hash", "sketch").dropDuplicates(["hash"])
+    both = candidates.join(sketches.select(F.col("hash").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("hash").alias("v"), F.col("sketch").alias("b")), "v")
+    edges, _ = materialize(both.filter(alike("a", "b") >= least).select("u", "v"), "similar-edges")
+    roots = components(edges, rows=edges.count())
+    return made.join(roots, made["hash"] == roots["node"], "left").select("doc_id", "n", "hash", F.coalesce("root", "hash").alias("root"))
+
+
+def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Of each group of similar texts the row with the longest, then the smallest doc_id stays, with all columns of ``docs``.
 
     The row that stays is found by an aggregate over ids and lengths alone; the texts are shuffled once, to be filtered.
     Of rows repeated with one doc_id and one text one stays.
     """
     best = F.max(F.struct("n", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus_id"), "hash"))
-    ranked = classes(docs, shingle, max_bits).groupBy("root").agg(best.alias("best"))
+    ranked = similar_groups(docs, least).groupBy("root").agg(best.alias("best"))
     stay = ranked.select((-F.col("best.minus_id")).alias("_stay_id"), F.col("best.hash").alias("_stay_hash"))
     keyed = docs.withColumns({"_row_id": F.col("doc_id").cast("long"), "_row_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
     kept = keyed.join(stay, keyed["_row_id"].eqNullSafe(stay["_stay_id"]) & (keyed["_row_hash"] == stay["_stay_hash"]), "left_semi")
