@@ -53,9 +53,9 @@ def label_split(assigned: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def candidates(parts: DataFrame) -> DataFrame:
-    """Candidate classes (group_id, part, size), the largest first, by ``nth``."""
-    sizes = parts.groupBy("group_id", "part").agg(F.count("*").alias("size"))
-    return sizes.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("size"), "group_id", "part")))
+    """Candidate classes (site, group_id, part, size), the largest of each site first, by ``nth``."""
+    sizes = parts.groupBy("site", "group_id", "part").agg(F.count("*").alias("size"))
+    return sizes.withColumn("nth", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("size"), "group_id", "part")))
 
 
 def class_schemas(links: DataFrame, labels: DataFrame) -> DataFrame:

@@ -241,10 +241,32 @@ def build_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modeling.build_models(small_site(spark, sf_dir), 30)
 
 
-@query(f"SELECT site, sha1(rel) AS key, count(DISTINCT sha1(rel)) AS n FROM (SELECT {ROOT} AS site, {KEY} AS rel FROM pages) GROUP BY 1, 2")
-def stream_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema("page_id long, url string, html string").parquet(f"{sf_dir}/pages.parquet*")
-    discovered = source.select(urls.site_root(F.col("url")).alias("site"), "url", F.col("page_id").alias("seq"))
+    return source.select(urls.site_root(F.col("url")).alias("site"), "url")
+
+
+def run_stream(frame: DataFrame) -> DataFrame:
+    spark = frame.sparkSession
     folder = f"{shared_folder(spark)}/webloom/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
-    found = stream.run_to_end(stream.first_seen(discovered), f"{folder}/out", f"{folder}/checkpoint")
-    return found.groupBy("site", "key").agg(F.count("*").alias("n"))
+    return stream.run_to_end(frame, f"{folder}/out", f"{folder}/checkpoint")
+
+
+@query(f"SELECT site, sha1(rel) AS key, count(DISTINCT sha1(rel)) AS n FROM (SELECT {ROOT} AS site, {KEY} AS rel FROM pages) GROUP BY 1, 2")
+def stream_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_stream(stream.first_seen(discovered(spark, sf_dir))).groupBy("site", "key").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT site, least(count(DISTINCT sha1(rel)), 2) AS n FROM (SELECT {ROOT} AS site, {KEY} AS rel FROM pages) GROUP BY 1")
+def stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = run_stream(stream.first_seen(discovered(spark, sf_dir)))
+    again = spark.readStream.schema(first.schema).parquet(first.inputFiles()[0].rsplit("/", 1)[0])
+    return run_stream(stream.within_budget(again, 2)).groupBy("site").agg(F.max("nth").alias("n"))
+
+
+@query(f"SELECT {ROOT} AS site, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages GROUP BY 1")
+def saved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page store, written by site and read back: a filter on the site prunes folders."""
+    path = f"{shared_folder(spark)}/webloom/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex[:12]}"
+    P.page_store(P.read_pages(spark, sf_dir)).repartition("site").write.partitionBy("site").parquet(path)
+    return spark.read.parquet(path).groupBy("site").agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars"))

@@ -49,6 +49,14 @@ def menu_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.demote_menus(typed(spark, sf_dir)).select(F.col("src_url").cast("long").alias("src_url"), "xpath", "link_type", "pos")
 
 
+@query(sql("SELECT page_id AS src_url, xpath, link_type, pos, href, 'c' || page_id AS dest_url, CASE WHEN link_type = 'singleton' THEN coalesce(anchor_text, '') END AS text FROM class_links WHERE page_id % 2 = 0", *CL))
+def typed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = class_links(spark, sf_dir)
+    collections = rows.filter("page_id % 2 = 0").select(F.col("page_id").alias("src_url"), "xpath", "link_type").distinct()
+    fetched = rows.select(F.col("page_id").alias("src_url"), "xpath", "pos", "href", F.concat(F.lit("c"), F.col("page_id").cast("string")).alias("dest_url"), F.col("anchor_text").alias("text"))
+    return L.typed_links(collections, fetched)
+
+
 PRECEDE = """t AS (SELECT src AS src_class, '/nav/x' || (page_id % 2) AS xpath, link_type, CAST(page_id AS VARCHAR) AS src_url, pos, dest AS dest_class, coalesce(anchor_text, '') AS text,
     CASE link_type WHEN 'list' THEN 0 WHEN 'menu' THEN 1 ELSE 2 END AS o FROM class_links WHERE NOT (src < 'm' AND link_type = 'list')),
   b AS (SELECT src_class, xpath, min(o) AS o FROM t GROUP BY 1, 2)"""

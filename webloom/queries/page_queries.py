@@ -91,6 +91,12 @@ def label_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.label_split(pages.select(F.col("page_id").alias("page"), urls.host(F.col("url")).alias("group_id")), labels)
 
 
+@query(sql("SELECT root AS site, length(url) % 5 AS group_id, 0 AS part, count(*) AS size, CAST(row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, length(url) % 5) AS INTEGER) AS nth FROM hosts GROUP BY 1, 2", "hosts"))
+def candidate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = P.read_pages(spark, sf_dir).select(urls.site_root(F.col("url")).alias("site"), (F.length("url") % 5).cast("long").alias("group_id"), F.lit(0).alias("part"))
+    return S.candidates(parts)
+
+
 @query(sql("SELECT class_id, array_to_string(list_sort(list(DISTINCT xpath)), ' ') AS schema FROM (SELECT host AS class_id, left(href, 2) AS xpath FROM links JOIN hosts USING (page_id)) GROUP BY 1", "links", "hosts"))
 def class_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.links_by_pattern(P.read_pages(spark, sf_dir)).select(urls.host(F.col("url")).alias("class_id"), F.col("page_id").alias("page"), F.substring("href", 1, 2).alias("xpath"))

@@ -1,8 +1,8 @@
 """The frontier as a stream: discovered URLs arrive, each key of a site is let through once, within the site's budget.
 
-State is kept by (site, slice of the key), so one large site isn't one group: a slice holds the keys it has seen. The
-state grows with the URLs seen, as a visited set does; no watermark can prune it. Delivery is at least once: after a
-failure Spark replays from its checkpoint.
+Deduplication is Spark's own stateful operator, one small state row a (site, key), so a large site spreads over all
+partitions. The state grows with the keys seen, as a visited set does; there is no event time that could prune it. The
+budget keeps one counter a site. Delivery is at least once: after a failure Spark replays from its checkpoint.
 """
 
 from __future__ import annotations
@@ -16,25 +16,25 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import urls
 
-SLICES = 64
 
-
-def keyed(discovered: DataFrame) -> DataFrame:
-    key = urls.checksum(urls.relative_key(F.col("url")))
-    return discovered.withColumn("key", key).withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(SLICES)).cast("int"))
+def first_seen(discovered: DataFrame) -> DataFrame:
+    """Stream of (site, url, ...) → the first address that arrives of each (site, key), with its key."""
+    return discovered.withColumn("key", urls.checksum(urls.relative_key(F.col("url")))).dropDuplicates(["site", "key"])
 
 
-def first_seen(discovered: DataFrame) -> DataFrame:
-    """Stream of (site, url, seq) → (site, key, url, seq): the first address of each key, by seq within a batch."""
+def within_budget(stream: DataFrame, budget: int) -> DataFrame:
+    """Stream of (site, url, key) → its first ``budget`` rows of each site, numbered from 1."""
 
-    def keep(group: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0]) if state.exists else set()
-        found = pd.concat(list(rows)).sort_values(["seq", "url"])
-        new = found[~found["key"].isin(seen)].drop_duplicates("key")
-        state.update((sorted(seen | set(new["key"])),))
-        yield new[["site", "key", "url", "seq"]]
+    def count(group: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        used = state.get[0] if state.exists else 0
+        for part in rows:
+            taken = part.head(max(0, budget - used))[["site", "url", "key"]]
+            if len(taken):
+                yield taken.assign(nth=range(used + 1, used + 1 + len(taken)))
+                used += len(taken)
+        state.update((used,))
 
-    return keyed(discovered).groupBy("site", "slice").applyInPandasWithState(keep, "site string, key string, url string, seq long", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    return stream.select("site", "url", "key").groupBy("site").applyInPandasWithState(count, "site string, url string, key string, nth long", "used long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
