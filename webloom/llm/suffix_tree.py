@@ -97,9 +97,12 @@ def ngrams(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """gram (depth + 1 bytes as an integer) and n, over all rows of ``text``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # of the batches; they are merged once
+        waiting = 0
 
         def out() -> pa.RecordBatch:
+            grams, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(grams)).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "n"])
 
         for batch in slices(batches):
@@ -113,14 +116,12 @@ def ngrams(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
             padding[starts - depth] += 1
             padding[starts] -= 1
             value = value[np.cumsum(padding)[depth : depth + m] == 0]
-            found, n = np.unique(value, return_counts=True)
-            both = np.concatenate([grams, found])
-            grams, at = np.unique(both, return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(grams)).astype(np.int64)
-            if len(grams) > COUNTED:
+            parts.append(np.unique(value, return_counts=True))
+            waiting += len(parts[-1][0])
+            if waiting > 2 * COUNTED:
                 yield out()
-                grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(grams):
+                parts, waiting = [], 0
+        if parts:
             yield out()
 
     return rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
