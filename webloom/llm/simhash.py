@@ -18,7 +18,7 @@ small-star over the distinct fingerprints, each round's table written to the sha
 
 Near copies. :func:`similar_groups` uses the same keys for the default of near-duplicate stages, five-word shingles and a
 similarity of 0.8 or more. Such pairs differ in up to a dozen bits, which the keys find often, not always; so it keys
-fingerprints of the texts' words, which lie closer together, in two tables, and verifies each edge by the
+fingerprints of the texts' words, which lie closer together, in three tables, and verifies each edge by the
 similarity of the shingles themselves.
 
 Defined cases: null text counts as empty; texts without words have fingerprint 0 and link like any other; with fewer
@@ -51,7 +51,7 @@ TILE = 2048
 COUNTED = 1 << 16
 #: For near copies of a stage: words in a shingle, least similarity, fingerprints of words for candidates, bits in which
 #: candidates differ at most, bytes of a sketch.
-WIDE_SHINGLE, SIMILARITY, TABLES, WIDE_BITS, BINS = 5, 0.8, 2, 12, 512
+WIDE_SHINGLE, SIMILARITY, TABLES, WIDE_BITS, BINS = 5, 0.8, 3, 12, 512
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -139,7 +139,15 @@ def forest(fps: np.ndarray, nodes: np.ndarray, first: int | None = None, max_bit
 
     With ``first``, only links between the first so many and the rest count. ``nodes`` names the rows.
     """
-    bits, label, edges = fps.view(np.uint64), np.arange(len(fps)), []
+    bits = fps.view(np.uint64)
+    if first is None and len(fps) <= 512:  # most buckets hold no link at all
+        close = np.bitwise_count(bits[:, None] ^ bits) <= max_bits
+        np.fill_diagonal(close, False)
+        some = close.any(axis=1)
+        if not some.any():
+            return []
+        fps, bits, nodes = fps[some], bits[some], nodes[some]
+    label, edges = np.arange(len(fps)), []
     for most in sorted({*range(MAX_BITS, max_bits, 3), max_bits}):
         for i in range(len(fps) if first is None else first):
             start = max(i + 1, first or 0)
@@ -160,8 +168,10 @@ def forest(fps: np.ndarray, nodes: np.ndarray, first: int | None = None, max_bit
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
     """Edges u, v between rows (node, fps) some of whose fingerprints share a key and differ in ``max_bits`` at most.
 
-    They connect what all such pairs connect; up to 3 bits, all pairs share a key.
+    They connect what all such pairs connect. Up to 3 bits all pairs share a key that is home for one of them, so
+    buckets without a home key are passed over; beyond that any shared key counts.
     """
+    wide = max_bits > MAX_BITS
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,12 +195,12 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataF
         return [(n, None, f, key, number, None) for n, f in zip(node.tolist(), fp.tolist(), strict=True)]
 
     def small(key: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.ndarray) -> list[tuple]:
-        """Edges of whole buckets. A bucket without a home key, or with one row, has no candidate."""
+        """Edges of whole buckets; one with a single row has no candidate."""
         if not len(key):
             return []
         at = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
         sizes = np.diff(np.concatenate([at, [len(key)]]))
-        live = (np.add.reduceat(home.astype(np.int64), at) > 0) & (sizes > 1)
+        live = (sizes > 1) & (wide | (np.add.reduceat(home.astype(np.int64), at) > 0))
         two = at[live & (sizes == 2)]
         close = two[np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= max_bits]
         out = list(zip(node[close].tolist(), node[close + 1].tolist(), strict=True))
