@@ -162,3 +162,19 @@ def test_guided_crawl_with_a_missing_page(spark):
     assert sorted(r["record"][0] for r in crawl.records.collect())[0] == "Item 10"
     assert [r["url"] for r in crawl.failed.collect()] == [SITE + "/item13"]
     assert traverse.crawl(store, seeds, links, data, depths, budget=2).url_class.count() == 2
+
+
+def test_evaluation_of_an_inferred_model(spark):
+    from webloom.plans.evaluate import evaluate
+
+    rows = modeling.build_models(small_store(spark), 50)
+    pages = rows.filter("row_kind = 'page'").select(F.col("class_name").alias("class_id"), "url")
+    links = rows.filter("row_kind = 'link'").select(F.col("class_name").alias("src"), "link_type", "dest")
+    golden = spark.createDataFrame([("home", SITE), ("list", SITE + "/list.*"), ("item", SITE + "/item.*"), ("about", SITE + "/about")], "name string, pattern string")
+    wanted = spark.createDataFrame([("list", "list", "item"), ("list", "menu", "nowhere")], "src string, link_type string, dest string")
+    found = evaluate(pages, golden, wanted, links)
+    row = found.summary.first()
+    assert row["weighted_f"] > 0.7
+    assert 0 < row["purity"] <= 1
+    assert row["links_recall"] == pytest.approx(0.5)
+    assert found.report.count() == 4

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import frontier as R
 from ..plans import modeling, traverse
+from ..plans.evaluate import evaluate
 from ..sources import models as M
 from ..sources import pages as P
-from ..sources.store import shared_folder
+from ..sources.store import shared_folder, stored
 from ..streaming import frontier as stream
 from .registry import query, sql
 from .url_queries import KEY, ROOT
@@ -241,6 +242,17 @@ def build_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modeling.build_models(small_site(spark, sf_dir), 30)
 
 
+@query()
+def evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inferred models of all sites against a golden model of home and item pages."""
+    rows = stored(modeling.build_models(small_site(spark, sf_dir), 30), "models")  # read several times
+    pages = rows.filter("row_kind = 'page'").select(F.concat_ws("/", "site", "class_name").alias("class_id"), "url")
+    links = rows.filter("row_kind = 'link'").select(F.concat_ws("/", "site", "class_name").alias("src"), "link_type", F.concat_ws("/", "site", "dest").alias("dest"))
+    golden = spark.createDataFrame([("home", "http://[^/]*"), ("item", "http://[^/]*/p[0-9]*[.]html")], "name string, pattern string")
+    wanted = spark.createDataFrame([("home", "list", "item"), ("item", "singleton", "home")], "src string, link_type string, dest string")
+    return evaluate(pages, golden, wanted, links).summary
+
+
 def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema("page_id long, url string, html string").parquet(f"{sf_dir}/pages.parquet*")
     return source.select(urls.site_root(F.col("url")).alias("site"), "url")
