@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..sources.store import stored
 
 
 @dataclass
@@ -21,8 +22,9 @@ def evaluate(pages: DataFrame, golden: DataFrame, golden_links: DataFrame, links
     """``pages``: (class_id, url); ``golden``: (name, pattern); ``golden_links``: (src, link_type, dest) of golden names;
     ``links``: the same of computed classes, which are called by the golden class they match best.
     """
-    sizes = pages.groupBy("class_id").agg(F.count("*").alias("size"))
-    matrix = E.count_matrix(E.golden_matches(pages, golden), sizes, golden)
+    # all scores read these two; they have rows by classes, not by pages
+    sizes = stored(pages.groupBy("class_id").agg(F.count("*").alias("size")), "sizes")
+    matrix = stored(E.count_matrix(E.golden_matches(pages, golden), sizes, golden), "matrix")
     best = E.best_matches(E.precision_recall(matrix, sizes))
     # one golden name a computed class: the one with the larger F, then the first
     names = best.filter("f > 0").groupBy("class_id").agg(F.max_by("golden", F.struct("f", "golden")).alias("golden"))
