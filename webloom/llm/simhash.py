@@ -209,7 +209,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataF
         return [(u, v, None, None, None, None) for u, v in out]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key. Small buckets give edges; rows of a large one come out with their tile, and a row that counts the tiles."""
+        """Rows come sorted by key and node, so that buckets of one group choose the same edges. Small buckets give edges; rows of a large one come out with their tile, and a row that counts the tiles."""
         held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
         passed = 0  # tiles of the held key that have gone out
         for batch in batches:
@@ -252,7 +252,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataF
 
     spread_keys = nodes.select("node", "fps").mapInArrow(spread, "key int, fp long, node long, home boolean")
     compared, _ = materialize(
-        spread_keys.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long, fp long, key int, tile int, tiles int"), "simhash-links"
+        spread_keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, "u long, v long, fp long, key int, tile int, tiles int"), "simhash-links"
     )
     found = compared.filter("v IS NOT NULL").select("u", "v")
     large, counts = compared.filter("tile IS NOT NULL").select("u", "fp", "key", "tile"), compared.filter("tiles IS NOT NULL").select("key", "tiles")
