@@ -32,8 +32,8 @@ from .tokens import byte_bpe
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces in a salted group of one length, about.
-RANKED_TOGETHER = 100_000
+#: Pieces in a salted group of one length: a share of all, but at least and at most so many, about.
+RANKED_SHARE, RANKED_LEAST, RANKED_TOGETHER = 200, 1000, 100_000
 
 
 class Complements:
@@ -153,7 +153,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         counts[length] = n
     schema = "length long, rank_from long, rank_to long, sequence_from long, offset long"
     plan = spark.createDataFrame(places(counts), schema)
-    groups = int(max(1, -(-counts.max() // RANKED_TOGETHER)))
+    together = min(RANKED_TOGETHER, max(RANKED_LEAST, int(counts.sum()) // RANKED_SHARE))
+    groups = int(max(1, -(-counts.max() // together)))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
