@@ -177,3 +177,51 @@ def test_near_copies_are_found_and_others_left_alone(spark):
     left = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(i in left or 1000 + i in left for i in range(originals))
     assert len(left) <= originals * 1.05
+
+
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    return {" ".join(words[a : a + k]) for a in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def check_groups(spark, texts, least=0.8):
+    """Groups against components of all pairs compared by brute force."""
+    sets = [shingle_set(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and len(a & sets[j]) / len(a | sets[j]) >= least or texts[i] == texts[j]:
+                parent[root(i)] = root(j)
+    got, want = defaultdict(set), defaultdict(set)
+    for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r["root"]].add(r["doc_id"])
+    for i in range(len(texts)):
+        want[root(i)].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    return len(want)
+
+
+def with_words_replaced(rng, words, n):
+    out = list(words)
+    for k in rng.sample(range(len(words)), n):
+        out[k] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_groups_around_an_original_and_reordered_texts(spark):
+    rng = random.Random(11)
+    texts = []
+    for g in range(6):
+        words = [f"g{g}w{rng.randrange(400)}" for _ in range(300)]
+        texts += [" ".join(words), *(with_words_replaced(rng, words, rng.randint(3, 9)) for _ in range(12))]
+        for _ in range(3):  # the same words, other shingles
+            texts.append(" ".join(rng.sample(words, len(words))))
+        texts.append(" ".join([*words[150:], *words[:150]]))
+    texts += [texts[0], texts[1], "", "a b", "a b"]
+    assert check_groups(spark, texts) > 6

@@ -16,10 +16,10 @@ its links, never all pairs. A bucket of over ``TILE`` fingerprints isn't held by
 and each pair of tiles is compared by a task of its own, which is exact. Components come from rounds of large-star and
 small-star over the distinct fingerprints, each round's table written to the shared folder.
 
-Near copies. :func:`similar_groups` uses the same keys for the default of near-duplicate stages, five-word shingles and a
-similarity of 0.8 or more. Such pairs differ in up to a dozen bits, which the keys find often, not always; so it keys
-fingerprints of the texts' words, which lie closer together, in three tables, and verifies each edge by the
-similarity of the shingles themselves.
+Near copies. :func:`similar_groups` takes the default of near-duplicate stages, five-word shingles and a similarity of
+0.8 or more, without fingerprints: such pairs share a shingle among the first fifth of either in any one order of all
+shingles (prefix filter), so these are the keys, none is missed, and each pair is decided on the whole sets of shingles
+(of 64-bit hashes). The order takes shingles that are common in a sample last; the sample changes cost, never the result.
 
 Defined cases: null text counts as empty; texts without words have fingerprint 0 and link like any other; with fewer
 words than a shingle holds, the whole sequence is one shingle; rows repeated are rows of the result each; a
@@ -28,6 +28,7 @@ null doc_id gets a row, but names no component unless the component has no other
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +50,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 TILE = 2048
 #: Hashes counted at once.
 COUNTED = 1 << 16
-#: For near copies of a stage: words in a shingle, least similarity, fingerprints of words for candidates, bits in which
-#: candidates differ at most, bytes of a sketch.
-WIDE_SHINGLE, SIMILARITY, TABLES, WIDE_BITS, BINS = 5, 0.8, 3, 12, 512
+#: For near copies of a stage: words in a shingle, least similarity; of :func:`prints`: fingerprints of words, bytes of a sketch.
+WIDE_SHINGLE, SIMILARITY, TABLES, BINS = 5, 0.8, 3, 512
+#: Texts that tell which shingles are common, how many such are kept, and what rounding may take from a bound.
+SAMPLE, COMMON, SLACK = 20_000, 1 << 18, 1e-6
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -310,6 +312,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
 
 
 # ---- similarity over five-word shingles ----
+# prints and similarity estimate it for callers that can do with that; similar_groups decides on the sets.
 
 
 def prints(text: str, tables: int = TABLES, shingle: int = WIDE_SHINGLE, bins: int = BINS) -> tuple[list[int], bytes]:
@@ -347,30 +350,97 @@ def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return ((x == y) & (x > 0)).sum(axis=1) / np.maximum(either, 1)
 
 
-def similar_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, n, hash and root of every row: rows whose texts are connected by pairs of similarity ``least`` or more share a root.
+def shingles(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; none for a text without words."""
+    words = text.encode().lower().split()
+    h, found = xxhash.xxh64_intdigest, [np.zeros(0, np.uint64)]
+    for a in range(0, max(1, len(words) - shingle + 1) if words else 0, COUNTED):
+        part = words[a : a + COUNTED + shingle - 1]
+        grams = {b" ".join(g) for g in zip(*(part[k:] for k in range(shingle)), strict=False)} if len(words) >= shingle else {b" ".join(words)}
+        found.append(np.fromiter([h(g, SEED) for g in grams], np.uint64, len(grams)))
+    return np.unique(np.concatenate(found))
 
-    Candidates are pairs whose fingerprints of words share a key in one of ``TABLES`` tables and differ in at most
-    ``WIDE_BITS`` bits; the closest pairs that connect them are verified by their sketches.
+
+def prefix(hashes: np.ndarray, common: np.ndarray, often: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The hashes that come first in an order of all hashes, rare ones before the ``common`` (sorted; found ``often``).
+
+    Two sets of similarity ``least`` share at least that part of either, so they can't miss each other in the rest.
     """
+    n = len(hashes)
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, often[at], 0)
+    return hashes[np.lexsort((hashes, rank))[: n - math.ceil(least * n - SLACK) + 1]]
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096, 16 << 20):
-            made = [prints(t) for t in batch.column("text").to_pylist()]
-            columns = [batch.column("doc_id"), batch.column("n"), batch.column("hash"), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "hash", "fps", "sketch"])
 
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(similarity(a.tolist(), b.tolist()))
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most of about ``SAMPLE`` texts share, and in how many they were; it only sets the order of prefixes."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512, 4 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t) for t in batch.column("text").to_pylist()]).view(np.int64))], ["shingle"])
 
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < (SAMPLE << 20) // max(1, rows.count())
+    counts = rows.filter(drawn).select("text").mapInArrow(spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    found = counts.filter("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    hashes = found.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found.column("n").to_numpy()[order]
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets (hash, shingles) have similarity ``least`` or more."""
+    wanted = pairs.select(F.col("u").alias("hash")).union(pairs.select("v")).distinct()
+    asked, _ = materialize(sets.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("shingles").alias("shingles")), "asked-shingles")
+    both = pairs.join(asked.select(F.col("hash").alias("u"), F.col("shingles").alias("a")), "u").join(asked.select(F.col("hash").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter(shared / (F.size("a") + F.size("b") - shared) >= least).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, n, hash and root of every row: rows whose texts are connected by pairs of similarity ``least`` or more share a root.
+
+    Texts with a shingle in common among their prefixes are candidates, unless their sizes or the places of that shingle
+    exclude the similarity. Neighbours among a shingle's texts are verified first; then all candidates that these pairs
+    haven't connected. Only verified pairs connect.
+    """
     rows = whole_text(docs).select("doc_id", "text", F.length("text").alias("n"), F.xxhash64("text").alias("hash"))
-    made, _ = materialize(rows.mapInArrow(compute, "doc_id long, n int, hash long, fps array<long>, sketch binary"), "prints")
-    nodes = made.groupBy(F.col("hash").alias("node")).agg(F.first("fps").alias("fps"))
-    candidates = links(nodes, WIDE_BITS)
-    sketches = made.select("hash", "sketch").dropDuplicates(["hash"])
-    both = candidates.join(sketches.select(F.col("hash").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("hash").alias("v"), F.col("sketch").alias("b")), "v")
-    edges, _ = materialize(both.filter(alike("a", "b") >= least).select("u", "v"), "similar-edges")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512, 4 << 20):
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            first = [prefix(s, *common.value, least) for s in sets]
+            columns = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, of)], dtype=np.int32), np.concatenate(of).view(np.int64)) for of in (sets, first)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("hash"), *columns], ["doc_id", "n", "hash", "shingles", "prefix"])
+
+    made, _ = materialize(rows.mapInArrow(compute, "doc_id long, n int, hash long, shingles array<long>, prefix array<long>"), "prints")
+    sets = made.select("hash", "shingles")
+    keyed = made.select(F.col("hash").alias("node"), F.size("shingles").alias("size"), F.posexplode("prefix").alias("at", "key"))
+    row, beside = F.struct("node", "size", "at"), Window.partitionBy("key").orderBy("size", "node")
+    near = keyed.select("key", "node", "size", "at", F.lag(row).over(beside).alias("x"), F.lead("node").over(beside).alias("next"))
+    # copies of one text lie side by side, one of them is enough
+    shared, _ = materialize(near.filter("coalesce(x.node, next) IS NOT NULL AND (x IS NULL OR x.node <> node)").drop("next"), "shared-shingles")
+
+    def possible(x: str, y: str) -> Column:
+        size, other = F.col(f"{x}.size"), F.col(f"{y}.size")
+        return (size >= least * other - SLACK) & (F.least(size - F.col(f"{x}.at"), other - F.col(f"{y}.at")) >= least / (1 + least) * (size + other) - SLACK)
+
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.least(f"{x}.node", f"{y}.node").alias("u"), F.greatest(f"{x}.node", f"{y}.node").alias("v")]
+
+    tried, _ = materialize(shared.withColumn("y", row).filter("x IS NOT NULL").filter(possible("x", "y")).select(*pair("x", "y")).distinct(), "neighbours")
+    edges, _ = materialize(similar_pairs(tried, sets, least), "similar-neighbours")
+    roots = components(edges, rows=edges.count())
+    rooted = shared.join(roots, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    open_rows, _ = materialize(rooted.join(mixed, "key", "left_semi"), "open-shingles")
+    x, y = open_rows.alias("x"), open_rows.alias("y")
+    later = (F.col("x.size") < F.col("y.size")) | (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node"))
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & later & possible("x", "y")).select(*pair("x", "y")).distinct()
+    rest, _ = materialize(across.join(tried, ["u", "v"], "left_anti"), "other-candidates")
+    edges, _ = materialize(edges.union(similar_pairs(rest, sets, least)), "similar-edges")
     roots = components(edges, rows=edges.count())
     return made.join(roots, made["hash"] == roots["node"], "left").select("doc_id", "n", "hash", F.coalesce("root", "hash").alias("root"))
 
