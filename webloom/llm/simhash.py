@@ -54,6 +54,8 @@ COUNTED = 1 << 16
 WIDE_SHINGLE, SIMILARITY, TABLES, BINS = 5, 0.8, 3, 512
 #: Texts that tell which shingles are common, how many such are kept, and what rounding may take from a bound.
 SAMPLE, COMMON, SLACK = 20_000, 1 << 18, 1e-6
+#: Residues of text hashes that tell which texts a comparison asks for.
+SLOTS = 1 << 22
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -374,6 +376,10 @@ def prefix(hashes: np.ndarray, common: np.ndarray, often: np.ndarray, least: flo
     return hashes[np.lexsort((hashes, rank))[: n - math.ceil(least * n - SLACK) + 1]]
 
 
+def lists(sets: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)], dtype=np.int32), np.concatenate(sets).view(np.int64))
+
+
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that most of about ``SAMPLE`` texts share, and in how many they were; it only sets the order of prefixes."""
 
@@ -389,10 +395,18 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], found.column("n").to_numpy()[order]
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sets (hash, shingles) have similarity ``least`` or more."""
+def similar_pairs(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (u, v) whose texts (hash, text) have sets of shingles of similarity ``least`` or more."""
     wanted = pairs.select(F.col("u").alias("hash")).union(pairs.select("v")).distinct()
-    asked, _ = materialize(sets.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("shingles").alias("shingles")), "asked-shingles")
+    slot = F.pmod("hash", F.lit(SLOTS))  # passes over most other texts before any is shuffled
+    texts = rows.select("hash", "text").withColumn("slot", slot).join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), "slot", "left_semi")
+    once = texts.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text"))
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), lists([shingles(t) for t in batch.column("text").to_pylist()])], ["hash", "shingles"])
+
+    asked, _ = materialize(once.mapInArrow(compute, "hash long, shingles array<long>"), "asked-shingles")
     both = pairs.join(asked.select(F.col("hash").alias("u"), F.col("shingles").alias("a")), "u").join(asked.select(F.col("hash").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter(shared / (F.size("a") + F.size("b") - shared) >= least).select("u", "v")
@@ -411,13 +425,11 @@ def similar_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512, 4 << 20):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            first = [prefix(s, *common.value, least) for s in sets]
-            columns = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, of)], dtype=np.int32), np.concatenate(of).view(np.int64)) for of in (sets, first)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("hash"), *columns], ["doc_id", "n", "hash", "shingles", "prefix"])
+            columns = [pa.array([len(s) for s in sets], pa.int32()), lists([prefix(s, *common.value, least) for s in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("hash"), *columns], ["doc_id", "n", "hash", "size", "prefix"])
 
-    made, _ = materialize(rows.mapInArrow(compute, "doc_id long, n int, hash long, shingles array<long>, prefix array<long>"), "prints")
-    sets = made.select("hash", "shingles")
-    keyed = made.select(F.col("hash").alias("node"), F.size("shingles").alias("size"), F.posexplode("prefix").alias("at", "key"))
+    made, _ = materialize(rows.mapInArrow(compute, "doc_id long, n int, hash long, size int, prefix array<long>"), "prints")
+    keyed = made.select(F.col("hash").alias("node"), "size", F.posexplode("prefix").alias("at", "key"))
     row, beside = F.struct("node", "size", "at"), Window.partitionBy("key").orderBy("size", "node")
     near = keyed.select("key", "node", "size", "at", F.lag(row).over(beside).alias("x"), F.lead("node").over(beside).alias("next"))
     # copies of one text lie side by side, one of them is enough
@@ -431,7 +443,7 @@ def similar_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         return [F.least(f"{x}.node", f"{y}.node").alias("u"), F.greatest(f"{x}.node", f"{y}.node").alias("v")]
 
     tried, _ = materialize(shared.withColumn("y", row).filter("x IS NOT NULL").filter(possible("x", "y")).select(*pair("x", "y")).distinct(), "neighbours")
-    edges, _ = materialize(similar_pairs(tried, sets, least), "similar-neighbours")
+    edges, _ = materialize(similar_pairs(tried, rows, least), "similar-neighbours")
     roots = components(edges, rows=edges.count())
     rooted = shared.join(roots, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
@@ -440,7 +452,7 @@ def similar_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     later = (F.col("x.size") < F.col("y.size")) | (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node"))
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & later & possible("x", "y")).select(*pair("x", "y")).distinct()
     rest, _ = materialize(across.join(tried, ["u", "v"], "left_anti"), "other-candidates")
-    edges, _ = materialize(edges.union(similar_pairs(rest, sets, least)), "similar-edges")
+    edges, _ = materialize(edges.union(similar_pairs(rest, rows, least)), "similar-edges")
     roots = components(edges, rows=edges.count())
     return made.join(roots, made["hash"] == roots["node"], "left").select("doc_id", "n", "hash", F.coalesce("root", "hash").alias("root"))
 
