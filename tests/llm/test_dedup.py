@@ -225,3 +225,12 @@ def test_groups_around_an_original_and_reordered_texts(spark):
         texts.append(" ".join([*words[150:], *words[:150]]))
     texts += [texts[0], texts[1], "", "a b", "a b"]
     assert check_groups(spark, texts) > 6
+
+
+def test_candidates_of_small_vocabularies(spark):
+    rng = random.Random(12)
+    texts = []
+    for g in range(60):
+        words = [f"g{g}w{rng.randrange(60)}" for _ in range(350)]
+        texts += [" ".join(words), " ".join([*words, *(f"g{g}v{k}" for k in range(rng.randint(20, 60)))])]
+    assert check_groups(spark, texts) == 60
