@@ -234,3 +234,11 @@ def test_candidates_of_small_vocabularies(spark):
         words = [f"g{g}w{rng.randrange(60)}" for _ in range(350)]
         texts += [" ".join(words), " ".join([*words, *(f"g{g}v{k}" for k in range(rng.randint(20, 60)))])]
     assert check_groups(spark, texts) == 60
+
+
+def test_the_threshold_is_exact(spark):
+    texts = []
+    for g in range(60):  # 404 words have 400 shingles; n words cut from the end leave 400 - n
+        words = [f"g{g}w{k}" for k in range(404)]
+        texts += [" ".join(words), " ".join(words[: 404 - (80 if g % 2 else 81)])]
+    assert check_groups(spark, texts) == 60 + 30
