@@ -226,11 +226,42 @@ def test_long_runs_take_linear_time():
         pii.base_spans(text)
 
 
+def test_parts_of_addresses_with_thousands_of_digits():
+    zeros, large = "0" * 5000 + "1.2.3.4", "7" * 5000 + ".1.1.1"
+    assert pii.base_spans(zeros) == [(1, 0, len(zeros))]
+    assert pii.base_spans(large) == []
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)]
+
+
 @pytest.fixture(scope="module")
 def field():
     return pii.train()
 
 
+def test_free_spans_against_all_pairs():
+    rng = random.Random(5)
+    for _ in range(300):
+        taken = [(rng.randrange(4), a, a + rng.randint(1, 8)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 6)))]
+        cuts = sorted(rng.sample(range(70), 2 * rng.randint(0, 8)))
+        more = [(rng.randrange(4), a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        assert pii.free_spans(taken, more) == [m for m in more if all(m[2] <= a or b <= m[1] for _, a, b in taken)]
+
+
+def test_very_long_numbers_stay_in_memory(field):
+    import tracemalloc
+
+    text = "call (415) 555-2671 or 12 34 5678 9 " * 6_000  # 220 kB, one sequence
+    short = ["room 12 of 14"] * 255
+    tracemalloc.start()
+    found = pii.find_pii(field, [text, *short])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    assert len(found) == 256
+    spans = {(text[a:b], k) for k, a, b in found[0][1]}
+    assert ("(415) 555-2671", 3) in spans
+
+
 def test_the_field_learns_its_table(field):
     for text, spans in pii.examples():
         assert sorted(pii.field_spans(field, [text])[0]) == sorted(spans), text

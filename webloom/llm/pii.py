@@ -12,15 +12,18 @@ log-likelihood (forward-backward in numpy) and decoded by Viterbi over padded ba
 
 A span of the field is added if it is long enough for its kind, and only where no other span lies.
 
-Defined cases: null text counts as empty, without spans; repeated rows are rows of the result each; an empty table
-gives no rows; other columns are ignored.
+Very long texts: the places of words and tokens are kept as numbers, not as objects, sequences are decoded together only
+as far as ``CELLS`` padded tokens allow, and all steps take time in proportion to the text.
+
+Defined cases: null text counts as empty, without spans; a part of an address may have any number of leading zeros;
+repeated rows are rows of the result each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +36,8 @@ KINDS = ("email", "ip", "card", "phone")
 REACH = 3
 #: Training: steps, their length, weight penalty.
 STEPS, RATE, PENALTY = 250, 0.3, 0.002
-#: Sequences decoded together.
-BATCH = 256
+#: Sequences decoded together, and the tokens that they may have when padded to the longest (one sequence may have more).
+BATCH, CELLS = 256, 1 << 15
 #: Digits that a span of the field must have.
 DIGITS = {"ip": (4, 12), "card": (13, 19), "phone": (9, 15)}
 
@@ -132,12 +135,18 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def part_of_address(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    value = digits.lstrip("0")
+    return len(value) < 4 and int(value or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), by kind as in ``KINDS``, then start."""
     found = [(0, a, b) for a, b in emails(text)] if "@" in text else []
     if not _DIGIT.search(text):
         return found
-    found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+    found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(part_of_address(p) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         d = _digits(m.group())
         if 13 <= len(d) <= 19 and luhn(d):
@@ -150,22 +159,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- sequences and features ----
 
 
-def sequences(text: str) -> list[list[tuple[int, int]]]:
-    """Spans of the tokens of each sequence."""
+def _places(matches: Iterator[re.Match]) -> np.ndarray:
+    """Rows (start, end) of matches."""
+    return np.fromiter((x for m in matches for x in m.span()), np.int64).reshape(-1, 2)
+
+
+def sequences(text: str) -> list[np.ndarray]:
+    """Rows (start, end) of the tokens of each sequence."""
     if not _TELLING.search(text):
         return []
-    words = [m.span() for m in _WORD.finditer(text)]
-    telling = [k for k, (a, b) in enumerate(words) if _TELLING.search(text, a, b)]
-    out, k = [], 0
-    while k < len(telling):
-        first = last = telling[k]
-        while k + 1 < len(telling) and telling[k + 1] <= last + 2 * REACH:
-            k += 1
-            last = telling[k]
-        k += 1
-        begin, end = max(0, first - REACH), min(len(words), last + REACH + 1)
-        out.append([m.span() for a, b in words[begin:end] for m in _TOKEN.finditer(text, a, b)])
-    return out
+    words = _places(_WORD.finditer(text))
+    telling = np.nonzero(np.fromiter((_TELLING.search(text, a, b) is not None for a, b in words.tolist()), bool, len(words)))[0]
+    # words that tell and stand near each other share a sequence
+    firsts = np.concatenate([[True], np.diff(telling) > 2 * REACH])
+    lasts = np.append(firsts[1:], True)
+    begins, ends = np.maximum(0, telling[firsts] - REACH), np.minimum(len(words), telling[lasts] + REACH + 1)
+    return [_places(m for a, b in words[begin:end].tolist() for m in _TOKEN.finditer(text, a, b)) for begin, end in zip(begins, ends, strict=True)]
 
 
 _TOLD = frozenset(("at", "dot", "call", "phone", "tel", "mobile", "fax", "card", "visa", "mail", "email", "version", "token", "password", "key", "id"))
@@ -184,13 +193,12 @@ def shape(token: str) -> str:
     return token if token in "@.+-()[]_%/:,=\"#" else "mark"
 
 
-def features(text: str, spans: list[tuple[int, int]]) -> list[str]:
+def features(text: str, spans: np.ndarray) -> Iterator[str]:
     """Shapes, with a sign for tokens that follow white space."""
-    out, end = [], -1
-    for a, b in spans:
-        out.append(shape(text[a:b]) + ("" if a == end else "_"))
+    end = -1
+    for a, b in spans.tolist():
+        yield shape(text[a:b]) + ("" if a == end else "_")
         end = b
-    return out
 
 
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -205,10 +213,11 @@ class Field:
         self.emit = np.zeros((len(OFFSETS), len(shapes) + 1, len(LABELS)))
         self.move = np.zeros((len(LABELS), len(LABELS)))
 
-    def numbers(self, feats: list[str]) -> np.ndarray:
+    def numbers(self, feats: Iterable[str]) -> np.ndarray:
         """Row of shape numbers for each token: one for each offset."""
-        own = np.array([0, 0, *(self.index.get(f, 0) for f in feats), 0, 0])
-        return np.stack([own[2 + o : 2 + o + len(feats)] for o in OFFSETS], axis=1)
+        found = np.fromiter((self.index.get(f, 0) for f in feats), np.int16)
+        own = np.pad(found, 2)
+        return np.stack([own[2 + o : 2 + o + len(found)] for o in OFFSETS], axis=1)
 
     def scores(self, numbers: np.ndarray) -> np.ndarray:
         """Label scores of each token; ``numbers`` may have leading axes."""
@@ -218,10 +227,13 @@ class Field:
         """Best labels of each sequence, by Viterbi over padded batches of like lengths."""
         out: list = [None] * len(seqs)
         order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
-        for a in range(0, len(order), BATCH):
-            part = order[a : a + BATCH]
+        while order:
+            n = 1
+            while n < min(BATCH, len(order)) and (n + 1) * len(seqs[order[n]]) <= CELLS:
+                n += 1
+            part, order = order[:n], order[n:]
             longest = len(seqs[part[-1]])
-            numbers = np.zeros((len(part), longest, len(OFFSETS)), np.int64)
+            numbers = np.zeros((len(part), longest, len(OFFSETS)), np.int16)
             for r, i in enumerate(part):
                 numbers[r, : len(seqs[i])] = seqs[i]
             lengths = np.array([len(seqs[i]) for i in part])
@@ -234,7 +246,7 @@ class Field:
                 best = through.max(axis=1) + self.scores(numbers[:, t])
                 last[lengths == t + 1] = best[lengths == t + 1]
             label = last.argmax(axis=1)
-            found = np.zeros((longest, len(part)), np.int64)
+            found = np.zeros((longest, len(part)), np.int8)
             for t in range(longest - 1, -1, -1):
                 live = lengths > t
                 ends = lengths == t + 1
@@ -267,10 +279,10 @@ def train(table: str = EXAMPLES) -> Field:
     for text, spans in examples(table):
         for seq in sequences(text):
             gold = []
-            for a, b in seq:
+            for a, b in seq.tolist():
                 inside = next(((k, s) for k, s, e in spans if s <= a and b <= e), None)
                 gold.append(0 if inside is None else 1 + 2 * inside[0] + (a > inside[1]))
-            data.append((features(text, seq), np.array(gold)))
+            data.append((list(features(text, seq)), np.array(gold)))
     field = Field(sorted({f for feats, _ in data for f in feats}))
     lines = [(field.numbers(feats), gold) for feats, gold in data]
     longest, n = max(len(g) for _, g in lines), len(LABELS)
@@ -328,7 +340,7 @@ def plausible(kind: int, span: str) -> bool:
 
 
 def field_spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """Spans that the field finds in each text."""
+    """Spans that the field finds in each text, in order; they don't overlap."""
     owner, spans, seqs = [], [], []
     for i, text in enumerate(texts):
         for seq in sequences(text):
@@ -337,16 +349,26 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, int
             seqs.append(field.numbers(features(text, seq)))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for i, seq, labels in zip(owner, spans, field.decode(seqs), strict=True):
-        kind, start, end = -1, 0, 0
-        for (a, b), y in [*zip(seq, labels.tolist(), strict=True), ((0, 0), 0)]:
-            now = (y - 1) // 2 if y else -1
-            if kind >= 0 and (now != kind or y % 2 == 1):
-                if plausible(kind, texts[i][start:end]):
-                    out[i].append((kind, start, end))
-                kind = -1
-            if now >= 0 and kind < 0:
-                kind, start = now, a
-            end = b
+        kinds = np.where(labels > 0, (labels - 1) // 2, -1)
+        # a span begins with its kind or with the label of a beginning
+        begins = (kinds >= 0) & ((labels % 2 == 1) | np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+        ends = (kinds >= 0) & np.concatenate([begins[1:] | (kinds[1:] != kinds[:-1]), [True]])
+        for k, a, b in zip(kinds[begins].tolist(), seq[begins, 0].tolist(), seq[ends, 1].tolist(), strict=True):
+            if plausible(k, texts[i][a:b]):
+                out[i].append((k, a, b))
+    return out
+
+
+def free_spans(taken: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of ``more`` that overlap none of the spans ``taken``; both are read once, in the order of their places."""
+    out, at, reach = [], 0, 0
+    order = sorted((a, b) for _, a, b in taken)
+    for k, a, b in sorted(more, key=lambda s: s[1]):
+        while at < len(order) and order[at][0] < b:
+            reach = max(reach, order[at][1])
+            at += 1
+        if reach <= a:
+            out.append((k, a, b))
     return out
 
 
@@ -355,11 +377,7 @@ def find_pii(field: Field, texts: list[str]) -> list[tuple[list, list]]:
     out = []
     for text, more in zip(texts, field_spans(field, texts), strict=True):
         base = base_spans(text)
-        found = list(base)
-        for k, a, b in more:
-            if all(b <= s or e <= a for _, s, e in found):
-                found.append((k, a, b))
-        out.append((base, sorted(found)))
+        out.append((base, sorted(base + free_spans(base, more))))
     return out
 
 
