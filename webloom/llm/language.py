@@ -10,7 +10,7 @@ largest proportion, and its proportion is the score.
 Counting sends one row for each task, language and n-gram hash to the shuffle; the model has at most 2**BITS numbers a
 language. EM runs over a batch of documents at once, in numpy.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0; without training rows every text is `und`;
+Defined cases: a null text, or one without a letter (Unicode categories L*; number signs are none), is `und` with score 0; without training rows every text is `und`;
 ties go to the language whose name comes first; repeated rows are rows of the result each; an empty table gives no
 rows; other columns are ignored.
 """
@@ -18,6 +18,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -38,7 +39,11 @@ FOLDS = 5
 SMOOTHING = 0.5
 STEPS = 8
 STRICTNESS = 4.0
-WORDS = re.compile(r"[^\W\d_]+")
+
+#: Numbers that are no decimal digits (fractions, superscripts, Roman numerals); all lie below this code point.
+_OTHER_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("No", "Nl"))
+#: Runs of letters (Unicode categories L*): what is alphanumeric less the numbers.
+WORDS = re.compile(rf"[^\W\d_{_OTHER_NUMBERS}]+")
 
 
 @dataclass
