@@ -41,6 +41,8 @@ MAGIC = b"WLPLANE1"
 BLOCK = 1 << 16
 LEVEL = 3
 END_ID = 2
+#: Tasks that read files at most; with more files each task reads several.
+READ_TASKS = 50_000
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
@@ -205,8 +207,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     rows = [(d, row["start"] + place, len(ids), zlib.crc32(ids.tobytes())) for d, place, ids in PlaneReader(source).documents()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    # files are of like sizes: dealt by their own hash, each goes to some task whole
-    return files.select("path", "start").repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # files are of like sizes: dealt in turn over a fixed number of partitions, which adaptive execution leaves alone
+    tasks = max(1, min(READ_TASKS, files.count()))
+    return files.select("path", "start").repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
