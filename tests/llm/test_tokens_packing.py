@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -101,3 +102,19 @@ def test_packed_documents(odd, nothing, some, bpe_path, monkeypatch, groups):
 def test_ids_on_request(odd, bpe_path):
     rows = packing.pack_documents(odd, bpe_path, with_ids=True).collect()
     assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in rows)
+
+
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=40))
+@settings(max_examples=50, deadline=None)
+def test_index_of_sums_stays_in_step_with_the_counts(lengths):
+    index = packing.Complements(np.bincount(lengths, minlength=33))
+    while index.counts.any():
+        anew = packing.Complements(index.counts.copy())
+        assert (index.pairs == anew.pairs).all() and (index.made_by == anew.made_by).all() and (index.triples == anew.triples).all()
+        there = [x for x in range(33) for _ in range(min(3, int(index.counts[x])))]
+        for gap in range(1, 33):
+            for n, look_up in ((1, index.single), (2, index.pair), (3, index.triple)):
+                found = look_up(gap, {})
+                assert (found is None) == (gap not in {sum(c) for c in itertools.combinations(there, n)})
+                assert found is None or sum(found) == gap
+        index.use({int(np.nonzero(index.counts)[0][0]): 1}, 1)

@@ -4,8 +4,8 @@ Every document's ids (with the end id) become pieces of at most ``capacity`` tok
 their first piece taking what is left over. Which pieces share a sequence depends on lengths alone, so the packing is
 made on the histogram of lengths, which has ``capacity`` entries however many documents there are:
 
-* an index of the available lengths gives, for a gap, the single length, the pair sum or the triple sum that fills it
-  exactly; a combination is used as many times as the counts allow;
+* an index from sums to single lengths, pairs and triples gives what fills a gap exactly; it is kept in step with the
+  counts (a length that is used up leaves it), and a combination is used as many times as the counts allow;
 * where nothing fills a gap exactly, the longest length that fits is placed (best fit) and the rest of the gap is
   looked up again.
 
@@ -14,7 +14,7 @@ the offset. Pieces are ranked within their length (in salted groups, so that one
 group) and find their sequence by that range.
 
 Defined cases: null text counts as empty (one piece holding the end id); repeated rows are packed each; ties in the
-rank are broken by doc_id and piece; an empty table gives no rows; other columns are ignored.
+rank are broken by all other columns but the ids, so only equal rows can swap; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,50 +37,78 @@ RANKED_SHARE, RANKED_LEAST, RANKED_TOGETHER = 200, 1000, 100_000
 
 
 class Complements:
-    """Counts of lengths, and lookups of what fills a gap exactly."""
+    """Available lengths, and an index from a sum to the lengths, pairs and triples of lengths that make it.
+
+    ``pairs[s, a]`` says that a length a and a length s - a (at least a) are there; ``triples[s, x]`` that a length x is
+    there and some pair makes s - x. Entries go when the last piece of a length is used, so a look-up meets only what
+    the counts allow; what the sequence under construction holds already is taken off there.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
-
-    def single(self, gap: int, held: dict[int, int]) -> tuple[int, ...] | None:
-        return (gap,) if self.counts[gap] - held.get(gap, 0) > 0 else None
-
-    def free(self, upto: int, held: dict[int, int]) -> np.ndarray:
-        free = self.counts[: upto + 1].copy()
+        n = len(counts)
+        sums, smaller = np.arange(n)[:, None], np.arange(n)[None, :]
+        there = counts > 0
+        there[0] = False
+        other = sums - smaller
+        self.pairs = (smaller <= other) & there[smaller] & there[np.maximum(other, 0)]
+        self.made_by = self.pairs.sum(axis=1)  # pairs that make each sum
+        self.triples = (other > 0) & there[smaller] & (self.made_by[np.maximum(other, 0)] > 0)
+
+    def use(self, held: dict[int, int], times: int) -> None:
+        """Take pieces away, and out of the index those lengths of which none is left."""
         for length, n in held.items():
-            if length <= upto:
-                free[length] -= n
+            self.counts[length] -= n * times
+            if self.counts[length] == 0:
+                self._gone(length)
+
+    def _gone(self, length: int) -> None:
+        n = len(self.counts)
+        partner = np.arange(1, n - length)
+        sums, smaller = length + partner, np.minimum(length, partner)
+        self.made_by[sums] -= self.pairs[sums, smaller]
+        changed = sums[self.pairs[sums, smaller]]
+        self.pairs[sums, smaller] = False
+        self.triples[:, length] = False
+        for s in changed[self.made_by[changed] == 0].tolist():  # no pair makes this sum any more
+            first = np.arange(n - s)
+            self.triples[s + first, first] = False
+
+    def free(self, length: int | np.ndarray, held: dict[int, int]) -> np.ndarray:
+        """How many pieces of the lengths the sequence under construction could still take."""
+        free = self.counts[length].copy()
+        for x, n in held.items():
+            free = free - n * (length == x)
         return free
 
-    @staticmethod
-    def pair(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
+    def single(self, gap: int, held: dict[int, int]) -> tuple[int, ...] | None:
+        return (gap,) if self.free(gap, held) > 0 else None
+
+    def pair(self, gap: int, held: dict[int, int]) -> tuple[int, ...] | None:
         """The pair of lengths with this sum that can be used most often."""
-        if gap < 2:
+        a = np.nonzero(self.pairs[gap])[0]
+        if not len(a):
             return None
-        a = np.arange(1, gap // 2 + 1)
-        uses = np.minimum(free[a], free[gap - a])
-        if gap % 2 == 0:
-            uses[-1] = free[gap // 2] // 2
+        uses = np.where(a == gap - a, self.free(a, held) // 2, np.minimum(self.free(a, held), self.free(gap - a, held)))
         best = int(uses.argmax())
         return (gap - int(a[best]), int(a[best])) if uses[best] > 0 else None
 
-    def triple(self, gap: int, free: np.ndarray) -> tuple[int, ...] | None:
+    def triple(self, gap: int, held: dict[int, int]) -> tuple[int, ...] | None:
         """A length, the longest first, and a pair that fills what it leaves."""
-        for first in range(gap - 2, (gap + 2) // 3 - 1, -1):
-            if free[first] > 0:
-                free[first] -= 1
-                rest = self.pair(gap - first, free)
-                free[first] += 1
+        for first in np.nonzero(self.triples[gap])[0][::-1].tolist():
+            if self.free(first, held) > 0:
+                rest = self.pair(gap - first, held | {first: held.get(first, 0) + 1})
                 if rest:
                     return first, *rest
         return None
 
     def fill(self, gap: int, held: dict[int, int]) -> tuple[int, ...] | None:
-        found = self.single(gap, held)
-        if not found:
-            free = self.free(gap, held)
-            found = self.pair(gap, free) or self.triple(gap, free)
-        return found
+        return self.single(gap, held) or self.pair(gap, held) or self.triple(gap, held)
+
+    def longest(self, gap: int, held: dict[int, int]) -> tuple[int, ...] | None:
+        """Best fit: the longest length that goes in."""
+        fits = np.nonzero(self.free(np.arange(gap + 1), held) > 0)[0]
+        return (int(fits[-1]),) if len(fits) and fits[-1] > 0 else None
 
 
 def combinations(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
@@ -91,20 +119,14 @@ def combinations(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         while left[length] > 0:
             items, gap = [length], capacity - length
             held = {length: 1}
-            while gap:
-                found = index.fill(gap, held)
-                if not found:  # best fit: the longest that goes in, then the rest of the gap again
-                    fits = np.nonzero(index.free(gap, held) > 0)[0]
-                    if not len(fits):
-                        break
-                    found = (int(fits[-1]),)
+            # best fit where nothing fills the gap exactly, then the rest of the gap again
+            while gap and (found := index.fill(gap, held) or index.longest(gap, held)):
                 for x in found:
                     items.append(x)
                     held[x] = held.get(x, 0) + 1
                     gap -= x
             times = int(min(left[x] // n for x, n in held.items()))
-            for x, n in held.items():
-                left[x] -= n * times
+            index.use(held, times)
             out.append((tuple(items), times))
     return out
 
@@ -155,10 +177,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = spark.createDataFrame(places(counts), schema)
     together = min(RANKED_TOGETHER, max(RANKED_LEAST, int(counts.sum()) // RANKED_SHARE))
     groups = int(max(1, -(-counts.max() // together)))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    total = ["doc_id", "piece", *(c for c in cut.columns if c not in ("doc_id", "piece", "length", "ids"))]
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64(*total), F.lit(groups)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    order = Window.partitionBy("length", "salt").orderBy(*total)
     ranked = salted.withColumn("rank", F.row_number().over(order) - 1)
     if groups > 1:
         ranked = ranked.join(first, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first")).drop("first")
