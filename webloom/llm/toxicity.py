@@ -11,7 +11,8 @@ the executors; the driver gets the counts (at most 2**BITS) and the sample's few
 whole text once.
 
 Defined cases: null text counts as empty; an empty text gets the score of the intercept; a doc_id with several labels
-is toxic if one says so, and null labels don't count; without rows of both kinds there is nothing to tell apart and
+is toxic if one says so, and null labels don't count; of rows repeated with one labelled doc_id the one with the smallest
+hash of its text is learnt from, so the sample never has more rows than ids; without rows of both kinds there is nothing to tell apart and
 every score is the share of toxic rows (0 without labels); repeated rows are rows of the result each; an empty table
 gives no rows; other columns are ignored.
 """
@@ -92,8 +93,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     marked = labels.select(F.col("doc_id").cast("long").alias("sample_id"), F.col(label).cast("int").alias("label")).dropna()
     chosen = marked.groupBy("sample_id").agg(F.max("label").alias("label")).filter(fold("sample_id", folds) != 0)
     chosen = chosen.orderBy(F.xxhash64("sample_id"), "sample_id").limit(sample)
-    # `sample` ids at most, whatever the tables' size
+    # `sample` ids at most, whatever the tables' size; of an id's rows one, chosen on the map side first
     rows = whole_text(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("sample_id")).select("doc_id", "text", "label")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("doc_id", F.col("first.text").alias("text"), "label")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -115,18 +117,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     keep = np.abs(log) >= LEAST_RATIO
     ratio[table["f"].to_numpy()[keep]] = log[keep]
     kept = spark.createDataFrame([(int(f),) for f in np.nonzero(ratio)[0]], "f int")
-    small = each_of(spread_rows).join(F.broadcast(kept), "f").toArrow().to_pandas()  # kept features of the sample's rows
-    ids = spread_rows.select("doc_id", "label").toArrow().to_pandas().drop_duplicates("doc_id")
+    small = spread_rows.select("doc_id", F.explode(F.arrays_zip("f", "n")).alias("x")).select("doc_id", F.col("x.f").alias("f"), F.col("x.n").alias("n")).join(F.broadcast(kept), "f").toArrow().to_pandas()  # kept features of the sample's rows
+    ids = spread_rows.select("doc_id", "label").toArrow().to_pandas()
     ids = ids.sort_values("doc_id").reset_index(drop=True)
     row = ids["doc_id"].searchsorted(small["doc_id"]).astype(np.int64)
     order = np.lexsort((small["f"].to_numpy(), row))
     return fit(ids["label"].to_numpy(float), row[order], small["f"].to_numpy(np.int64)[order], small["n"].to_numpy(float)[order], ratio)
 
 
-def each_of(rows: DataFrame) -> DataFrame:
-    return rows.dropDuplicates(["doc_id"]).select("doc_id", F.explode(F.arrays_zip("f", "n")).alias("x")).select("doc_id", F.col("x.f").alias("f"), F.col("x.n").alias("n"))
-
-
 def toxicity(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, score and predicted of every row."""
     name = uuid.uuid4().hex  # of this model's words in the workers
