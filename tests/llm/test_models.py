@@ -71,6 +71,75 @@ def test_toxicity_score_is_the_sum_of_its_weights(spark):
         assert r["score"] == pytest.approx(toxicity.sigmoid(z), rel=1e-6)
 
 
+def test_ratios_and_fit_against_plain_loops(spark):
+    """Counts, log-count ratios, the cut of features and the gradient steps, anew from the texts."""
+    docs, labels = toxic_tables(spark, 160)
+    model = toxicity.train(docs, labels)
+    marked = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    learnt = [(marked[r["doc_id"]], r["text"]) for r in sorted(docs.withColumn("f", fold("doc_id", 5)).filter("f <> 0").collect(), key=lambda r: r["doc_id"])]
+
+    def values(text):
+        found = Counter()
+        for w in {w for w in re.findall(r"\w+", text.lower())}:
+            for n in toxicity.SIZES:
+                padded = f" {w} "
+                for a in range(len(padded) - n + 1):
+                    found[padded[a : a + n]] += 1
+        return found
+
+    rows = [(y, values(t)) for y, t in learnt]
+    hashed = {}
+    for _, v in rows:
+        for g in v:
+            hashed.setdefault(g, one_gram(g))
+    by_hash = [(y, sum((Counter({hashed[g]: n}) for g, n in v.items()), Counter())) for y, v in rows]
+    p, q, df = Counter(), Counter(), Counter()
+    for y, v in by_hash:
+        for h, n in v.items():
+            (p if y else q)[h] += n
+            df[h] += 1
+    often = [h for h in df if df[h] >= toxicity.LEAST_ROWS]
+    size, one = 1 << toxicity.BITS, toxicity.SMOOTHING
+    sum_p, sum_q = sum(p[h] for h in often), sum(q[h] for h in often)
+    ratio = {h: math.log((p[h] + one) / (sum_p + one * size)) - math.log((q[h] + one) / (sum_q + one * size)) for h in often}
+    ratio = {h: r for h, r in ratio.items() if abs(r) >= toxicity.LEAST_RATIO}
+    share = sum(y for y, _ in by_hash) / len(by_hash)
+    w, past, b, past_b = dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 1e-8), math.log(share / (1 - share)), 1e-8
+    for _ in range(toxicity.STEPS):
+        grad, grad_b = {h: toxicity.PENALTY * w[h] for h in ratio}, 0.0
+        for y, v in by_hash:
+            off = (toxicity.sigmoid(b + sum(w[h] * n * ratio[h] for h, n in v.items() if h in ratio)) - y) / len(by_hash)
+            grad_b += off
+            for h, n in v.items():
+                if h in ratio:
+                    grad[h] += off * n * ratio[h]
+        for h in ratio:
+            past[h] += grad[h] ** 2
+            w[h] -= toxicity.RATE * grad[h] / math.sqrt(past[h])
+        past_b += grad_b**2
+        b -= toxicity.RATE * grad_b / math.sqrt(past_b)
+    assert {int(h) for h in np.nonzero(model.weights)[0]} == {h for h in ratio if w[h] * ratio[h] != 0}
+    assert model.intercept == pytest.approx(b, rel=1e-6)
+    assert all(model.weights[h] == pytest.approx(w[h] * ratio[h], rel=1e-4, abs=1e-7) for h in ratio)
+
+
+def one_gram(gram):
+    """The hash of one n-gram, by the definition: a polynomial of its characters, mixed; its highest bits."""
+    h, mask = len(gram), (1 << 64) - 1
+    for c in gram:
+        h = (h * int(chargrams._STEP) + ord(c)) & mask
+    h ^= h >> 29
+    return (h * int(chargrams._MIX) & mask) >> (64 - toxicity.BITS)
+
+
+def test_rows_repeated_with_one_id_count_once(spark):
+    docs, labels = toxic_tables(spark, 60)
+    model = toxicity.train(docs, labels)
+    again = docs.unionByName(docs.filter("doc_id % 3 = 1")).unionByName(docs.filter("doc_id = 4"))
+    same = toxicity.train(again, labels)
+    assert same.intercept == pytest.approx(model.intercept) and np.allclose(same.weights, model.weights)
+
+
 def test_toxicity_of_odd_rows(spark, odd, nothing):
     docs, labels = toxic_tables(spark, 100)
     model = toxicity.train(docs, labels)
@@ -102,6 +171,20 @@ def test_language(some, odd, nothing):
     assert {r["lang_pred"] for r in language.identify(some, unknown).collect()} == {"und"}
 
 
+def test_letters_are_the_categories_of_letters():
+    import sys
+    import unicodedata
+
+    letters = {c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L"}
+    assert set("".join(language.WORDS.findall(" ".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))))) == letters
+
+
+def test_number_signs_are_no_letters(spark, some):
+    model = language.train(some)
+    rows = spark.createDataFrame([(1, "½ ² ①"), (2, "Ⅷ"), (3, "12 ٣ _"), (4, "Ⅷ the house and the garden ½")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in language.identify(rows, model).collect()} == {1: ("und", False), 2: ("und", False), 3: ("und", False), 4: ("en", True)}
+
+
 def test_mixtures_of_two_languages(spark, some):
     model = language.train(some)
     own = {k: " ".join(r["text"] for r in some.filter(F.col("lang") == k).limit(6).collect()).split()[:300] for k in ("fr", "de")}

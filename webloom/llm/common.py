@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share.
+    """URI of the folder that driver and executors share: what the cluster names in ``spark.checkpoint.dir``.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine,
-    a folder under the temporary directory is set.
+    Where that is unset, the folder given to ``SparkContext.setCheckpointDir``. Only a local master, as in tests, may do
+    without both: then a folder under the temporary directory is set. A cluster must name one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"webloom-shared-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
