@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from webloom.llm import exact_dedup, simhash
+from webloom.llm import exact_dedup, near_copies, simhash
 
 
 def plain(text):
@@ -141,26 +141,11 @@ def test_components_of_long_chains_and_stars(spark):
 def test_drop_near_copies(spark, odd, nothing):
     base = " ".join(f"w{k}" for k in range(600))
     docs = spark.createDataFrame([(1, base, "x"), (2, base + " tail", "y"), (3, "something else altogether here", "z"), (3, "another text under the same id", "q"), (4, None, None)], "doc_id long, text string, extra string")
-    rows = simhash.drop_near_copies(docs).collect()
+    rows = near_copies.drop_near_copies(docs).collect()
     assert sorted((r["doc_id"], r["extra"] or "") for r in rows) == [(2, "y"), (3, "q"), (3, "z"), (4, "")]
     assert set(rows[0].asDict()) == {"doc_id", "text", "extra"}
-    assert simhash.drop_near_copies(nothing).count() == 0
-    assert simhash.drop_near_copies(odd).columns == odd.columns
-
-
-def test_similarity_estimates():
-    rng = random.Random(2)
-    for share in (0.0, 0.5, 0.8, 0.9, 1.0):
-        errors = []
-        for _ in range(40):
-            n = rng.choice([4, 30, 400, 3000])
-            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
-            other = [w if rng.random() < share ** 0.2 else f"v{rng.randrange(10**6)}" for w in words]
-            shingles = [{" ".join(t[k : k + 5]) for k in range(max(1, n - 4))} for t in (words, other)]
-            exact = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
-            got = simhash.similarity([simhash.prints(" ".join(words))[1]], [simhash.prints(" ".join(other))[1]])[0]
-            errors.append(got - exact)
-        assert abs(sum(errors) / len(errors)) < 0.03 and max(map(abs, errors)) < 0.12
+    assert near_copies.drop_near_copies(nothing).count() == 0
+    assert near_copies.drop_near_copies(odd).columns == odd.columns
 
 
 def test_near_copies_are_found_and_others_left_alone(spark):
@@ -174,7 +159,7 @@ def test_near_copies_are_found_and_others_left_alone(spark):
         for _ in range(max(1, len(words) // 100)):  # about 0.9 similar
             changed[rng.randrange(len(words))] = "changed"
         docs.append((1000 + i, " ".join([*changed, "more"])))
-    left = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    left = {r["doc_id"] for r in near_copies.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(i in left or 1000 + i in left for i in range(originals))
     assert len(left) <= originals * 1.05
 
@@ -199,7 +184,7 @@ def check_groups(spark, texts, least=0.8):
             if a and len(a & sets[j]) / len(a | sets[j]) >= least or texts[i] == texts[j]:
                 parent[root(i)] = root(j)
     got, want = defaultdict(set), defaultdict(set)
-    for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+    for r in near_copies.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
         got[r["root"]].add(r["doc_id"])
     for i in range(len(texts)):
         want[root(i)].add(i)
@@ -242,3 +227,54 @@ def test_the_threshold_is_exact(spark):
         words = [f"g{g}w{k}" for k in range(404)]
         texts += [" ".join(words), " ".join(words[: 404 - (80 if g % 2 else 81)])]
     assert check_groups(spark, texts) == 60 + 30
+
+
+@pytest.mark.parametrize("tile", [7])
+def test_dense_groups_and_common_passages(spark, monkeypatch, tile):
+    """Many copies of one text, many of them below 0.8 to most others, and a passage that a third of all texts quote."""
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    rng = random.Random(13)
+    words = [f"d{rng.randrange(10**6)}" for _ in range(130)]
+    texts = [with_words_replaced(rng, words, rng.randint(1, 5)) for _ in range(90)]
+    passage = [f"p{k}" for k in range(60)]
+    for _ in range(60):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([5, 12, 20, 80]))]
+        texts.append(" ".join([*own, *passage]))
+    assert check_groups(spark, texts) > 30
+
+
+@pytest.mark.parametrize("length", [30, 300])
+def test_recall_by_similarity(spark, length):
+    """Of pairs of distinct texts at 0.8 or more, in every band of similarity all share a group."""
+    rng = random.Random(length)
+    texts, family = [], []
+    for g in range(25):
+        words = [f"f{g}w{rng.randrange(10**6)}" for _ in range(length)]
+        for _ in range(6):
+            texts.append(with_words_replaced(rng, words, rng.randint(0, max(1, length // 40))))
+            family.append(g)
+    roots = {r["doc_id"]: r["root"] for r in near_copies.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets, found = [shingle_set(t) for t in texts], defaultdict(list)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if family[i] == family[j] and texts[i] != texts[j] and (similar := len(a & sets[j]) / len(a | sets[j])) >= 0.8:
+                found[int(similar * 50)].append(roots[i] == roots[j])
+    assert sum(map(len, found.values())) >= 10 and all(all(f) for f in found.values())
+
+
+def test_counts_of_shingles_order_the_prefix():
+    hashes, often = np.array([5, 1, 9, 3, 7], np.uint64), np.array([1, 3, 1, 2, 9])
+    assert near_copies.prefix(hashes, often, 0.8).tolist() == [0, 2]  # 5 - 4 + 1 of the rarest, by hash
+    assert near_copies.prefix(hashes[:0], often[:0]).tolist() == []
+
+
+def test_arrays_travel_whole():
+    from webloom.llm import dealt
+
+    rng = np.random.default_rng(1)
+    arrays = [rng.integers(0, 2**63, 100).astype("<u8"), np.zeros(0, "<i4"), rng.integers(0, 99, 7).astype("u1")]
+    got = dealt.unpacked(dealt.packed(*arrays), "<u8", "<i4", "u1")
+    assert all((x == y).all() and x.dtype == y.dtype for x, y in zip(arrays, got, strict=True))
+    hashes = np.sort(rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
+    parts = dealt.part_of(hashes, 7)
+    assert (np.diff(parts) >= 0).all() and set(parts.tolist()) == set(range(7))

@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline as cp
-from webloom.llm import exact_dedup, pii, simhash, toxicity
+from webloom.llm import exact_dedup, near_copies, pii, toxicity
 from webloom.llm.common import materialize
 from webloom.llm.queries import ORACLES, QUERIES
 
@@ -42,7 +42,7 @@ def test_stages(spark, sf, some):
             assert set(kept) == {r["doc_id"] for r in exact_dedup.exact_dedup(rows).filter("kept").collect()}
         elif name == "simhash_near_dedup":
             groups = {}
-            for r in simhash.similar_groups(rows).collect():
+            for r in near_copies.similar_groups(rows).collect():
                 groups.setdefault(r["root"], []).append(r["doc_id"])
             assert set(kept) == {min(g, key=lambda i: (-len(before[i]["text"] or ""), i)) for g in groups.values()}
         else:
