@@ -5,7 +5,7 @@ return the columns of ``documents``:
 
 1. toxicity: rows that the classifier calls toxic go (fitted on ``labels`` and the table's own rows of its training folds);
 2. exact copies: of equal texts the longest original, then the smallest doc_id stays;
-3. near copies: of documents linked by SimHash (five-word shingles, a similarity of 0.8 or more) the longest text, then the smallest doc_id stays;
+3. near copies (SimHash first, then all pairs of a similarity of 0.8 or more over five-word shingles): of each group the longest text, then the smallest doc_id stays;
 4. personal data: every span found is masked by its kind in brackets, ``n_chars`` follows the new text;
 5. packing: pieces of at most 1024 tokens with their sequence and offset.
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.deploy import ship
-from webloom.llm import exact_dedup, packing, pii, simhash, toxicity
+from webloom.llm import exact_dedup, near_copies, packing, pii, toxicity
 from webloom.llm.common import materialize, small_batches
 
 
@@ -41,7 +41,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    return simhash.drop_near_copies(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
