@@ -1,7 +1,7 @@
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -237,52 +237,72 @@ def test_scores(spark, some, odd, nothing, bucket, monkeypatch):
     assert suffix_tree.lm_scores(nothing).count() == 0
 
 
-def test_tree_scores_agree_with_walking_the_contexts(spark, some):
-    rows = some.select("text").limit(60)
-    share = 1e-3
-    tree = suffix_tree.learn(rows, 3, share)
-    texts = [suffix_tree.tokens(r["text"]) for r in rows.collect()]
-    # counts of contexts, by brute force
-    counts = {}
-    for ws in texts:
-        s = b"\n" * 3 + b" ".join(ws) + b"\n"
-        for i in range(3, len(s)):
-            for k in range(4):
-                counts.setdefault(s[i - k : i], Counter())[s[i]] += 1
-    total = sum(counts[b""].values())
-    often = {c for c, n in counts.items() if sum(n.values()) >= max(1.0, share * total)}
-    rare = {c: {a: n for a, n in counts[c].items() if n >= suffix_tree.LEAST_SYMBOL * sum(counts[c].values()) or not c} for c in often}
-
-    def p(c, a):
-        if c == b"":
-            below = 1 / 256
-        else:
-            below = p(c[1:], a)
-        all_ = sum(counts[c].values())
-        rest = suffix_tree.SHRINK + all_ - sum(rare[c].values())
-        return (rare[c].get(a, 0) + rest * below) / (all_ + suffix_tree.SHRINK)
-
-    kept = {b""}
-    for c in sorted(often, key=len):
-        if c:
-            s = sum(rare[c].values())
-            if sum(n / s * math.log(n / s / p(c[1:], a)) for a, n in rare[c].items()) >= suffix_tree.LEAST_DIVERGENCE:
-                kept |= {c[k:] for k in range(len(c))}
-    assert tree.kept == len(kept)
-    for ws in texts[:8]:
-        s = b"\n" * 3 + b" ".join(ws) + b"\n"
-        want = 0.0
-        for i in range(3, len(s)):
-            c = next(s[i - k : i] for k in range(3, -1, -1) if s[i - k : i] in kept)
-            want += math.log10(p(c, s[i]))
-        assert tree.score([ws])[0] == pytest.approx(want, rel=1e-4)
-
-
-def test_distributions_sum_to_one(some):
-    tree = suffix_tree.learn(some.select("text"), 2, 1e-3)
-    p = 10.0 ** tree.logs.reshape(-1, tree.width)
-    unseen = 256 - (tree.width - 1)
-    assert p[:, 1:].sum(axis=1) + p[:, 0] * unseen == pytest.approx(np.ones(len(p)), abs=1e-4)
+def walked(docs, held, shrink=suffix_tree.SHRINK):
+    """Scores by brute force: counts of all contexts, the test of each, and the longest kept one at each place."""
+    sequences = {i: [None, *ws, None] for i, ws in docs}  # None: the end, also before the beginning
+    learnt = [s for i, s in sequences.items() if not held(i)]
+    unigram = Counter(w for s in learnt for w in s[1:])
+    n, v = sum(unigram.values()), len(unigram)
+    follow = [defaultdict(Counter), defaultdict(Counter)]
+    for s in learnt:
+        for p in range(1, len(s)):
+            for k in (1, 2):
+                if p >= k:
+                    follow[k - 1][tuple(s[p - k : p])][s[p]] += 1
+    kept = set()
+
+    def chance(context, w):
+        while context and context not in kept:
+            context = context[1:]
+        return own(context, w, chance(context[1:], w)) if context else (unigram[w] + 1) / (n + v + 1)
+
+    def own(context, w, below):
+        seen, weight = follow[len(context) - 1][context], shrink[len(context) - 1]
+        total, often = sum(seen.values()), sum(c for c in seen.values() if c > 1)
+        return ((seen[w] if seen[w] > 1 else 0) + (weight + total - often) * below) / (total + weight)
+
+    for k in (1, 2):
+        for context, seen in follow[k - 1].items():
+            total, weight = sum(seen.values()), shrink[k - 1]
+            if total < 2:
+                continue
+            rest = sum(c for c in seen.values() if c == 1)
+            gain = rest * math.log((weight + rest) / (total + weight))
+            for w, c in seen.items():
+                if c > 1:
+                    p = 10 ** -(int(suffix_tree.in_steps(np.array([chance(context[1:], w)]))[0]) / suffix_tree.STEPS)
+                    gain += c * math.log((c + weight * p) / ((total + weight) * p))
+            if gain >= suffix_tree.LEAST_GAIN:
+                kept.add(context)
+    return {i: sum(math.log10(chance(tuple(s[max(0, p - 2) : p]), s[p])) for p in range(1, len(s))) for i, s in sequences.items()}, kept, chance, [*unigram]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_agree_with_walking_the_contexts(spark, some, small, monkeypatch):
+    import zlib
+
+    if small:  # many buckets and parts, and contexts in several slices
+        for name, value in (("BUCKET_TOKENS", 3000), ("PART_TOKENS", 500), ("PART_GRAMS", 1000), ("SPLIT", 20)):
+            monkeypatch.setattr(suffix_tree, name, value)
+    rows = some.limit(90)
+    docs = [(r["doc_id"], words(r["text"])) for r in rows.collect()]
+    want, kept, chance, vocabulary = walked(docs, lambda i: zlib.crc32(str(i).encode()) % 7 == 2)
+    assert {len(c) for c in kept} == {1, 2}
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.lm_scores(spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs], "doc_id long, text string")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+    for context in sorted(kept, key=str)[:40]:  # each distribution sums to 1, unknown tokens being one symbol
+        assert sum(chance(context, w) for w in [*vocabulary, "unknown"]) == pytest.approx(1)
+
+
+def test_the_tree_beats_the_baseline_and_grows(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    held = suffix_tree.lm_scores(spark.read.parquet(f"{folder}/documents.parquet")).filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert held[1] > 0.96 * held[0]
 
 
 # ---- personal data ----

@@ -1,64 +1,73 @@
 """Operator 9: language-model scores by a probabilistic suffix tree, beside a unigram baseline.
 
-Texts are lower-cased (A-Z) and cut into words at ASCII white space; an end token follows. The tree's symbols are the
-bytes of the words: a blank ends a word, a line feed ends the text. Contexts are the up to ``DEPTH`` bytes before a
-symbol, across words.
-
-Tree. A context counts if its share of all positions is at least ``LEAST_SHARE`` (so there are at most
-DEPTH / LEAST_SHARE contexts, whatever the corpus) and is kept if its next-symbol distribution diverges from that of
-the context one byte shorter by at least ``LEAST_DIVERGENCE`` (Kullback-Leibler, in nats), or if a longer context that
-ends in it is kept. Distributions are smoothed towards the shorter context's, down to the uniform one. The kept
-contexts and their beginnings make an automaton whose state is the longest suffix of the text that it knows; scoring
-follows it over many pieces of text at once.
-
-Counts cover all training rows. N-grams are counted in each task, summed by Spark, and only the contexts above the
-share reach the driver. Unigram counts can't be bounded, so they never leave Spark: documents are dealt to buckets of
-about ``BUCKET_TOKENS`` tokens, and each bucket asks once for each of its distinct tokens, however common. Questions
-go by parts of the token's hash, a compressed list of sorted tokens for each bucket and part; the answer is the list of
-their counts, which meets the bucket's documents again.
-
-Defined cases: null text counts as empty: the end token alone; with no training rows every count is 0 and all
-distributions are uniform; repeated rows are rows of the result each; an empty table gives no rows; other columns are ignored.
+Texts are lower-cased (A-Z) and cut into words at ASCII white space; an end token follows. The tree's symbols are these
+tokens; contexts are the up to ``DEPTH`` tokens before a symbol, the beginning of the text (written as an end token)
+included.
+
+Tree. The root is the baseline's distribution, in which all unknown tokens are one symbol. A context of k tokens that
+occurs twice or more is tested against the longest kept context that it ends in: with n(c) occurrences, n(c, w) of them
+before w, r of them before symbols met only once there, and a shorter distribution P', its own is
+
+    P(w | c) = (n(c, w) [if 2 or more] + (SHRINK + r) P'(w)) / (n(c) + SHRINK)
+
+and it is kept if the log-likelihood ratio of its occurrences, P against P' (n(c) times their divergence, singly met
+symbols counted at their discount), is ``LEAST_GAIN`` nats or more. So the tree grows with the corpus, by no share or
+cap. A position is scored by the longest kept context before it.
+
+Nothing of the tree is on the driver or held whole anywhere. Documents are dealt, some megabyte at a time and
+whatever they hold, to buckets of about ``BUCKET_TOKENS`` tokens. A bucket asks once for each of its distinct tokens,
+then, length by length, once for each of its distinct contexts and n-grams: questions carry the bucket's own training
+counts and go to parts by the context's hash; a part sums them over all buckets, tests its contexts, and sends back sums
+and counts. An n-gram is asked for only where its parts, known by then, occur twice or more. The next symbols of a very
+common context are spread over several parts; the bucket adds what they say of it. Contexts and n-grams are named by
+64-bit hashes with 32 bits for the symbol, so counts may be too large where hashes collide; tokens are exact.
+
+Defined cases: null text counts as empty: the end token alone; with no training rows every count is 0 and no context is
+kept; repeated rows are rows of the result each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fold, materialize, slices, whole_text
+from .dealt import END, MESSAGES, by_part, deal, lines, messages, packed, part_of, unpacked, words
 
-DEPTH = 5
-LEAST_SHARE = 4e-6
-LEAST_DIVERGENCE = 0.01
-#: A symbol's least share of a context's occurrences; rarer ones follow the shorter context.
-LEAST_SYMBOL = 2e-4
-#: Weight of the shorter context's distribution, as a number of occurrences.
-SHRINK = 8.0
+DEPTH = 2
+#: By length of the context: weight of the shorter context's distribution, as a number of occurrences.
+SHRINK = (200.0, 1.0)
+#: A context is kept if its occurrences are so much likelier (in nats, all together) than under the shorter one.
+LEAST_GAIN = 1.0
 FOLDS, HELD_OUT = 7, 2
-BUCKET_TOKENS = 1_000_000
-END = b"\n"
-#: Distinct training tokens whose counts one task looks up.
-PART_TOKENS = 200_000
-#: Symbols of a piece of text that is scored in step with others.
-LANE = 1024
-#: Distinct tokens or n-grams that a task counts before it hands them on.
+BUCKET_TOKENS = 2_000_000
+#: Distinct training tokens whose counts one task looks up, and tokens whose n-grams one task sums, about.
+PART_TOKENS, PART_GRAMS = 200_000, 2_000_000
+#: Occurrences from which a context's next symbols are spread over several parts.
+SPLIT = 200_000
+#: Distinct tokens that a task counts before it hands them on.
 COUNTED = 2_000_000
-
-
-def tokens(text: str) -> list[bytes]:
-    """Words; bytes.lower touches A-Z alone, bytes.split cuts at [\\x20\\x09-\\x0D]."""
-    return text.encode().lower().split()
+#: Steps a power of ten in which a probability is handed to the part that tests a context.
+STEPS = 16
+#: Odd multipliers that mix hashes.
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: A question: of slices of contexts the hash (as differences), the occurrences and the number of n-grams; of n-grams the symbol, the training count and P' in steps.
+QUESTION = ("<u8", "<i8", "<i4", "<u4", "<i4", "u1")
+#: An answer: of slices the gain of the n-grams met twice or more and their occurrences; of n-grams the count (0 if below 2).
+ANSWER = ("<f8", "<i8", "<i8")
 
 
 # ---- counts ----
@@ -74,7 +83,7 @@ def unigrams(rows: DataFrame) -> DataFrame:
         held: Counter = Counter()
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
-                held.update(tokens(text))
+                held.update(words(text))
             held[b""] += batch.num_rows
             if len(held) > COUNTED:
                 yield out(held)
@@ -85,223 +94,243 @@ def unigrams(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def stream(texts: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts, each after ``depth`` line feeds, and where each text's own symbols begin and end."""
-    parts = [END * depth + b" ".join(words) + END for words in texts]
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-    starts = np.concatenate([[0], ends[:-1]]) + depth
-    return np.frombuffer(b"".join(parts), np.uint8), starts, ends
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of hashes."""
+    h = a * np.uint64(MIX[0]) + b * np.uint64(MIX[1])
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(MIX[2])
+    return h ^ h >> np.uint64(32)
 
 
-def ngrams(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """gram (depth + 1 bytes as an integer) and n, over all rows of ``text``."""
+def in_steps(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.round(-STEPS * np.log10(p)), 0, 255).astype(np.uint8)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []  # of the batches; they are merged once
-        waiting = 0
 
-        def out() -> pa.RecordBatch:
-            grams, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(grams)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "n"])
+def sum_grams(messages: list[bytes], shrink: float) -> list[bytes]:
+    """Answers of a part to the questions of all buckets: counts are summed, and each slice's share of its context's gain."""
+    got = [unpacked(m, *QUESTION) for m in messages]
+    hashes = [np.cumsum(g[0], dtype=np.uint64) for g in got]
+    slices_, place, slice_at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    total = np.concatenate([g[1] for g in got])[place]
+    owner = np.repeat(slice_at, np.concatenate([g[2] for g in got]))
+    symbol, n, steps = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
+    grams, first, inverse = np.unique(mixed(slices_[owner], symbol.astype(np.uint64)), return_index=True, return_inverse=True)
+    n = np.bincount(inverse, weights=n, minlength=len(grams)).astype(np.int64)
+    n[n < 2] = 0
+    own, p = owner[first], 10.0 ** (-steps[first].astype(np.float64) / STEPS)
+    gain = np.bincount(own, weights=n * np.log((n + shrink * p) / ((total[own] + shrink) * p)), minlength=len(slices_))
+    often = np.bincount(own, weights=n, minlength=len(slices_)).astype(np.int64)
+    out, s, g = [], 0, 0
+    for h, q in zip(hashes, got, strict=True):
+        mine = slice_at[s : s + len(h)]
+        out.append(packed(gain[mine], often[mine], n[inverse[g : g + len(q[3])]]))
+        s, g = s + len(h), g + len(q[3])
+    return out
 
-        for batch in slices(batches):
-            symbols, starts, ends = stream([tokens(t) for t in batch.column("text").to_pylist()], depth)
-            wide = symbols.astype(np.int64)
-            m = len(wide) - depth
-            value = np.zeros(m, np.int64)
-            for k in range(depth + 1):
-                value = value << 8 | wide[k : k + m]
-            padding = np.zeros(len(wide) + 1, np.int64)
-            padding[starts - depth] += 1
-            padding[starts] -= 1
-            value = value[np.cumsum(padding)[depth : depth + m] == 0]
-            parts.append(np.unique(value, return_counts=True))
-            waiting += len(parts[-1][0])
-            if waiting > 2 * COUNTED:
-                yield out()
-                parts, waiting = [], 0
-        if parts:
-            yield out()
-
-    return rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-# ---- the tree ----
+
+# ---- buckets ----
 
 
 @dataclass
-class SuffixTree:
-    """``step`` and ``logs`` (log10) are indexed by state * width + class of the symbol; state 0 is the empty context.
+class Level:
+    """What is known of each position at one length of contexts: the n-gram that ends there (-1: none that occurs twice), and P."""
 
-    Class 0 holds all bytes that training has not seen; every other byte is a class of its own.
-    """
+    gram: np.ndarray
+    gram_hash: np.ndarray  # by n-gram
+    gram_n: np.ndarray
+    p: np.ndarray
+    kept: int = 0
 
-    classes: np.ndarray
-    width: int
-    step: np.ndarray
-    logs: np.ndarray
-    kept: int
-    depth: int
-
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 of the probability of each text's symbols, the end included."""
-        if not texts:
-            return np.zeros(0)
-        symbols, starts, ends = stream(texts, self.depth)
-        lanes = -(-len(symbols) // LANE)
-        padded = np.full(self.depth + lanes * LANE, self.classes[END[0]], np.int32)
-        padded[self.depth : self.depth + len(symbols)] = self.classes[symbols]
-        out = np.zeros((LANE, lanes), np.float32)
-        state = np.zeros(lanes, np.int32)
-        columns = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.depth + LANE)[::LANE].T)
-        for t in range(self.depth + LANE):
-            at = state * self.width + columns[t]
-            if t >= self.depth:  # the symbols before only find the state
-                np.take(self.logs, at, out=out[t - self.depth])
-            state = np.take(self.step, at)
-        flat = np.append(out.T.ravel()[: len(symbols)].astype(np.float64), 0.0)
-        return np.add.reduceat(flat, np.stack([starts, ends], axis=1).ravel())[::2]
-
-
-def build(counts: pd.DataFrame, depth: int = DEPTH) -> SuffixTree:
-    """``counts``: rows (len, context, symbol, n, all) of every context above the share, and of the empty one (len 0).
-
-    ``all`` is the context's count. What its rows don't add up to is spread as the shorter context spreads it.
+
+class Bucket:
+    """The documents of a bucket as one row of symbols: each is its words' numbers between two zeros.
+
+    Everything here follows from the documents and the answers alone, so a question can be made again to read its answer.
     """
-    seen_symbols = np.unique(counts.loc[counts["len"] == 0, "symbol"].to_numpy(np.int64))
-    classes = np.zeros(256, np.int32)
-    classes[seen_symbols] = np.arange(1, len(seen_symbols) + 1)
-    width, unseen = len(seen_symbols) + 1, max(1, 256 - len(seen_symbols))
-    uniform = np.full(width, 1 / 256, np.float32)
-    uniform[0] = unseen / 256
-    probability: list[dict[int, np.ndarray]] = [{0: uniform}] + [{} for _ in range(depth)]
-    kept: list[set[int]] = [{0}] + [set() for _ in range(depth)]
-    for length, part in counts.groupby("len"):
-        part = part.sort_values(["context", "symbol"])
-        keys, first = np.unique(part["context"].to_numpy(np.int64), return_index=True)
-        symbol, n, total = classes[part["symbol"].to_numpy(np.int64)], part["n"].to_numpy(np.float32), part["all"].to_numpy(np.float32)
-        mask = (1 << 8 * max(0, length - 1)) - 1
-        for key, a, b in zip(keys.tolist(), first, [*first[1:], len(part)], strict=True):
-            shorter = probability[length - 1][key & mask] if length else uniform  # at least as frequent, so it is there
-            rest = SHRINK + total[a] - n[a:b].sum()
-            p = rest * shorter
-            p[symbol[a:b]] += n[a:b]
-            probability[length][key] = p / (total[a] + SHRINK)
-            raw = n[a:b] / n[a:b].sum()
-            if length and float((raw * np.log(raw / shorter[symbol[a:b]])).sum()) >= LEAST_DIVERGENCE:
-                kept[length].add(key)
-    for length in range(depth, 1, -1):  # what a kept context ends in is kept
-        mask = (1 << 8 * (length - 1)) - 1
-        kept[length - 1] |= {key & mask for key in kept[length]}
-    states: list[set[int]] = [set(k) for k in kept]
-    for length in range(depth, 0, -1):  # and what it begins with is a state
-        states[length - 1] |= {key >> 8 for key in states[length]}
-    number = {(0, 0): 0}
-    for length in range(1, depth + 1):
-        for key in sorted(states[length]):
-            number[length, key] = len(number)
-    step, logs, fail = np.zeros((len(number), width), np.int32), np.zeros((len(number), width), np.float32), np.zeros(len(number), np.int64)
-
-    def log(p: np.ndarray) -> np.ndarray:
-        p = p.copy()
-        p[0] /= unseen  # of one byte of the class
-        return np.log10(p)
-
-    logs[0] = log(probability[0][0])
-    for key in states[1]:
-        step[0, classes[key]] = number[1, key]
-    for length in range(1, depth + 1):
-        for key in sorted(states[length]):
-            i = number[length, key]
-            fail[i] = step[fail[number[length - 1, key >> 8]], classes[key & 255]] if length > 1 else 0
-        for key in sorted(states[length]):
-            i = number[length, key]
-            step[i] = step[fail[i]]
-            logs[i] = log(probability[length][key]) if key in kept[length] else logs[fail[i]]
-        if length < depth:
-            for key in states[length + 1]:
-                step[number[length, key >> 8], classes[key & 255]] = number[length + 1, key]
-    return SuffixTree(classes, width, step.ravel(), logs.ravel(), sum(map(len, kept)), depth)
-
-
-def learn(rows: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE) -> SuffixTree:
-    grams, _ = materialize(ngrams(rows, depth), "ngrams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    lengths = F.explode(F.array(*[F.lit(k) for k in range(depth + 1)]))
-    mask = F.expr("shiftleft(1L, 8 * len) - 1")
-    each = grams.withColumn("len", lengths).select("len", F.shiftright("gram", 8).bitwiseAND(mask).alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("symbol"), "n")
-    each = each.groupBy("len", "context", "symbol").agg(F.sum("n").alias("n"))
-    often = each.groupBy("len", "context").agg(F.sum("n").alias("all")).filter(F.col("all") >= max(1.0, least_share * total))
-    # at most depth / least_share contexts of 256 symbols
-    found = each.join(often, ["len", "context"]).filter((F.col("n") >= LEAST_SYMBOL * F.col("all")) | (F.col("len") == 0))
-    return build(found.select(F.col("len").cast("int").alias("len"), "context", "symbol", "n", "all").toArrow().to_pandas(), depth)
+
+    def __init__(self, dealt: pa.Table, parts: int, gram_parts: int):
+        self.parts, self.gram_parts = parts, gram_parts
+        index: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        find = index.__getitem__
+        find(b"")  # the end
+        self.doc_ids = [i for ids in dealt.column("doc_id").to_pylist() for i in ids]
+        training = [not h for held in dealt.column("held").to_pylist() for h in held]
+        rows = [np.array([0, *map(find, line), 0], np.int32) for line in lines(dealt)]
+        self.words = sorted(index)
+        place = np.empty(len(index), np.int32)
+        place[[index[w] for w in self.words]] = np.arange(len(index), dtype=np.int32)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.symbols = place[np.concatenate(rows)] if rows else np.zeros(0, np.int32)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.scored = np.ones(len(self.symbols), bool)
+        self.scored[self.starts] = False
+        self.training = np.repeat(np.array(training, bool), sizes)
+        self.word_hash = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+        self.word_part = np.fromiter((zlib.crc32(w) % parts for w in self.words), np.int64, len(self.words))
+
+    def ask_counts(self) -> list[tuple[int, bytes]]:
+        """For each part its distinct tokens, sorted and compressed."""
+        pack, by_part = zstandard.ZstdCompressor(level=1).compress, defaultdict(list)
+        for word, part in zip(self.words, self.word_part.tolist(), strict=True):
+            by_part[part].append(word)
+        return [(part, pack(END.join(words))) for part, words in sorted(by_part.items())]
+
+    def root(self, answers: dict[int, bytes], total: int, distinct: int) -> Level:
+        """The baseline: the tokens' counts and probabilities."""
+        self.counts = np.zeros(len(self.words), np.int64)
+        for part, data in answers.items():
+            self.counts[self.word_part == part] = unpacked(data, "<i8")[0]
+        p = (self.counts + 1) / (total + (distinct + 1))
+        return Level(np.where(self.counts[self.symbols] >= 2, self.symbols, -1), self.word_hash, self.counts, p[self.symbols])
+
+    def question(self, lower: Level) -> Question:
+        """What the bucket has to know of contexts one token longer than those of ``lower``."""
+        here = np.full(len(self.symbols), -1, np.int64)
+        here[1:] = lower.gram[:-1]
+        at = np.nonzero(self.scored & (here >= 0))[0]
+        known = lower.gram[at] >= 0
+        key = here[at[known]] * len(self.words) + self.symbols[at[known]]
+        grams, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        contexts, context_at = np.unique(here[at], return_inverse=True)
+        n = lower.gram_n[contexts]
+        slices = 1 + n // SPLIT
+        offset = np.cumsum(slices) - slices
+        group_context = np.repeat(np.arange(len(contexts)), slices)
+        piece = np.arange(len(group_context)) - offset[group_context]
+        hashes = mixed(lower.gram_hash[contexts[group_context]], piece.astype(np.uint64))
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        symbol = self.word_hash[grams % len(self.words)] >> np.uint64(32)
+        owner = np.searchsorted(contexts, grams // len(self.words))
+        group = rank[offset[owner] + (symbol % slices[owner].astype(np.uint64)).astype(np.int64)] if len(grams) else np.zeros(0, np.int64)
+        by_group = np.argsort(group, kind="stable")
+        count = np.bincount(inverse, weights=self.training[at[known]], minlength=len(grams)).astype(np.int64)
+        steps = in_steps(lower.p[at[known]][first])
+        return Question(self.gram_parts, lower, at, contexts, context_at, known, inverse, group_context[order], hashes[order], n, group[by_group], by_group, symbol, count, steps, owner)
+
+
+@dataclass
+class Question:
+    """Contexts (in slices, sorted by hash) and n-grams (by slice) that a bucket asks for."""
+
+    parts: int
+    lower: Level
+    at: np.ndarray  # positions that have a context
+    contexts: np.ndarray  # n-grams of the level below
+    context_at: np.ndarray  # which of them, by position
+    known: np.ndarray  # whether their symbol may be known there
+    inverse: np.ndarray  # n-gram of those positions
+    context: np.ndarray  # by slice
+    hashes: np.ndarray
+    n: np.ndarray  # by context
+    group: np.ndarray  # slices of the n-grams, in order
+    by_group: np.ndarray  # n-grams in that order
+    symbol: np.ndarray  # by n-gram
+    count: np.ndarray
+    steps: np.ndarray
+    owner: np.ndarray  # context of an n-gram
+
+    def cuts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parts, and where the slices and n-grams of each begin."""
+        parts, slices = np.unique(part_of(self.hashes, self.parts), return_index=True)
+        return parts, np.append(slices, len(self.hashes)), np.append(np.searchsorted(self.group, slices), len(self.group))
+
+    def messages(self) -> Iterator[tuple[int, bytes]]:
+        sizes = np.bincount(self.group, minlength=len(self.hashes))
+        parts, s, g = self.cuts()
+        for k, part in enumerate(parts.tolist()):
+            mine, grams = slice(s[k], s[k + 1]), self.by_group[g[k] : g[k + 1]]
+            yield part, packed(np.diff(self.hashes[mine], prepend=np.uint64(0)), self.n[self.context[mine]], sizes[mine].astype(np.int32), self.symbol[grams].astype(np.uint32), self.count[grams].astype(np.int32), self.steps[grams])
+
+    def answered(self, answers: dict[int, bytes], shrink: float) -> Level:
+        """The level of these contexts, from the answers of all parts."""
+        got = [unpacked(answers[part], *ANSWER) for part in self.cuts()[0].tolist()]
+        gain, often, n = (np.concatenate([np.zeros(0, t), *(g[k] for g in got)]) for k, t in enumerate(ANSWER))
+        n_contexts = len(self.n)
+        gains = np.bincount(self.context, weights=gain, minlength=n_contexts)  # of all slices
+        rest = np.maximum(0, self.n - np.bincount(self.context, weights=often, minlength=n_contexts))
+        kept = gains + rest * np.log((shrink + rest) / (self.n + shrink)) >= LEAST_GAIN
+        gram_n = np.zeros(len(n), np.int64)
+        gram_n[self.by_group] = n
+        p = self.lower.p.copy()
+        met = np.zeros(len(self.at))
+        met[self.known] = gram_n[self.inverse]
+        c = self.context_at
+        p[self.at] = np.where(kept[c], (met + (shrink + rest[c]) * p[self.at]) / (self.n[c] + shrink), p[self.at])
+        gram = np.full(len(p), -1, np.int64)
+        gram[self.at[self.known]] = np.where(gram_n[self.inverse] >= 2, self.inverse, -1)
+        return Level(gram, mixed(self.lower.gram_hash[self.contexts[self.owner]], self.symbol), gram_n, p, int(kept.sum()))
 
 
 # ---- scores ----
 
 
-def lm_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    rows = whole_text(docs)
-    training = rows.filter(fold("doc_id", folds) != held_out)
-    counts, _ = materialize(unigrams(training), "unigrams")
+def lm_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, depth: int = DEPTH, shrink: tuple[float, ...] = SHRINK) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; ``shrink`` has a weight for each length of contexts."""
+    rows = whole_text(docs).select("doc_id", (fold("doc_id", folds) == held_out).alias("held"), "text")
+    counts, _ = materialize(unigrams(rows.filter("NOT held")), "unigrams")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = docs.sparkSession.sparkContext.broadcast(learn(training))
     floor = math.log10(n + (v + 1))
     buckets = int(max(1, -(-n // BUCKET_TOKENS)) * folds // max(1, folds - 1) + 1)
-    parts = int(-(-v // PART_TOKENS) or 1)
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
-
-    def distinct(texts: list[str]) -> list[list[bytes]]:
-        """The distinct tokens by part, each sorted."""
-        out: list[list[bytes]] = [[] for _ in range(parts)]
-        for token in sorted(set().union([b""], *(tokens(t) for t in texts))):
-            out[zlib.crc32(token) % parts].append(token)
-        return out
-
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        asked = [(k, pack(END.join(words))) for k, words in enumerate(distinct(table.column("text").to_pylist())) if words]
-        return pa.table({"part": pa.array([k for k, _ in asked], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(asked), pa.int32()), "tokens": pa.array([w for _, w in asked], pa.binary())})
-
-    def answer(questions: pa.Table, known: pa.Table) -> pa.Table:
-        pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+    parts, gram_parts = int(-(-v // PART_TOKENS) or 1), int(1 + n // PART_GRAMS)
+    dealt = deal(rows, buckets)
+
+    def level(bucket: Bucket, right: pa.Table, k: int) -> Level:
+        """What answers say of contexts of up to k tokens."""
+        of = [by_part(right.filter(pc.equal(right.column("level"), j))) for j in range(k + 1)]
+        found = bucket.root(of[0], n, v)
+        for j in range(1, k + 1):
+            found = bucket.question(found).answered(of[j], shrink[j - 1])
+        return found
+
+    def ask_tokens(key: tuple, table: pa.Table) -> pa.Table:
+        return messages(key[0].as_py(), Bucket(table, parts, gram_parts).ask_counts())
+
+    def count_tokens(questions: pa.Table, known: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
         find = dict(zip(known.column("token").to_pylist(), known.column("c").to_pylist(), strict=True)).get
-        found = [pack(np.array([find(w, 0) for w in unpack(q).split(END)], "<i8").tobytes()) for q in questions.column("tokens").to_pylist()]
-        return pa.table([questions.column("bucket"), questions.column("part"), pa.array(found, pa.binary())], ["bucket", "part", "counts"])
+        found = [packed(np.array([find(w, 0) for w in unpack(q).split(END)], "<i8")) for q in questions.column("data").to_pylist()]
+        return pa.table([questions.column("part"), questions.column("bucket"), pa.array(found, pa.binary())], ["part", "bucket", "data"])
 
-    asked = dealt.groupBy("bucket").applyInArrow(ask, "part int, bucket int, tokens binary")
-    known = counts.withColumn("part", (F.crc32("token") % parts).cast("int"))
-    answers = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, "bucket int, part int, counts binary")
+    def asker(k: int):
+        def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+            bucket = Bucket(left, parts, gram_parts)
+            return messages(left.column("bucket")[0].as_py(), bucket.question(level(bucket, right, k - 1)).messages())
+
+        return ask
+
+    def summer(k: int):
+        def sums(key: tuple, table: pa.Table) -> pa.Table:
+            return pa.table([table.column("part"), table.column("bucket"), pa.array(sum_grams(table.column("data").to_pylist(), shrink[k - 1]), pa.binary())], ["part", "bucket", "data"])
+
+        return sums
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-        unpack = zstandard.ZstdDecompressor().decompress
-        texts = left.column("text").to_pylist()
-        words = distinct(texts)
-        logs: dict[bytes, float] = {}
-        for k, packed in zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), strict=True):
-            logs.update(zip(words[k], np.log10(np.frombuffer(unpack(packed), "<i8") + 1.0).tolist(), strict=True))
-        del words
-        out: list[tuple] = []
-        doc_ids = left.column("doc_id").to_pylist()
-        a = 0
-        while a < len(texts):
-            b, size = a, 0
-            while b < len(texts) and (b == a or size + len(texts[b]) < 2 << 20):
-                size += len(texts[b])
-                b += 1
-            cut = [tokens(t) for t in texts[a:b]]
-            for i, ws, s in zip(doc_ids[a:b], cut, tree.value.score(cut).tolist(), strict=True):
-                found = [logs[w] for w in ws]
-                found.append(logs[b""])
-                out.append((i, len(found), len(found) - found.count(0.0), math.fsum(found) - len(found) * floor, s))
-            a = b
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], names)
-
-    scored = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        bucket = Bucket(left, parts, gram_parts)
+        p = np.log10(level(bucket, right, depth).p)
+        known = bucket.counts[bucket.symbols] > 0
+        base = np.log10(bucket.counts + 1.0)[bucket.symbols]
+        spans = list(zip((bucket.starts + 1).tolist(), bucket.ends.tolist(), strict=True))
+        columns = [bucket.doc_ids, [b - a for a, b in spans], [int(known[a:b].sum()) for a, b in spans], [math.fsum(base[a:b].tolist()) - (b - a) * floor for a, b in spans], [math.fsum(p[a:b].tolist()) for a, b in spans]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 2, strict=True)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    def answered(df: DataFrame, k: int) -> DataFrame:
+        """Dealt as the parcels are; several later steps read the one exchange."""
+        return df.withColumn("level", F.lit(k)).repartition(buckets, "bucket")
+
+    def with_answers(answers: list[DataFrame]):
+        right = answers[0] if len(answers) == 1 else reduce(DataFrame.unionByName, answers).repartition(buckets, "bucket")
+        return dealt.groupBy("bucket").cogroup(right.groupBy("bucket"))
+
+    known = counts.withColumn("part", (F.crc32("token") % parts).cast("int"))
+    asked = dealt.groupBy("bucket").applyInArrow(ask_tokens, MESSAGES)
+    answers = [answered(asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(count_tokens, MESSAGES), 0)]
+    for k in range(1, depth + 1):
+        asked = with_answers(answers).applyInArrow(asker(k), MESSAGES)
+        answers.append(answered(asked.groupBy("part").applyInArrow(summer(k), MESSAGES), k))
+    scored = with_answers(answers).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
