@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.store import stored
 
 #: Priority of a URL: depth of its class, class name, site, address, form parameters.
 PRIORITY = ("depth", "class_name", "site", "url", "form_params")
@@ -15,6 +16,25 @@ def _order(columns: tuple[str, ...] = PRIORITY) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in columns]
 
 
+def by_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with ``piece``: a site's rows in that order are cut into pieces, wherever the ranges of all rows end.
+
+    A running sum over a site is then one within its pieces and one over a row a piece, so a large site is no single task.
+    """
+    ranged = rows.repartitionByRange(F.col("site"), *[F.col(c).asc_nulls_first() for c in order])
+    return stored(ranged.withColumn("piece", F.spark_partition_id()), "ranges")
+
+
+def running(rows: DataFrame, value: Column, order: list[str], name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of a site up to this one; ``order`` tells rows of a site apart."""
+    ranged = by_ranges(rows.withColumn("_value", value), *order)
+    pieces = ranged.groupBy("site", "piece").agg(F.sum("_value").alias("_all"))
+    before = Window.partitionBy("site").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("site", "piece", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    upto = Window.partitionBy("site", "piece").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranged.join(pieces, ["site", "piece"]).withColumn(name, F.col("_before") + F.sum("_value").over(upto)).drop("_value", "_before", "piece")
+
+
 def densest_first(collections: DataFrame) -> DataFrame:
     """Collections in order of exploration: those of classes with one page first, then by links per distinct URL of the class.
 
@@ -45,8 +65,8 @@ def dedupe(new: DataFrame, visited: DataFrame) -> DataFrame:
 
 def spill(frontier: DataFrame, capacity: int) -> DataFrame:
     """Marks the URLs that a memory of ``capacity`` a site holds; the rest keep their full address and their place."""
-    nth = F.row_number().over(Window.partitionBy("site").orderBy(*_order()))
-    return frontier.withColumn("nth", nth).withColumn("in_memory", F.col("nth") <= capacity)
+    ranked = running(frontier, F.lit(1), [c for c in PRIORITY if c != "site"], "nth").withColumn("nth", F.col("nth").cast("int"))
+    return ranked.withColumn("in_memory", F.col("nth") <= capacity)
 
 
 def page_budget(fetches: DataFrame, budget: int) -> DataFrame:
@@ -69,8 +89,7 @@ def politeness(fetches: DataFrame, seed: int = 0) -> DataFrame:
     """
     draw = F.pmod(F.conv(F.substring(F.sha1(F.concat(F.col("url"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), F.greatest(F.col("random_pause_ms"), F.lit(1)))
     rows = fetches.withColumn("delay_ms", F.col("wait_ms") + F.when(F.col("random_pause_ms") > 0, draw).otherwise(0))
-    upto = Window.partitionBy("site").orderBy("nth", "url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("scheduled_ms", F.sum("delay_ms").over(upto))
+    return running(rows, F.col("delay_ms"), ["nth", "url"], "scheduled_ms")
 
 
 def recover(events: DataFrame) -> DataFrame:

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.store import Grown, stored
 
 
-def bfs_depth(edges: DataFrame, roots: DataFrame, src: str = "src", dest: str = "dest", most: int = 100) -> DataFrame:
+def bfs_depth(edges: DataFrame, roots: DataFrame, src: str = "src", dest: str = "dest", most: int | None = None) -> DataFrame:
     """(model, name, depth): least number of links from the root; classes that can't be reached are left out.
 
-    ``edges``: (model, src, dest); ``roots``: (model, name). One join a level over all models at once; each level's table
-    is written to the shared folder, so lineage stays short and a lost executor costs that level alone.
+    ``edges``: (model, src, dest); ``roots``: (model, name). One join a level over all models at once, until a level is
+    empty; each level is appended to one table in the shared folder, so lineage stays short and a lost executor costs that
+    level alone. ``most``: the caller's own limit of levels; if it is reached while there is more, that is an error.
     """
-    links = edges.select("model", F.col(src).alias("_s"), F.col(dest).alias("_d")).distinct()
-    seen = roots.select("model", "name", F.lit(0).alias("depth"))
-    level = seen
-    for depth in range(1, most + 1):
+    links = stored(edges.select("model", F.col(src).alias("_s"), F.col(dest).alias("_d")).distinct(), "bfs-links")
+    seen = Grown(edges.sparkSession, "model string, name string, depth int", "bfs")
+    level = seen.append(roots.select(F.col("model").cast("string").alias("model"), "name", F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
         reached = level.select("model", F.col("name").alias("_s")).join(links, ["model", "_s"]).select("model", F.col("_d").alias("name")).distinct()
-        level = stored(reached.join(seen, ["model", "name"], "left_anti").withColumn("depth", F.lit(depth)), f"bfs-{depth}")
-        if level.isEmpty():
-            return seen
-        seen = seen.union(level)
-    return seen
+        fresh = reached.join(seen.table(), ["model", "name"], "left_anti").withColumn("depth", F.lit(depth))
+        if most is not None and depth > most:
+            if not fresh.isEmpty():
+                raise RuntimeError(f"there are classes beyond {most} levels")
+            break
+        level = seen.append(fresh)
+    return seen.table()
 
 
 def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:

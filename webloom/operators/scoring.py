@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cost of a URL, of a path that a page shares with its class, and of any other path.
@@ -30,8 +30,29 @@ def jaccard_pairs(members: DataFrame, key: str, element: str) -> DataFrame:
     return rows.select("a", "b", "shared", ((all_ - F.col("shared")) / all_).alias("distance"))
 
 
+def close_pairs(members: DataFrame, key: str, element: str, below: float) -> DataFrame:
+    """Pairs a < b of keys that could be at a distance below ``below``, found by their rarest elements.
+
+    Sets that near share at least 1 - below of either, so in any one order of all elements they share one of the first
+    n - ceil((1 - below) n) + 1. Rare ones come first: an element that all keys have makes no pairs of its own.
+    """
+    rows = members.select(F.col(key).alias("k"), F.col(element).alias("e")).distinct()
+    ranked = rows.join(rows.groupBy("e").agg(F.count("*").alias("df")), "e")
+    own = Window.partitionBy("k")
+    ranked = ranked.withColumns({"nth": F.row_number().over(own.orderBy("df", "e")), "n": F.count("*").over(own)})
+    first = ranked.filter(F.col("nth") <= F.col("n") - F.ceil((1 - below) * F.col("n") - 1e-9) + 1)
+    a, b = first.select(F.col("k").alias("a"), "e", F.col("n").alias("na")), first.select(F.col("k").alias("b"), F.col("e").alias("_e"), F.col("n").alias("nb"))
+    sizes = F.least("na", "nb") >= (1 - below) * F.greatest("na", "nb") - 1e-9
+    return a.join(b, (F.col("e") == F.col("_e")) & (F.col("a") < F.col("b")) & sizes).select("a", "b", "na", "nb").distinct()
+
+
 def collapse_pairs(members: DataFrame, key: str, element: str, below: float = MIN_DISTANCE) -> DataFrame:
-    return jaccard_pairs(members, key, element).filter(F.col("distance") < below)
+    """Pairs at a distance below ``below``, with the number of shared elements: only candidates are compared in full."""
+    rows = members.select(F.col(key).alias("k"), F.col(element).alias("e")).distinct()
+    left = close_pairs(members, key, element, below).join(rows.withColumnRenamed("k", "a"), "a")
+    both = left.join(rows.withColumnRenamed("k", "b"), ["b", "e"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    all_ = F.col("na") + F.col("nb") - F.col("shared")
+    return both.select("a", "b", "shared", ((all_ - F.col("shared")) / all_).alias("distance")).filter(F.col("distance") < below)
 
 
 def link_graph_elements(links: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Inferring a site's model: pages are sampled, clustered by their paths, merged by description length, and links typed.
 
-The loop is sequential within a site, since every step depends on the model so far, and sites are independent: sites
-are the groups of one ``applyInPandas``, each bounded by its page budget. All places where order matters have a total
+The loop is sequential within a site, since every step depends on the model so far, and sites are independent. A site's
+group never holds the site, only the pages that the loop has asked for: a round runs the loop of each site over the pages
+held so far, up to the first address that isn't there; that address, and as many of the ones that its open collections
+would ask for next as the budget allows, are looked up in the store by a join for the next round. So a group holds at most
+three times ``model_pages`` pages and the home page, however large the site. All places where order matters have a total
 order (page address, then path). The costs are those of :mod:`webloom.operators.scoring`, which tests hold against this loop.
 """
 
@@ -19,10 +22,13 @@ from pyspark.sql import functions as F
 from ..functions import dom
 from ..functions.urls import REJECTED
 from ..functions.xpathalg import Path, coarser, finer, render
+from ..operators.linktypes import menu_items, menu_links, menu_types
 from ..operators.scoring import COST_PATH, COST_SHARED, COST_URL, MIN_DISTANCE
+from ..sources.store import Grown, stored
 
 MAX_FETCHES = 3
-MODEL_SCHEMA = "site string, row_kind string, class_name string, url string, xpath string, link_type string, dest string, anchor_text string, depth int"
+#: Rows of kind page, link and item (a menu's link on the page ``url``, with its place and address).
+MODEL_SCHEMA = "site string, row_kind string, class_name string, url string, xpath string, link_type string, dest string, anchor_text string, depth int, pos int, href string"
 
 
 def absolute(base: str, href: str) -> str:
@@ -89,21 +95,28 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return len(a ^ b) / len(a | b) if a | b else math.nan
 
 
+class Missing(Exception):
+    """An address that the pages held so far don't cover."""
+
+
 class Modeler:
-    """The model of one site. ``store`` gives (final address, html) for an address, or None."""
+    """The model of one site. ``store`` gives (final address, html) for an address, or None; with ``complete`` unset, an address that it doesn't have raises :class:`Missing`."""
 
-    def __init__(self, site: str, store: dict[str, tuple[str, str]], model_pages: int):
-        self.site, self.store, self.budget = site, store, model_pages
+    def __init__(self, site: str, store: dict[str, tuple[str, str] | None], model_pages: int, complete: bool = True):
+        self.site, self.store, self.budget, self.complete = site, store, model_pages, complete
         self.pages: dict[str, Page] = {}
         self.collections: dict[int, Collection] = {}
         self.classes: dict[int, list[Page]] = {}
         self.redirects: dict[str, str] = {}
         self.fetched = 0
+        self.open: list[int] = []
         self.numbers = iter(range(1, 1 << 60))
 
     # -- pages --
 
     def load(self, url: str) -> Page | None:
+        if not self.complete and url not in self.store:
+            raise Missing(url)
         got = self.store.get(url) or self.store.get(url + "/")
         if got is None:
             return None
@@ -263,7 +276,7 @@ class Modeler:
             return
         self.classes[next(self.numbers)] = [start]
         start.classified = True
-        open_ = list(start.current)
+        self.open = open_ = list(start.current)
         try:
             while open_:
                 number = min(open_, key=lambda k: self.priority(self.collections[k]))
@@ -282,6 +295,17 @@ class Modeler:
         except StopIteration:  # pages fetched for the last collection stay without a class
             pass
 
+    def wanted(self, first: str, most: int) -> list[str]:
+        """Addresses to look up: ``first``, then what the open collections would ask for, the next ones first; at most ``most`` and one."""
+        out = {first: None}
+        for number in sorted(self.open, key=lambda k: self.priority(self.collections[k])):
+            c = self.collections[number]
+            for href in sample(c.links, self.site, c.max_fetches):
+                url = absolute(self.site, href)
+                if len(out) <= most and url not in self.store:
+                    out[url] = None
+        return list(out)
+
     # -- the result --
 
     def graph(self) -> dict[tuple[int, str], tuple[str, list[int], str]]:
@@ -341,26 +365,72 @@ class Modeler:
         out = []
         for k in sorted(self.classes):
             for p in sorted(self.classes[k], key=lambda p: p.url):
-                out.append((self.site, "page", names[k], p.url, None, None, None, None, depth.get(k)))
+                out.append((self.site, "page", names[k], p.url, None, None, None, None, depth.get(k), None, None))
         for (k, xpath), (kind, dests, text) in sorted(graph.items()):
             for d in dests:
-                out.append((self.site, "link", names[k], None, xpath, kind, names[d], text if kind == "singleton" else None, depth.get(k)))
+                out.append((self.site, "link", names[k], None, xpath, kind, names[d], text if kind == "singleton" else None, depth.get(k), None, None))
+        owner = {p.url: k for k, ps in self.classes.items() for p in ps}
+        for k in sorted(self.classes):
+            for p in sorted(self.classes[k], key=lambda p: p.url):
+                for xpath, kind, links, _ in p.typed:
+                    if kind == "menu" and graph.get((k, xpath), ("",))[0] == "menu":
+                        out += [(self.site, "item", names[k], p.url, xpath, "menu", names[owner[u]], None, depth.get(k), n, h) for n, (h, u) in enumerate(links) if u in owner]
         return out
 
 
-def build_models(store: DataFrame, model_pages: int = 100) -> DataFrame:
-    """Models of all sites of a page store, as rows: pages with their class, links with type and destination.
+COLUMNS = ["site", "row_kind", "class_name", "url", "xpath", "link_type", "dest", "anchor_text", "depth", "pos", "href"]
+#: A page's rows in the loop: ``key`` is the address without a slash at its end; an address that nothing answers has no html.
+HELD = "site string, key string, url string, final_url string, html string"
 
-    The seed of a site is its own address. A site's group holds its pages; ``model_pages`` bounds what is fetched of it.
-    """
 
-    def model(pdf: pd.DataFrame) -> pd.DataFrame:
-        site = str(pdf["site"].iloc[0])
-        held = {u.removesuffix("/"): (f, h) for u, f, h in sorted(zip(pdf["url"], pdf["final_url"], pdf["html"], strict=True))}
-        modeler = Modeler(site, held, model_pages)
-        modeler.run()
-        modeler.finish()
-        return pd.DataFrame(modeler.rows(), columns=["site", "row_kind", "class_name", "url", "xpath", "link_type", "dest", "anchor_text", "depth"]).astype({"depth": "Int32"})
+def build_models(store: DataFrame, model_pages: int = 100, sites: DataFrame | None = None) -> DataFrame:
+    """Models of the sites of a page store, as rows: pages with their class, links with type and destination, items of menus.
 
-    rows = store.filter(F.col("html").isNotNull()).select("site", "url", "final_url", "html")
-    return rows.groupBy("site").applyInPandas(model, MODEL_SCHEMA)
+    The seed of a site is its own address. ``model_pages`` bounds what is fetched of a site; ``sites`` (site, and
+    model_pages where sites have budgets of their own) says which sites, by default all of the store.
+    """
+    spark = store.sparkSession
+    asked = sites if sites is not None else store.select("site").distinct()
+    budget = F.col("model_pages") if "model_pages" in asked.columns else F.lit(model_pages)
+    wanted = stored(asked.select("site", F.coalesce(budget, F.lit(model_pages)).cast("int").alias("most"), F.regexp_replace("site", "/$", "").alias("key")), "wanted-pages")
+    answers = store.filter(F.col("html").isNotNull()).select("site", F.regexp_replace("url", "/$", "").alias("key"), "url", "final_url", "html")
+    held, models = Grown(spark, HELD + ", most int", "held-pages"), Grown(spark, MODEL_SCHEMA, "models")
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        site, most = str(pdf["site"].iloc[0]), int(pdf["most"].iloc[0])
+        pages: dict[str, tuple[str, str] | None] = {}
+        for key, _, final, html in sorted(zip(pdf["key"], pdf["url"].fillna(""), pdf["final_url"].fillna(""), pdf["html"], strict=True), key=lambda r: r[:2]):
+            pages[key] = (final, html) if html is not None else pages.get(key)
+        modeler = Modeler(site, pages, most, complete=False)
+        try:
+            modeler.run()
+            modeler.finish()
+            rows = modeler.rows()
+        except Missing as missing:
+            room = 2 * most - sum(p is not None for p in pages.values())
+            rows = [(site, "wanted", None, url, *[None] * 7) for url in modeler.wanted(missing.args[0], room)]
+        return pd.DataFrame(rows, columns=COLUMNS).astype({"depth": "Int32", "pos": "Int32"})
+
+    while not wanted.isEmpty():
+        found = wanted.select("site", "key", "most").distinct().join(answers, ["site", "key"], "left")
+        held.append(found)
+        # only sites that asked for something run again
+        rows = stored(held.table().join(wanted.select("site").distinct(), "site", "left_semi").groupBy("site").applyInPandas(step, MODEL_SCHEMA), "model-rows")
+        models.append(rows.filter("row_kind <> 'wanted'"))
+        more = rows.filter("row_kind = 'wanted'").select("site", F.regexp_replace("url", "/$", "").alias("key"))
+        wanted = stored(more.join(wanted.select("site", "most").distinct(), "site"), "wanted-pages")
+    return models.table()
+
+
+def model_links(rows: DataFrame) -> DataFrame:
+    """Class links of models (site, src, xpath, link_type, dest, anchor_text, depth), to be followed by a crawl.
+
+    Menus give a link for each item: by its address where the menu is the same on all pages, by its place where it isn't.
+    """
+    single = rows.filter("row_kind = 'link' AND link_type <> 'menu'").select("site", F.col("class_name").alias("src"), "xpath", "link_type", "dest", "anchor_text", "depth")
+    of_site = F.concat_ws("\n", "site", "class_name")
+    items = menu_items(rows.filter("row_kind = 'item'").select(of_site.alias("class_name"), "xpath", "dest", F.col("url").alias("src_page"), "pos", "href"))
+    depth = rows.filter("row_kind = 'item'").select(of_site.alias("of_site"), "depth").distinct()
+    menus = menu_links(items, menu_types(items)).join(depth, F.col("src") == F.col("of_site"))
+    parts = F.split("src", "\n")
+    return single.unionByName(menus.select(parts[0].alias("site"), parts[1].alias("src"), "xpath", "link_type", "dest", F.lit(None).cast("string").alias("anchor_text"), "depth"))

@@ -11,9 +11,10 @@ from ..functions import urls
 from ..operators import frontier as R
 from ..plans import modeling, traverse
 from ..plans.evaluate import evaluate
+from ..plans.run import run
 from ..sources import models as M
 from ..sources import pages as P
-from ..sources.store import shared_folder, stored
+from ..sources.store import new_path, shared_folder, stored
 from ..streaming import frontier as stream
 from .registry import query, sql
 from .url_queries import KEY, ROOT
@@ -34,7 +35,7 @@ def over_frontier(body: str) -> str:
   SELECT h.page_id AS page, h.root, count(l.href) AS n_links, any_value(s.class_size) AS class_size, any_value(s.out_urls) AS out_urls FROM hosts h JOIN links l USING (page_id)
   JOIN (SELECT root, count(DISTINCT h.page_id) AS class_size, count(DISTINCT href) AS out_urls FROM hosts h JOIN links USING (page_id) GROUP BY 1) s ON s.root = h.root GROUP BY 1, 2)""", "links", "hosts"))
 def densest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.links_by_pattern(P.read_pages(spark, sf_dir)).withColumn("site", urls.site_root(F.col("url")))
+    rows = P.anchors(P.read_pages(spark, sf_dir)).withColumn("site", urls.site_root(F.col("url")))
     whole = rows.groupBy("site").agg(F.countDistinct("page_id").alias("class_size"), F.countDistinct("href").alias("out_urls"))
     collections = rows.groupBy("site", F.col("page_id").alias("page")).agg(F.count("*").alias("n_links")).join(whole, "site").withColumn("xpath", F.lit(""))
     return R.densest_first(collections).select("page", "class_size", "n_links", "out_urls", "nth")
@@ -237,6 +238,41 @@ def crawl_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.url_class.join(found.records.drop("class_name"), ["site", "url"], "left").select("site", "class_name", "url", F.col("record")[0].alias("record"))
 
 
+def site_with_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small site, with a form on every home page that finds a page of its own."""
+    store = small_site(spark, sf_dir)
+    form = '<form id="search"><input name="q" value="pages"><input type="submit" name="go"></form></body>'
+    html = F.when(F.col("url") == F.col("site"), F.replace("html", F.lit("</body>"), F.lit(form))).otherwise(F.col("html"))
+    found = store.filter("url = site").select("site", "url", F.lit("q=pages;").alias("form_params"), F.concat("site", F.lit("/found.html")).alias("final_url"), "status", F.lit("<html><body><h1>Found</h1></body></html>").alias("html"))
+    return store.withColumn("html", html).unionByName(found)
+
+
+RUN_LINES = (
+    "home\tlink\t//ul[@id='list']/li/a\titem\tlist",
+    "home\tlink\t//form[@id]\tfound\tform",
+    "item\tlink\t//a[@id='next']\titem\tnext",
+    "item\tlink\t//div/a\thome\tback",
+    "item\tstring\t//h1/text()\theading",
+    "found\tstring\t//h1/text()\theading",
+)
+
+
+@query("""SELECT site, 'item' AS class_name, site || '/p' || page_id || '.html' AS url, 'Page ' || page_id AS record, 'Page ' || page_id AS heading FROM (SELECT 'http://' || regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1) AS site, page_id FROM pages)
+UNION ALL SELECT site, class_name, site || path, record, heading FROM (SELECT DISTINCT 'http://' || regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1) AS site FROM pages) CROSS JOIN (VALUES ('home', '', NULL, ''), ('found', '/found.html', 'Found', 'Found')) t(class_name, path, record, heading)""")
+def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sites by one model file: crawled with forms, saved, and read back from the files that the run wrote."""
+    folder = new_path(spark, "run")
+    M.write_lines(spark.createDataFrame(list(enumerate(RUN_LINES)), "ord int, value string"), f"{folder}/model", "ord")
+    store = stored(site_with_forms(spark, sf_dir), "sites")
+    sites = [r["site"] for r in store.select("site").distinct().orderBy("site").collect()]  # the settings: a row a site
+    run(spark, [{"site": s, "model_file": f"{folder}/model", "crawl": True, "save_pages": True} for s in sites], store, f"{folder}/out")
+    cells = F.split("value", "\t")
+    index = spark.read.text(f"{folder}/out/index").select(F.col("site").cast("string").alias("site"), cells[0].alias("url"), cells[1].alias("class_name"), cells[2].alias("file"))
+    records = spark.read.text(f"{folder}/out/records").select(F.col("site").cast("string").alias("site"), cells[0].alias("url"), cells[1].alias("record"))
+    saved = P.read_saved(spark, f"{folder}/out/mirror").select("site", "file", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
+    return index.join(records, ["site", "url"], "left").join(saved, ["site", "file"]).select("site", "class_name", "url", "record", "heading")
+
+
 @query()
 def build_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modeling.build_models(small_site(spark, sf_dir), 30)

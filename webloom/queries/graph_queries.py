@@ -16,7 +16,7 @@ CL = ("links", "hosts", "class_links")
 
 def class_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class links made of page links: three paths a class, one of each type, with destinations by the length of the href."""
-    rows = P.links_by_pattern(P.read_pages(spark, sf_dir))
+    rows = P.anchors(P.read_pages(spark, sf_dir))
     m = F.col("pos") % 3
     return rows.select(
         urls.host(F.col("url")).alias("src"), F.concat(F.lit("/nav/"), m.cast("string")).alias("xpath"), F.when(m == 0, "list").when(m == 1, "menu").otherwise("singleton").alias("link_type"),
@@ -31,7 +31,7 @@ TYPING = """CASE n WHEN 3 THEN CASE WHEN k = 1 THEN 'list' WHEN refinable THEN '
 @query(sql(f"""SELECT page_id, {TYPING} AS action FROM (SELECT page_id, CASE WHEN count(*) >= 5 AND page_id % 7 = 0 THEN 4 ELSE least(count(*), 3) END AS n, count(DISTINCT length(href) % 3) AS k, count(*) AS size,
   page_id % 2 = 0 AS refinable, page_id % 3 = 0 AS finer, CASE WHEN page_id % 5 = 0 THEN 3 ELSE 9 END AS fetches FROM links WHERE pos < 1 + page_id % 6 GROUP BY 1)""", "links"))
 def link_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.links_by_pattern(P.read_pages(spark, sf_dir)).filter("pos < 1 + page_id % 6")
+    rows = P.anchors(P.read_pages(spark, sf_dir)).filter("pos < 1 + page_id % 6")
     c = rows.groupBy("page_id").agg(F.count("*").alias("size"), F.countDistinct(F.length("href") % 3).alias("k"))
     n = F.when((F.col("size") >= 5) & (F.col("page_id") % 7 == 0), 4).otherwise(F.least("size", F.lit(3)))
     action = L.collection_action(n, F.col("k"), F.col("size"), F.col("page_id") % 2 == 0, F.col("page_id") % 3 == 0, F.when(F.col("page_id") % 5 == 0, 3).otherwise(9), F.lit("menu"))
@@ -218,6 +218,6 @@ def redirect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("SELECT h.page_id, CASE WHEN page_id % 2 = 0 THEN n END AS links, CASE WHEN page_id % 3 = 0 THEN host END AS record FROM hosts h LEFT JOIN (SELECT page_id, count(*) AS n FROM links GROUP BY 1) USING (page_id) WHERE page_id % 2 = 0 AND n IS NOT NULL OR page_id % 3 = 0", "links", "hosts"))
 def future_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = P.read_pages(spark, sf_dir)
-    links = P.links_by_pattern(pages).filter("page_id % 2 = 0").groupBy("page_id").agg(F.count("*").alias("links"))
+    links = P.anchors(pages).filter("page_id % 2 = 0").groupBy("page_id").agg(F.count("*").alias("links"))
     data = pages.filter("page_id % 3 = 0").select("page_id", urls.host(F.col("url")).alias("record"))
     return G.co_group(links, data, "page_id")

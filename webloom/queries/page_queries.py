@@ -32,7 +32,7 @@ def page_link_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT page_id, count(DISTINCT href) AS out_urls FROM links GROUP BY 1", "links"))
 def distinct_out_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.links_by_pattern(P.read_pages(spark, sf_dir)).groupBy("page_id").agg(F.countDistinct("href").alias("out_urls"))
+    return P.anchors(P.read_pages(spark, sf_dir)).groupBy("page_id").agg(F.countDistinct("href").alias("out_urls"))
 
 
 def valid(href: str = "href") -> object:
@@ -47,7 +47,7 @@ def valid(href: str = "href") -> object:
   LATERAL (SELECT length(href) % 4 <> 0 AND NOT contains(href, '@') AS ok))
   WHERE ok AND (n <= 3 OR pos = f OR pos = m OR pos = t)""", "links"))
 def links_to_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.links_by_pattern(P.read_pages(spark, sf_dir)).select("page_id", "pos", "href")
+    rows = P.anchors(P.read_pages(spark, sf_dir)).select("page_id", "pos", "href")
     return S.links_to_fetch(rows, ["page_id"], valid()).select("page_id", "pos", "href")
 
 
@@ -65,7 +65,7 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT host AS class_id, page_id AS page, 'p' || (pos % 4) AS xpath, CASE WHEN pos % 4 = 3 THEN 'same' ELSE href END AS label FROM links JOIN hosts USING (page_id)) GROUP BY 1, 2, 3)
   GROUP BY 1, 2 HAVING count(*) >= 2 AND min(texts) = max(texts)""", "links", "hosts"))
 def class_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.links_by_pattern(P.read_pages(spark, sf_dir))
+    rows = P.anchors(P.read_pages(spark, sf_dir))
     label = F.when(F.col("pos") % 4 == 3, "same").otherwise(F.col("href"))
     return S.class_labels(rows.select(urls.host(F.col("url")).alias("class_id"), F.col("page_id").alias("page"), F.concat(F.lit("p"), (F.col("pos") % 4).cast("string")).alias("xpath"), label.alias("label")))
 
@@ -73,7 +73,7 @@ def class_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("""SELECT page_id AS page, min(page_id) OVER (PARTITION BY schema) AS group_id, count(*) OVER (PARTITION BY schema) AS group_size
   FROM (SELECT page_id, array_to_string(list_sort(list_distinct(list(left(href, 2)))), ' ') AS schema FROM links GROUP BY 1)""", "links"))
 def schema_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.links_by_pattern(P.read_pages(spark, sf_dir)).select(F.col("page_id").alias("page"), F.substring("href", 1, 2).alias("xpath"))
+    rows = P.anchors(P.read_pages(spark, sf_dir)).select(F.col("page_id").alias("page"), F.substring("href", 1, 2).alias("xpath"))
     return S.schema_groups(S.page_schemas(rows, "page")).select("page", "group_id", "group_size")
 
 
@@ -85,7 +85,7 @@ LABEL_ROWS = """lab AS (SELECT page_id AS page, host AS group_id, 'p' || (pos %
 SELECT h.page_id AS page, h.host AS group_id, CASE WHEN EXISTS (SELECT 1 FROM lab l WHERE l.page = h.page_id) AND EXISTS (SELECT 1 FROM need n WHERE n.group_id = h.host AND NOT EXISTS (SELECT 1 FROM lab l WHERE l.page = h.page_id AND l.xpath = n.xpath)) THEN 1 ELSE 0 END AS part FROM hosts h"""))
 def label_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = P.read_pages(spark, sf_dir)
-    rows = P.links_by_pattern(pages)
+    rows = P.anchors(pages)
     label = F.when(F.col("pos") % 4 == 3, "same").otherwise(F.col("href"))
     labels = rows.select(F.col("page_id").alias("page"), F.concat(F.lit("p"), (F.col("pos") % 4).cast("string")).alias("xpath"), label.alias("label"))
     return S.label_split(pages.select(F.col("page_id").alias("page"), urls.host(F.col("url")).alias("group_id")), labels)
@@ -99,7 +99,7 @@ def candidate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT class_id, array_to_string(list_sort(list(DISTINCT xpath)), ' ') AS schema FROM (SELECT host AS class_id, left(href, 2) AS xpath FROM links JOIN hosts USING (page_id)) GROUP BY 1", "links", "hosts"))
 def class_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.links_by_pattern(P.read_pages(spark, sf_dir)).select(urls.host(F.col("url")).alias("class_id"), F.col("page_id").alias("page"), F.substring("href", 1, 2).alias("xpath"))
+    rows = P.anchors(P.read_pages(spark, sf_dir)).select(urls.host(F.col("url")).alias("class_id"), F.col("page_id").alias("page"), F.substring("href", 1, 2).alias("xpath"))
     empty = rows.select("class_id", "page", "xpath", F.lit("").alias("label")).limit(0)
     return S.class_schemas(rows, empty).select("class_id", F.array_join("schema", " ").alias("schema"))
 
@@ -198,7 +198,7 @@ def record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT page_id, pos AS nth, 'u' || page_id || chr(9) || href AS value FROM links", "links"))
 def multi_record_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.links_by_pattern(P.read_pages(spark, sf_dir)).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "href"))), lambda x: x["href"]), "\t").alias("field"))
+    rows = P.anchors(P.read_pages(spark, sf_dir)).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "href"))), lambda x: x["href"]), "\t").alias("field"))
     records = rows.select(F.lit("c").alias("class_name"), F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), F.array("field").alias("record"))
     return M.record_rows(records).select(F.substring("url", 2, 20).cast("long").alias("page_id"), "nth", "value")
 

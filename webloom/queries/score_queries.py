@@ -17,7 +17,7 @@ GOLDEN = (("english", "https?://[^/]*/en/.*"), ("french", "https?://[^/]*/fr/.*"
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.links_by_pattern(P.read_pages(spark, sf_dir))
+    rows = P.anchors(P.read_pages(spark, sf_dir))
     return rows.select(urls.host(F.col("url")).alias("class_id"), F.col("page_id").alias("page"), F.col("href").alias("xpath")).distinct()
 
 
@@ -88,7 +88,7 @@ LETTERS = """let AS (SELECT DISTINCT page_id AS class_id, left(href, 2) AS xpath
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.links_by_pattern(P.read_pages(spark, sf_dir)).select(F.col("page_id").alias("class_id"), F.substring("href", 1, 2).alias("xpath"))
+    return P.anchors(P.read_pages(spark, sf_dir)).select(F.col("page_id").alias("class_id"), F.substring("href", 1, 2).alias("xpath"))
 
 
 @query(sql("SELECT 1", "links").replace("\nSELECT 1", ",\n" + LETTERS + "\nSELECT * FROM (SELECT a, b, shared, round((x.n + y.n - 2 * shared) / (x.n + y.n - shared)::DOUBLE, 9) AS distance FROM let_p JOIN let_n x ON x.class_id = a JOIN let_n y ON y.class_id = b) WHERE distance < 0.2"))

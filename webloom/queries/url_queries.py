@@ -17,7 +17,7 @@ VALID = r"(NOT starts_with(href, 'http') AND NOT starts_with(href, '//') OR rege
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.links_by_pattern(P.read_pages(spark, sf_dir))
+    return P.anchors(P.read_pages(spark, sf_dir))
 
 
 @query(f"SELECT page_id, {NORM} AS name FROM pages")

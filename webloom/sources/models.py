@@ -28,11 +28,12 @@ class Seed:
     wait_ms: int = 2000
     random_pause_ms: int = 1000
     max_failures: int = 1
+    pages: int = 1_000_000
 
 
 def seeds(spark: SparkSession, settings: list[dict]) -> DataFrame:
     """Seeds with defaults filled in, one row a site."""
-    return spark.createDataFrame([asdict(Seed(**s)) for s in settings], "site string, model_file string, golden string, model_pages int, javascript boolean, crawl boolean, save_pages boolean, wait_ms int, random_pause_ms int, max_failures int")
+    return spark.createDataFrame([asdict(Seed(**s)) for s in settings], "site string, model_file string, golden string, model_pages int, javascript boolean, crawl boolean, save_pages boolean, wait_ms int, random_pause_ms int, max_failures int, pages int")
 
 
 def parse_target(lines: DataFrame) -> DataFrame:
@@ -48,6 +49,13 @@ def read_target(spark: SparkSession, path: str) -> DataFrame:
     return parse_target(lines.filter(F.col("value") != ""))
 
 
+def read_targets(spark: SparkSession, path: str) -> DataFrame:
+    """Navigation models of many sites, as :func:`write_site_lines` writes them: site and the columns of :func:`parse_target`."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("site").cast("string").alias("site"), F.posexplode(F.split("value", "\r?\n")).alias("ord", "value"))
+    cells = F.split("value", "\t", -1)
+    return lines.filter(F.col("value") != "").select("site", "ord", *[F.coalesce(F.get(cells, F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(TARGET)])
+
+
 def target_links(target: DataFrame) -> DataFrame:
     """Class links: src, xpath, link_type (list, menu, form, singleton), anchor_text, dest, menu_xpath, menu_type."""
     kind = F.when(F.col("subtype").isin("list", "menu", "form"), F.col("subtype")).otherwise("singleton")
@@ -86,10 +94,25 @@ def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_golden(whole.select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "value")))
 
 
-def model_lines(links: DataFrame) -> DataFrame:
-    """Links as lines of a navigation model, in the order of depth, class and path. Forms and data rows are lines as well where given."""
+def model_lines(links: DataFrame, forms: DataFrame | None = None, data: DataFrame | None = None) -> DataFrame:
+    """A navigation model's lines, in the order of depth, class and path: links, and forms and data rows where given.
+
+    ``links``: (depth, src, xpath, dest, subtype, menu_xpath, menu_type); ``forms``: (depth, class_name, form); ``data``:
+    (depth, class_name, ord, data_type, xpath, field_name). A class's form and data follow its links, data in record order.
+    """
     line = F.concat_ws("\t", "src", F.lit("link"), "xpath", "dest", F.coalesce("subtype", F.lit("")), F.coalesce("menu_xpath", F.lit("")), F.coalesce("menu_type", F.lit("")))
-    return links.select("depth", "src", "xpath", F.regexp_replace(line, "\t+$", "").alias("value"))
+    trimmed = lambda c: F.regexp_replace(c, "\t+$", "").alias("value")
+    kept = ["site"] if "site" in links.columns else []
+    out = links.select(*kept, "depth", "src", "xpath", trimmed(line))
+    if forms is None and data is None:
+        return out
+    out = out.withColumns({"block": F.lit(0), "ord": F.lit(0)})
+    if forms is not None:
+        out = out.unionByName(forms.select("depth", F.col("class_name").alias("src"), F.col("form").alias("xpath"), F.concat_ws("\t", "class_name", F.lit("form"), "form").alias("value"), F.lit(1).alias("block"), F.lit(0).alias("ord")))
+    if data is not None:
+        row = F.concat_ws("\t", "class_name", "data_type", "xpath", F.coalesce("field_name", F.lit("")))
+        out = out.unionByName(data.select("depth", F.col("class_name").alias("src"), "xpath", trimmed(row), F.lit(2).alias("block"), "ord"))
+    return out
 
 
 def write_lines(lines: DataFrame, path: str, *order: str) -> None:
@@ -97,6 +120,11 @@ def write_lines(lines: DataFrame, path: str, *order: str) -> None:
     lines.orderBy(*order).select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_site_lines(lines: DataFrame, path: str, *order: str) -> None:
+    """Lines (site, value) in that order as a text file for each site, in a folder of its own."""
+    lines.repartition("site").sortWithinPartitions("site", *order).select("site", "value").write.mode("overwrite").partitionBy("site").text(path)
+
+
 def classification_lines(assignment: DataFrame) -> DataFrame:
     return assignment.select(F.concat_ws("\t", "class_name", "url", "file").alias("value"))
 
@@ -118,9 +146,31 @@ def iso_date(ms: Column) -> Column:
 
 def delete_oldest(versions: DataFrame, n: int) -> DataFrame:
     """What stays when the ``n`` oldest versions of each site go."""
+    return versions.join(oldest(versions, n).select("site", "version"), ["site", "version"], "left_anti")
+
+
+def oldest(versions: DataFrame, n: int) -> DataFrame:
+    """(site, version, root_class) of the ``n`` oldest versions of each site."""
     rank = F.row_number().over(Window.partitionBy("site").orderBy("ts", "version"))
-    gone = versions.withColumn("rank", rank).filter(F.col("rank") <= n).select("site", "version")
-    return versions.join(gone, ["site", "version"], "left_anti")
+    return versions.withColumn("rank", rank).filter(F.col("rank") <= n).select("site", "version", "root_class")
+
+
+def delete_models(versions: DataFrame, links: DataFrame, data: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Versions, links and data that stay when the ``n`` oldest versions of each site go, with all that their roots reach.
+
+    ``links``: (site, version, src, dest, ...) and ``data``: (site, version, class_name, ...). Classes that a root doesn't reach,
+    and classes without a version, stay as they are.
+    """
+    from ..operators.graph import bfs_depth
+
+    gone = oldest(versions, n)
+    model = F.concat_ws("\n", "site", F.col("version").cast("string")).alias("model")
+    reached = bfs_depth(links.join(gone.select("site", "version"), ["site", "version"], "left_semi").select(model, "src", "dest"), gone.select(model, F.col("root_class").alias("name")))
+    parts = F.split("model", "\n")
+    reached = reached.select(parts[0].alias("site"), parts[1].cast("int").alias("version"), "name")
+    keys = ["site", "version"]
+    kept = [df.join(reached.withColumnRenamed("name", c), [*keys, c], "left_anti").select(df.columns) for df, c in ((links, "src"), (data, "class_name"))]
+    return versions.join(gone.select(*keys), keys, "left_anti"), kept[0], kept[1]
 
 
 def record_header(data: DataFrame) -> DataFrame:
@@ -136,8 +186,8 @@ def record_rows(records: DataFrame) -> DataFrame:
 
 
 def write_records(rows: DataFrame, path: str) -> None:
-    """Lines by site and class."""
-    rows.write.mode("overwrite").partitionBy("site", "class_name").text(path)
+    """Lines (site, class_name, value) as text, a folder for each site and class."""
+    rows.select("site", "class_name", "value").write.mode("overwrite").partitionBy("site", "class_name").text(path)
 
 
 def url_class_index(crawled: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -26,9 +27,17 @@ def page_store(pages: DataFrame) -> DataFrame:
     return pages.select(urls.site_root(F.col("url")).alias("site"), "url", F.lit(None).cast("string").alias("form_params"), F.col("url").alias("final_url"), F.lit(200).alias("status"), "html")
 
 
+def write_saved(pages: DataFrame, path: str) -> None:
+    """Pages (site, url, html) as UTF-8 text, a folder for each site and a file for each page, named by its save path."""
+    rows = pages.select("site", urls.save_path(F.col("site"), F.col("url")).alias("file"), "html").dropDuplicates(["site", "file"])
+    rows.repartition("site", "file").write.mode("overwrite").partitionBy("site", "file").text(path)
+
+
 def read_saved(spark: SparkSession, path: str) -> DataFrame:
-    """Saved pages as rows (path, html), decoded as UTF-8."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+    """Saved pages as rows (path, html, and site and file where they were written by :func:`write_saved`), decoded as UTF-8."""
+    rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").text(path, wholetext=True)
+    folders = [F.col(c).cast("string").alias(c) for c in rows.columns if c != "value"]
+    return rows.select(F.col("_metadata.file_path").alias("path"), *folders, F.regexp_replace("value", "\n$", "").alias("html"))
 
 
 def fetch(requests: DataFrame, store: DataFrame) -> DataFrame:
@@ -48,6 +57,10 @@ def dispatch(urls_: DataFrame) -> DataFrame:
     return urls_.withColumns({"mode": mode, "address": parts["address"], "params": parts["params"]})
 
 
+#: Characters of pages, or rows found in them, after which a task hands on what it has.
+HANDED_ON, ROWS_HANDED_ON = 4 << 20, 20_000
+
+
 def _mapped(df: DataFrame, keys: list[str], make: Callable[[dom.Node], list[tuple]], schema: str) -> DataFrame:
     """Rows that ``make`` finds in each page's tree, after the page's key columns. One parse a page, streamed by batches."""
     kept = df.select(*keys, "html")
@@ -59,15 +72,28 @@ def _mapped(df: DataFrame, keys: list[str], make: Callable[[dom.Node], list[tupl
 
         target = to_arrow_schema(out_type)
         for batch in batches:
+            pages = batch.column(batch.num_columns - 1)
             index: list[int] = []
             columns: list[list] = [[] for _ in range(width)]
-            for i, html in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+
+            def out() -> pa.RecordBatch:
+                taken = [batch.column(k).take(pa.array(index, pa.int64())) for k in range(len(keys))]  # noqa: B023
+                made = [*(t.cast(f.type) for t, f in zip(taken, target, strict=False)), *(pa.array(c, f.type) for c, f in zip(columns, list(target)[len(keys) :], strict=True))]  # noqa: B023
+                return pa.RecordBatch.from_arrays(made, schema=target)
+
+            size = 0
+            for i in range(batch.num_rows):  # a page at a time; rows go on by the size of the pages they come from
+                html = pages[i].as_py()
                 for row in make(dom.parse(html)):
                     index.append(i)
                     for c, v in zip(columns, row, strict=True):
                         c.append(v)
-            taken = [batch.column(k).take(pa.array(index, pa.int64())) for k in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([*(t.cast(f.type) for t, f in zip(taken, target, strict=False)), *(pa.array(c, f.type) for c, f in zip(columns, list(target)[len(keys) :], strict=True))], schema=target)
+                size += len(html or "")
+                if size > HANDED_ON or len(index) > ROWS_HANDED_ON:
+                    yield out()
+                    index, columns, size = [], [[] for _ in range(width)], 0
+            if index:
+                yield out()
 
     return kept.mapInArrow(run, out_type)
 
@@ -117,11 +143,30 @@ def form_parameters(df: DataFrame, form: str, inputs: list[tuple[str, str]], *ke
     return _mapped(df, list(keys), lambda root: [(p,)] if (p := dom.form_parameters(root, form, inputs)) is not None else [], "params string")
 
 
-def hrefs_by_pattern(html: Column) -> Column:
-    """Hrefs of plain anchors without a parse, in the JVM: only for pages whose anchors are all ``<a href="...">``."""
-    return F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), 1)
+#: Elements in which anchors stay where they are written; pages with any other are left to the tree.
+PLAIN = "html|head|title|meta|body|nav|article|section|header|footer|main|ul|ol|li|h[1-6]|p|div|span|a|b|i|em|strong|br"
+#: What holds no elements: comments, scripts and styles.
+SKIPPED = "(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>"
+ANCHOR = '<a href="([^"]*)"'
 
 
-def links_by_pattern(pages: DataFrame) -> DataFrame:
-    """page_id, url, pos, href of pages whose anchors are plain; the html column is read once and not kept."""
-    return pages.select("page_id", "url", F.posexplode(hrefs_by_pattern(F.col("html"))).alias("pos", "href"))
+def is_plain(html: Column) -> Column:
+    """Whether a pattern finds what the tree does: only plain elements and whole tags, every anchor is written ``<a href="...">``,
+    no character reference in an address, no comment within a script, nothing that looks like a tag in a title or an attribute.
+    """
+    clean = F.regexp_replace(html, SKIPPED, "")
+    odd = [f"(?i)<(?!/?(?:{PLAIN})[\\s/>]|!doctype html>)", "<[^>]*$", "=\\s*(?:\"[^\"]*[<>]|'[^']*[<>])", "(?i)<title[^>]*>[^<]*<(?!/title)", ANCHOR.replace("([^\"]*)", "[^\"]*[&\r\n\\x00]"), "(?i)<a [^>]*<"]
+    anchors = F.size(F.regexp_extract_all(clean, F.lit("(?i)(<a[\\s/>])"), 1)) == F.size(F.regexp_extract_all(clean, F.lit(ANCHOR), 1))
+    script = html.rlike("(?is)<script\\b[^>]*>(?:(?!</script).)*<!--") | html.contains("<![")
+    return F.coalesce(reduce(lambda a, b: a & b, [~clean.rlike(x) for x in odd], anchors & ~script), F.lit(False))
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """page_id, url, pos, href of every anchor, in document order; the html column is read once and not kept.
+
+    Of plain pages (:func:`is_plain`) they are found in the JVM, of all others in the tree; the rows are the same either way.
+    """
+    rows = pages.select("page_id", "url", "html")
+    found = F.regexp_extract_all(F.regexp_replace("html", SKIPPED, ""), F.lit(ANCHOR), 1)
+    plain = rows.filter(is_plain(F.col("html"))).select("page_id", "url", F.posexplode(found).alias("pos", "href"))
+    return plain.unionByName(page_links(rows.filter(~is_plain(F.col("html"))), "page_id", "url").select("page_id", "url", "pos", "href"))
