@@ -178,3 +178,138 @@ def test_evaluation_of_an_inferred_model(spark):
     assert 0 < row["purity"] <= 1
     assert row["links_recall"] == pytest.approx(0.5)
     assert found.report.count() == 4
+
+
+def test_depth_of_a_long_chain_and_a_limit(spark):
+    edges = spark.createDataFrame([("m", f"c{k}", f"c{k + 1}") for k in range(105)] + [("m", "c9", "c2")], "model string, src string, dest string")
+    roots = spark.createDataFrame([("m", "c0")], "model string, name string")
+    assert {r["name"]: r["depth"] for r in graph.bfs_depth(edges, roots).collect()} == {f"c{k}": k for k in range(106)}
+    with pytest.raises(RuntimeError, match="beyond 3 levels"):
+        graph.bfs_depth(edges, roots, most=3)
+
+
+def test_budgets_by_site_and_a_limit_of_rounds(spark):
+    rows = []
+    for site, n in (("http://a.test", 6), ("http://b.test", 4)):
+        rows += [page(site, "", '<a href="/p0">first</a>'), *(page(site, f"/p{k}", f'<a href="/p{k + 1}">next</a>') for k in range(n))]
+    store = spark.createDataFrame(rows, "site string, url string, form_params string, final_url string, status int, html string")
+    seeds = spark.createDataFrame([("http://a.test", "http://a.test", "c", 3), ("http://b.test", "http://b.test", "c", None)], "site string, url string, class_name string, budget int")
+    links = spark.createDataFrame([("c", "//a", "c")], "src string, xpath string, dest string")
+    data = spark.createDataFrame([], "class_name string, ord int, xpath string, data_type string")
+    depths = spark.createDataFrame([("c", 0)], "name string, depth int")
+    found = traverse.crawl(store, seeds, links, data, depths, max_failures=0)
+    assert sorted((r["site"], r["n"]) for r in found.url_class.groupBy("site").agg(F.count("*").alias("n")).collect()) == [("http://a.test", 3), ("http://b.test", 5)]
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        traverse.crawl(store, seeds, links, data, depths, most_rounds=2)
+
+
+def test_forms_are_posted(spark):
+    form = '<form id="f"><input name="q" value="x"><input name="n" value="1"></form>'
+    rows = [page(SITE, "", f"<h1>Home</h1>{form}<a href='/asked'>a</a>"), page(SITE, "/asked", f"<h1>Ask</h1>{form}")]
+    rows += [(SITE, SITE, "q=x;n=1;", SITE + "/result", 200, "<h1>Result</h1>"), (SITE, SITE + "/asked", "q=x;n=1;", SITE + "/other", 200, "<h1>Answer</h1>")]
+    store = spark.createDataFrame(rows, "site string, url string, form_params string, final_url string, status int, html string")
+    links = spark.createDataFrame([("home", "//form[@id]", "result", "form"), ("home", "//a", "asked", "list")], "src string, xpath string, dest string, link_type string")
+    forms = spark.createDataFrame([("asked", "//form[@id]")], "class_name string, form string")
+    data = spark.createDataFrame([(c, 0, "//h1/text()", "string") for c in ("home", "result", "asked")], "class_name string, ord int, xpath string, data_type string")
+    depths = spark.createDataFrame([("home", 0), ("result", 1), ("asked", 1)], "name string, depth int")
+    found = traverse.crawl(store, spark.createDataFrame([(SITE, SITE, "home")], "site string, url string, class_name string"), links, data, depths, forms=forms)
+    # a posted address is known by what answers, a class's own form by the address of the form
+    assert {(r["url"], r["record"][0]) for r in found.records.collect()} == {(SITE, "Home"), (SITE + "/result", "Result"), (SITE + "/asked", "Answer")}
+
+
+def test_a_large_site_is_never_in_one_group(spark, monkeypatch):
+    from webloom.sources import store as s
+
+    rows = [page(SITE, "", "<ul>" + "".join(f'<li><a href="/p{k}">{k}</a></li>' for k in range(400)) + "</ul>")]
+    rows += [page(SITE, f"/p{k}", f'<h1>Page {k}</h1><div><a href="/">home</a></div><p><a href="/p{(k * 7) % 400}">x</a></p>') for k in range(400)]
+    held = []
+    append = s.Grown.append
+    monkeypatch.setattr(s.Grown, "append", lambda self, df: held.append(self) or append(self, df))
+    store = spark.createDataFrame(rows, "site string, url string, form_params string, final_url string, status int, html string")
+    got = sorted(map(str, modeling.build_models(store, 5).collect()))
+    pages = next(g for g in held if "held-pages" in g.path).table()
+    assert pages.count() <= 16
+    m = modeling.Modeler(SITE, {u.removesuffix("/"): (f, h) for _, u, _, f, _, h in rows}, 5)
+    m.run()
+    m.finish()
+    whole = spark.createDataFrame(m.rows(), modeling.MODEL_SCHEMA)
+    assert sorted(map(str, whole.collect())) == got
+
+
+ODD_PAGES = [
+    '<a class="x" href="/a">1</a><a href="/b">2</a><A HREF=\'/c\'>3</A><a href=/d>4</a>',
+    '<p><a href="/a?x=1&amp;y=2">1</a></p>', '<!-- <a href="/no">x</a> --><a href="/yes">y</a>', '<script>"<a href=\\"/no\\">"</script><a href="/yes">y</a>',
+    '<div title=\'<a href="/no">\'><a href="/yes">y</a></div>', '<table><tr><td><a href="/cell">c</a></td></tr></table><a href="/after">a</a>', '<a href="/open', '<title><a href="/no"></title><a href="/yes">y</a>',
+    '<style>a{}</style><nav><ul><li><a href="/1">1</a></li><li><a href="/2">2</a></li></ul></nav>', '<a name="top">t</a><a href="/x">x</a>', '<a href="/x" class="y">x</a><svg><a href="/svg"/></svg>', "", None, '<a\nhref="/line">l</a>', "<a href=\"/q\">&lt;a href=\"/no\"</a>",
+]
+
+
+def test_anchors_by_pattern_and_by_tree(spark, sf):
+    from webloom.sources import pages as P
+
+    rows = spark.createDataFrame([(k, "http://s.test/p", h) for k, h in enumerate(ODD_PAGES)], "page_id long, url string, html string").unionByName(P.read_pages(spark, sf).select("page_id", "url", "html").withColumn("page_id", F.col("page_id") + 1000))
+    want = sorted(map(tuple, P.page_links(rows, "page_id", "url").select("page_id", "pos", "href").collect()))
+    assert sorted(map(tuple, P.anchors(rows).select("page_id", "pos", "href").collect())) == want
+    assert [h for i, _, h in want if i == 0] == ["/a", "/b", "/c", "/d"]
+    plain = {r["page_id"] for r in rows.filter(P.is_plain(F.col("html"))).collect()}
+    assert {i for i in plain if i < 1000} <= {2, 3, 8, 11, 14} and any(i >= 1000 for i in plain)
+
+
+def test_saved_pages_and_records_come_back(spark, tmp_path):
+    from webloom.sources import pages as P
+
+    pages = spark.createDataFrame([(SITE, SITE, "<h1>é</h1>\nx"), (SITE, SITE + "/a/b?q=1&r=2", "<p>2</p>")], "site string, url string, html string")
+    P.write_saved(pages, str(tmp_path / "mirror"))
+    assert {(r["file"], r["html"]) for r in P.read_saved(spark, str(tmp_path / "mirror")).collect()} == {("html/s_test_mirror/index.html", "<h1>é</h1>\nx"), ("html/s_test_mirror/a/bq_1r_2.html", "<p>2</p>")}
+    records = spark.createDataFrame([(SITE, "item", SITE + "/a", ["x", "y"])], "site string, class_name string, url string, record array<string>")
+    models.write_records(models.record_rows(records).withColumn("site", F.lit(SITE)), str(tmp_path / "records"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "records")).collect()] == [f"{SITE}/a\tx\ty"]
+
+
+def test_models_with_forms_and_data_come_back(spark, tmp_path):
+    links = spark.createDataFrame([(0, "home", "//a", "items", "list"), (1, "items", "//b", "home", "Next")], "depth int, src string, xpath string, dest string, subtype string").withColumns({"menu_xpath": F.lit(""), "menu_type": F.lit("")})
+    forms = spark.createDataFrame([(0, "home", "//form")], "depth int, class_name string, form string")
+    data = spark.createDataFrame([(1, "items", 0, "string", "//h1/text()", "title"), (1, "items", 1, "url", "//a", None)], "depth int, class_name string, ord int, data_type string, xpath string, field_name string")
+    models.write_lines(models.model_lines(links, forms, data), str(tmp_path / "m"), "depth", "src", "block", "ord", "xpath")
+    back = models.read_target(spark, str(tmp_path / "m"))
+    assert [(r["src"], r["dest"], r["link_type"]) for r in models.target_links(back).orderBy("ord").collect()] == [("home", "items", "list"), ("items", "home", "singleton")]
+    assert [tuple(r) for r in models.target_forms(back).collect()] == [("home", "//form")]
+    assert [(r["xpath"], r["data_type"], r["field_name"]) for r in models.target_data(back).orderBy("ord").collect()] == [("//h1/text()", "string", "title"), ("//a", "url", None)]
+
+
+def test_deleting_a_version_takes_what_it_reaches(spark):
+    versions = spark.createDataFrame([("s", 1, 10, "a"), ("s", 2, 20, "a")], "site string, version int, ts long, root_class string")
+    links = spark.createDataFrame([("s", v, x, y) for v in (1, 2) for x, y in (("a", "b"), ("b", "c"), ("z", "a"))], "site string, version int, src string, dest string")
+    data = spark.createDataFrame([("s", v, c, "//p") for v in (1, 2) for c in "cz"], "site string, version int, class_name string, xpath string")
+    v, kept, values = models.delete_models(versions, links, data, 1)
+    assert [r["version"] for r in v.collect()] == [2]
+    assert sorted((r["version"], r["src"]) for r in kept.collect()) == [(1, "z"), (2, "a"), (2, "b"), (2, "z")]
+    assert sorted((r["version"], r["class_name"]) for r in values.collect()) == [(1, "z"), (2, "c"), (2, "z")]
+
+
+def test_close_pairs_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for g in range(12):
+        own = [f"g{g}p{k}" for k in range(rng.randint(8, 20))]
+        for c in range(4):
+            rows += [(f"k{g}_{c}", e) for e in [*rng.sample(own, len(own) - rng.randint(0, 2)), "menu", "home"]]
+    members = spark.createDataFrame(rows, "class_id string, xpath string")
+    want = scoring.jaccard_pairs(members, "class_id", "xpath").filter("distance < 0.2")
+    assert sorted(map(tuple, scoring.collapse_pairs(members, "class_id", "xpath").collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_a_whole_run_of_an_inferred_model(spark, tmp_path):
+    from webloom.plans.run import run
+
+    (tmp_path / "golden.csv").write_text(f"home\t{SITE}\nlist\t{SITE}/list.*\nitem\t{SITE}/item.*\n\nlist\tlist\titem\n")
+    folder = str(tmp_path / "out")
+    found = run(spark, [{"site": SITE, "model_pages": 50, "crawl": True, "save_pages": True, "golden": str(tmp_path / "golden.csv")}], small_store(spark), folder)
+    urls = {r["url"] for r in found.url_class.collect()}
+    assert {SITE, SITE + "/list1", SITE + "/about"} <= urls and sum("/item" in u for u in urls) >= 4
+    assert spark.read.text(f"{folder}/index").count() == len(urls)
+    assert models.read_targets(spark, f"{folder}/models").filter("kind = 'link'").count() > 2
+    assert spark.read.text(f"{folder}/evaluations/s.test").count() == 3
+    assert found.schedule.count() == len(urls) and found.versions.first()["version"] == 1

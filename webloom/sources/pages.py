@@ -155,7 +155,7 @@ def is_plain(html: Column) -> Column:
     no character reference in an address, no comment within a script, nothing that looks like a tag in a title or an attribute.
     """
     clean = F.regexp_replace(html, SKIPPED, "")
-    odd = [f"(?i)<(?!/?(?:{PLAIN})[\\s/>]|!doctype html>)", "<[^>]*$", "=\\s*(?:\"[^\"]*[<>]|'[^']*[<>])", "(?i)<title[^>]*>[^<]*<(?!/title)", ANCHOR.replace("([^\"]*)", "[^\"]*[&\r\n\\x00]"), "(?i)<a [^>]*<"]
+    odd = [f"(?i)<(?!/?(?:{PLAIN})[\\s/>]|!doctype html>)", "<[^>]*$", "=\\s*(?:\"[^\"]*[<>]|'[^']*[<>])", "(?i)<title[^>]*>[^<]*<(?!/title)", ANCHOR.replace("([^\"]*)", "[^\"]*[&\r\n\\x00][^\"]*"), "(?i)<a [^>]*<"]
     anchors = F.size(F.regexp_extract_all(clean, F.lit("(?i)(<a[\\s/>])"), 1)) == F.size(F.regexp_extract_all(clean, F.lit(ANCHOR), 1))
     script = html.rlike("(?is)<script\\b[^>]*>(?:(?!</script).)*<!--") | html.contains("<![")
     return F.coalesce(reduce(lambda a, b: a & b, [~clean.rlike(x) for x in odd], anchors & ~script), F.lit(False))
