@@ -17,7 +17,7 @@ from ..sources import pages as P
 from ..sources.store import new_path, shared_folder, stored
 from ..streaming import frontier as stream
 from .registry import query, sql
-from .url_queries import KEY, ROOT
+from .url_queries import KEY, ROOT, SAVE_PATH
 
 FRONTIER = f"fr AS (SELECT {ROOT} AS site, url, page_id, len(regexp_extract_all(regexp_replace(url, '^[a-z]*://', ''), '/'))::INTEGER AS depth, 'c' || (page_id % 3) AS class_name FROM pages)"
 
@@ -129,49 +129,67 @@ def version_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.read_pages(spark, sf_dir).select("page_id", M.iso_date(F.lit(1700000000000) + F.col("page_id") * 1234567).alias("date"))
 
 
-#: A navigation model: a home page with a menu, a list of items with a pager, and items with data of all three kinds.
-TARGET_LINES = (
-    "home\tlink\t//ul[@id='m']/li/a[1]\titems\tmenu\t//ul[@id='m']/li/a\tfixed",
-    "home\tlink\t//ul[@id='m']/li/a[2]\tabout\tmenu\t//ul[@id='m']/li/a\tfixed",
-    "items\tlink\t//div[@id='c']/ul/li/a[not(@id)]\titem\tlist",
-    "items\tlink\t//a[@id='next']\titems\tNext",
-    "items\tform\t//form[@id='f'],//input[@name='q']:x",
-    "item\tstring\t//h1/text()\ttitle",
-    "item\turl\t//div[@id='link']/a\tlink",
-    "item\timg\t//img[@class='photo']\tphoto",
-    "item\tstring\t//p[@class='price']/text()\tprice",
-    "about\tstring\t//p/text()",
-)
+def model_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Navigation models' lines made of all pages: for each a link, a data row and, for some, a form."""
+    rows = P.read_pages(spark, sf_dir).select("page_id", F.concat(F.lit("c"), (F.col("page_id") % 5).cast("string")).alias("src"), F.col("page_id").cast("string").alias("p"))
+    subtype = F.element_at(F.array(*map(F.lit, ("list", "menu", "form", "Next"))), (F.col("page_id") % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("string", "url", "img"))), (F.col("page_id") % 3 + 1).cast("int"))
+    field = F.when(F.col("page_id") % 6 == 0, F.lit("")).otherwise(F.concat(F.lit("\tf"), "p"))
+    link = F.concat_ws("\t", "src", F.lit("link"), F.concat(F.lit("//a["), "p", F.lit("]")), F.concat(F.lit("c"), (F.col("page_id") * 3 % 7).cast("string")), subtype)
+    data = F.concat(F.concat_ws("\t", "src", kind, F.concat(F.lit("//p["), "p", F.lit("]"))), field)
+    form = F.when(F.col("page_id") % 10 == 3, F.concat_ws("\t", "src", F.lit("form"), F.concat(F.lit("//form["), "p", F.lit("]"))))
+    every = rows.select("page_id", F.posexplode(F.filter(F.array(link, data, form), lambda x: x.isNotNull())).alias("k", "value"))
+    return every.select((F.col("page_id") * 3 + F.col("k")).cast("int").alias("ord"), "value")
 
 
-def target(spark: SparkSession) -> DataFrame:
-    return M.parse_target(spark.createDataFrame(list(enumerate(TARGET_LINES)), "ord int, value string"))
+def target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.parse_target(model_file_lines(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('home', 'items', 'menu'), ('home', 'about', 'menu'), ('items', 'item', 'list'), ('items', 'items', 'singleton')) t(src, dest, link_type)""")
+@query("SELECT 'c' || (page_id % 5) AS src, '//a[' || page_id || ']' AS xpath, 'c' || (page_id * 3 % 7) AS dest, ['list', 'menu', 'form', 'singleton'][page_id % 4 + 1] AS link_type, CASE WHEN page_id % 4 = 3 THEN 'Next' END AS anchor_text FROM pages")
 def target_model_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.target_links(target(spark)).select("src", "dest", "link_type")
+    return M.target_links(target(spark, sf_dir)).select("src", "xpath", "dest", "link_type", "anchor_text")
 
 
-@query("""SELECT class_name, CAST(ord AS INTEGER) AS ord, data_type, field_name FROM (VALUES ('item', 0, 'string', 'title'), ('item', 1, 'url', 'link'), ('item', 2, 'img', 'photo'), ('item', 3, 'string', 'price'), ('about', 0, 'string', NULL)) t(class_name, ord, data_type, field_name)""")
+@query("SELECT 'c' || (page_id % 5) AS class_name, CAST(row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) - 1 AS INTEGER) AS ord, '//p[' || page_id || ']' AS xpath, ['string', 'url', 'img'][page_id % 3 + 1] AS data_type, CASE WHEN page_id % 6 <> 0 THEN 'f' || page_id END AS field_name FROM pages")
 def target_model_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.target_data(target(spark)).select("class_name", "ord", "data_type", "field_name")
+    return M.target_data(target(spark, sf_dir)).select("class_name", "ord", "xpath", "data_type", "field_name")
+
 
+@query("SELECT 'c' || (page_id % 5) AS class_name, '//form[' || page_id || ']' AS form FROM pages WHERE page_id % 10 = 3")
+def target_model_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.target_forms(target(spark, sf_dir))
 
-@query("""SELECT * FROM (VALUES ('home', true), ('items', false), ('item', false), ('about', false)) t(name, is_root)""")
+
+@query("SELECT name, name = (SELECT 'c' || (min(page_id) % 5) FROM pages) AS is_root FROM (SELECT 'c' || (page_id % 5) AS name FROM pages UNION SELECT 'c' || (page_id * 3 % 7) FROM pages)")
 def target_model_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.target_classes(target(spark))
+    return M.target_classes(target(spark, sf_dir))
+
 
+def golden_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A golden model's lines made of all pages: a class of two patterns for each, a blank line, a link for each."""
+    rows = P.read_pages(spark, sf_dir).select("page_id", "url", F.col("page_id").cast("string").alias("p"))
+    classes = rows.select(F.col("page_id").cast("int").alias("ord"), F.concat(F.lit("g"), "p", F.lit("\t"), F.col("url"), F.lit(",x"), "p").alias("value"))
+    links = rows.select((F.col("page_id") + (1 << 29) + 1).cast("int").alias("ord"), F.concat(F.lit("g"), "p", F.lit("\tlist\tg"), (F.col("page_id") * 7 % 11).cast("string")).alias("value"))
+    return classes.union(spark.createDataFrame([(1 << 29, "")], "ord int, value string")).union(links)
 
-@query("""SELECT * FROM (VALUES ('home', 'http://s/'), ('list', 'http://s/l.*'), ('list', 'http://s/k[0-9]')) t(name, pattern)""")
+
+@query("SELECT 'g' || page_id AS name, unnest(string_split(url || ',x' || page_id, ',')) AS pattern FROM pages")
 def golden_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ["home\thttp://s/", "list\thttp://s/l.*,http://s/k[0-9]", "", "home\tmenu\tlist", "list\tlist\tlist"]
-    return M.parse_golden(spark.createDataFrame(list(enumerate(lines)), "ord int, value string"))[0]
+    return M.parse_golden(golden_lines(spark, sf_dir))[0]
+
+
+@query("SELECT 'g' || page_id AS src, 'list' AS link_type, 'g' || (page_id * 7 % 11) AS dest FROM pages")
+def golden_model_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.parse_golden(golden_lines(spark, sf_dir))[1].select("src", "link_type", "dest")
 
 
-@query("""SELECT * FROM (VALUES ('http://a', 2000, 1000, 1, 0, false), ('http://b', 0, 0, 3, 50, true)) t(site, wait_ms, random_pause_ms, max_failures, model_pages, crawl)""")
+@query(f"SELECT DISTINCT site, CASE WHEN n % 2 = 0 THEN 0 ELSE 2000 END AS wait_ms, 1000 AS random_pause_ms, CASE WHEN n % 3 = 0 THEN 3 ELSE 1 END AS max_failures, CASE WHEN n % 5 = 0 THEN 50 ELSE 0 END AS model_pages, n % 2 = 1 AS crawl FROM (SELECT {ROOT} AS site, length({ROOT}) AS n FROM pages)")
 def settings_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.seeds(spark, [{"site": "http://a"}, {"site": "http://b", "wait_ms": 0, "random_pause_ms": 0, "max_failures": 3, "model_pages": 50, "crawl": True}]).select("site", "wait_ms", "random_pause_ms", "max_failures", "model_pages", "crawl")
+    """Settings of all sites: what isn't set has its default."""
+    sites = [r["site"] for r in P.read_pages(spark, sf_dir).select(urls.site_root(F.col("url")).alias("site")).distinct().collect()]  # settings are a driver's list
+    given = [{"site": s} | ({"wait_ms": 0} if len(s) % 2 == 0 else {"crawl": True}) | ({"max_failures": 3} if len(s) % 3 == 0 else {}) | ({"model_pages": 50} if len(s) % 5 == 0 else {}) for s in sites]
+    return M.seeds(spark, given).select("site", "wait_ms", "random_pause_ms", "max_failures", "model_pages", "crawl")
 
 
 @query(sql("SELECT depth, src, xpath, src || chr(9) || 'link' || chr(9) || xpath || chr(9) || dest || chr(9) || link_type AS value FROM (SELECT DISTINCT (length(src) % 3)::INTEGER AS depth, src, xpath, dest, link_type FROM class_links)", "links", "hosts", "class_links"))
@@ -194,10 +212,9 @@ def page_class_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id").join(assignment, "page_id").groupBy("class_name").agg(F.count("*").alias("pages"))
 
 
-@query(f"SELECT {ROOT} AS site, count(*) AS n FROM pages GROUP BY 1")
+@query(f"SELECT {ROOT} AS site, url || chr(9) || 'c' || (page_id % 3) || chr(9) || {SAVE_PATH} AS value FROM pages")
 def url_class_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.url_class_index(frontier(spark, sf_dir).select("site", "url", "class_name"))
-    return rows.filter(F.size(F.split("value", "\t")) == 3).groupBy("site").agg(F.count("*").alias("n"))
+    return M.url_class_index(frontier(spark, sf_dir).select("site", "url", "class_name"))
 
 
 # ---- whole runs ----

@@ -28,12 +28,12 @@ TYPING = """CASE n WHEN 3 THEN CASE WHEN k = 1 THEN 'list' WHEN refinable THEN '
   WHEN 2 THEN CASE WHEN k = 1 THEN 'list' ELSE 'menu' END WHEN 1 THEN CASE WHEN refinable AND NOT finer THEN 'refine_coarser' ELSE 'singleton' END ELSE 'menu' END"""
 
 
-@query(sql(f"""SELECT page_id, {TYPING} AS action FROM (SELECT page_id, CASE WHEN count(*) >= 5 AND page_id % 7 = 0 THEN 4 ELSE least(count(*), 3) END AS n, count(DISTINCT length(href) % 3) AS k, count(*) AS size,
-  page_id % 2 = 0 AS refinable, page_id % 3 = 0 AS finer, CASE WHEN page_id % 5 = 0 THEN 3 ELSE 9 END AS fetches FROM links WHERE pos < 1 + page_id % 6 GROUP BY 1)""", "links"))
+@query(sql(f"""SELECT page_id, {TYPING} AS action FROM (SELECT page_id, least(count(*), 1 + page_id % 4) AS n, count(DISTINCT length(href) % 3) AS k, count(*) AS size,
+  page_id % 2 = 0 AS refinable, page_id % 3 = 0 AS finer, CASE WHEN page_id % 5 = 0 THEN 3 ELSE 9 END AS fetches FROM links GROUP BY 1)""", "links"))
 def link_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.anchors(P.read_pages(spark, sf_dir)).filter("pos < 1 + page_id % 6")
+    rows = P.anchors(P.read_pages(spark, sf_dir))
     c = rows.groupBy("page_id").agg(F.count("*").alias("size"), F.countDistinct(F.length("href") % 3).alias("k"))
-    n = F.when((F.col("size") >= 5) & (F.col("page_id") % 7 == 0), 4).otherwise(F.least("size", F.lit(3)))
+    n = F.least("size", 1 + F.col("page_id") % 4)
     action = L.collection_action(n, F.col("k"), F.col("size"), F.col("page_id") % 2 == 0, F.col("page_id") % 3 == 0, F.when(F.col("page_id") % 5 == 0, 3).otherwise(9), F.lit("menu"))
     return c.select("page_id", action.alias("action"))
 
@@ -49,16 +49,16 @@ def menu_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.demote_menus(typed(spark, sf_dir)).select(F.col("src_url").cast("long").alias("src_url"), "xpath", "link_type", "pos")
 
 
-@query(sql("SELECT page_id AS src_url, xpath, link_type, pos, href, 'c' || page_id AS dest_url, CASE WHEN link_type = 'singleton' THEN coalesce(anchor_text, '') END AS text FROM class_links WHERE page_id % 2 = 0", *CL))
+@query(sql("SELECT page_id AS src_url, xpath, link_type, pos, href, 'c' || page_id AS dest_url, CASE WHEN link_type = 'singleton' THEN coalesce(anchor_text, '') END AS text FROM class_links", *CL))
 def typed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = class_links(spark, sf_dir)
-    collections = rows.filter("page_id % 2 = 0").select(F.col("page_id").alias("src_url"), "xpath", "link_type").distinct()
+    collections = rows.select(F.col("page_id").alias("src_url"), "xpath", "link_type").distinct()
     fetched = rows.select(F.col("page_id").alias("src_url"), "xpath", "pos", "href", F.concat(F.lit("c"), F.col("page_id").cast("string")).alias("dest_url"), F.col("anchor_text").alias("text"))
     return L.typed_links(collections, fetched)
 
 
-PRECEDE = """t AS (SELECT src AS src_class, '/nav/x' || (page_id % 2) AS xpath, link_type, CAST(page_id AS VARCHAR) AS src_url, pos, dest AS dest_class, coalesce(anchor_text, '') AS text,
-    CASE link_type WHEN 'list' THEN 0 WHEN 'menu' THEN 1 ELSE 2 END AS o FROM class_links WHERE NOT (src < 'm' AND link_type = 'list')),
+PRECEDE = """t AS (SELECT *, CASE link_type WHEN 'list' THEN 0 WHEN 'menu' THEN 1 ELSE 2 END AS o FROM (SELECT src AS src_class, '/nav/x' || (page_id % 2) AS xpath,
+    CASE WHEN src < 'm' AND link_type = 'list' THEN 'menu' ELSE link_type END AS link_type, CAST(page_id AS VARCHAR) AS src_url, pos, dest AS dest_class, coalesce(anchor_text, '') AS text FROM class_links)),
   b AS (SELECT src_class, xpath, min(o) AS o FROM t GROUP BY 1, 2)"""
 
 
@@ -66,7 +66,7 @@ PRECEDE = """t AS (SELECT src AS src_class, '/nav/x' || (page_id % 2) AS xpath,
 SELECT src_class, xpath, CASE o WHEN 0 THEN 'list' ELSE 'singleton' END AS link_type, first(dest_class ORDER BY src_url, pos) AS dest_class, first(text ORDER BY src_url, pos) AS text FROM t JOIN b USING (src_class, xpath, o) WHERE o <> 1 GROUP BY 1, 2, o
 UNION ALL SELECT DISTINCT src_class, xpath, 'menu', dest_class, NULL FROM t JOIN b USING (src_class, xpath, o) WHERE o = 1"""))
 def link_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = typed(spark, sf_dir).filter(~((F.col("src_class") < "m") & (F.col("link_type") == "list")))
+    rows = typed(spark, sf_dir).withColumn("link_type", F.when((F.col("src_class") < "m") & (F.col("link_type") == "list"), "menu").otherwise(F.col("link_type")))
     return L.precede(rows.withColumn("xpath", F.concat(F.lit("/nav/x"), (F.col("src_url").cast("long") % 2).cast("string"))))
 
 
@@ -215,9 +215,10 @@ def redirect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", bare("real_url"), bare("known_page"))
 
 
-@query(sql("SELECT h.page_id, CASE WHEN page_id % 2 = 0 THEN n END AS links, CASE WHEN page_id % 3 = 0 THEN host END AS record FROM hosts h LEFT JOIN (SELECT page_id, count(*) AS n FROM links GROUP BY 1) USING (page_id) WHERE page_id % 2 = 0 AND n IS NOT NULL OR page_id % 3 = 0", "links", "hosts"))
+@query(sql("SELECT h.page_id, n AS links, CASE WHEN host LIKE 'm.%' OR host LIKE 'www.%' THEN host END AS record FROM hosts h LEFT JOIN (SELECT page_id, count(*) AS n FROM links WHERE contains(href, ',') GROUP BY 1) USING (page_id) WHERE n IS NOT NULL OR host LIKE 'm.%' OR host LIKE 'www.%'", "links", "hosts"))
 def future_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a comma in some address, beside pages of hosts for phones and browsers: either side may be missing."""
     pages = P.read_pages(spark, sf_dir)
-    links = P.anchors(pages).filter("page_id % 2 = 0").groupBy("page_id").agg(F.count("*").alias("links"))
-    data = pages.filter("page_id % 3 = 0").select("page_id", urls.host(F.col("url")).alias("record"))
+    links = P.anchors(pages).filter(F.col("href").contains(",")).groupBy("page_id").agg(F.count("*").alias("links"))
+    data = pages.select("page_id", urls.host(F.col("url")).alias("record")).filter("record LIKE 'm.%' OR record LIKE 'www.%'")
     return G.co_group(links, data, "page_id")

@@ -198,8 +198,8 @@ def weighted_cohesion_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.weighted_mean(E.cohesion(matrix, sizes), "entropy").crossJoin(E.weighted_mean(E.purity(matrix, sizes), "purity")).select(r9("entropy"), r9("purity"))
 
 
-LINK_SIDES = """g AS (SELECT src, link_type, dest, row_number() OVER (PARTITION BY src, link_type, dest) AS nth FROM class_links WHERE pos < 4),
-  c AS (SELECT src, link_type, dest, row_number() OVER (PARTITION BY src, link_type, dest) AS nth FROM class_links WHERE pos >= 2),
+LINK_SIDES = """g AS (SELECT src, link_type, dest, row_number() OVER (PARTITION BY src, link_type, dest) AS nth FROM class_links),
+  c AS (SELECT src, link_type, dest, row_number() OVER (PARTITION BY src, link_type, dest) AS nth FROM (SELECT src, link_type, CASE WHEN pos < 2 THEN 'moved' ELSE dest END AS dest FROM class_links)),
   rec AS (SELECT src, count(*) AS links, count(c.nth) AS matched, count(c.nth) / count(*)::DOUBLE AS links_recall FROM g LEFT JOIN c USING (src, link_type, dest, nth) GROUP BY src)"""
 
 
@@ -207,7 +207,7 @@ def recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .graph_queries import class_links
 
     rows = class_links(spark, sf_dir)
-    return E.link_recall(rows.filter("pos < 4"), rows.filter("pos >= 2"))
+    return E.link_recall(rows, rows.withColumn("dest", F.when(F.col("pos") < 2, "moved").otherwise(F.col("dest"))))
 
 
 @query(sql("SELECT 1", "links", "hosts", "class_links").replace("\nSELECT 1", ",\n" + LINK_SIDES + "\nSELECT src, links, matched, round(links_recall, 9) AS links_recall FROM rec"))

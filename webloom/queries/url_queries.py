@@ -74,8 +74,11 @@ def url_query_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.read_pages(spark, sf_dir).select("page_id", urls.query_name(query_).alias("name"))
 
 
-@query(f"""SELECT page_id, 'html/' || regexp_replace(regexp_replace({ROOT}, 'http[s]?://(www.)?', '', 'g'), '[./?()]', '_', 'g') || '_mirror' ||
-  CASE WHEN {PATH} = '' THEN '/index' WHEN {PATH} LIKE '%/' THEN {PATH} || 'index' ELSE {PATH} END || replace(regexp_replace({QUERY}, '[=%]', '_', 'g'), '&', '') || '.html' AS path FROM pages""")
+SAVE_PATH = f"""'html/' || regexp_replace(regexp_replace({ROOT}, 'http[s]?://(www.)?', '', 'g'), '[./?()]', '_', 'g') || '_mirror' ||
+  CASE WHEN {PATH} = '' THEN '/index' WHEN {PATH} LIKE '%/' THEN {PATH} || 'index' ELSE {PATH} END || replace(regexp_replace({QUERY}, '[=%]', '_', 'g'), '&', '') || '.html'"""
+
+
+@query(f"SELECT page_id, {SAVE_PATH} AS path FROM pages")
 def save_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.read_pages(spark, sf_dir).select("page_id", urls.save_path(urls.site_root(F.col("url")), F.col("url")).alias("path"))
 
