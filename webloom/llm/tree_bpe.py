@@ -12,10 +12,10 @@ word pattern reads no further back than the start of a match. Each adjacent pair
 other in one of three right encodings (left, window, right), since the two anchors belong to two of them each. A
 window that has grown over both sides is the text itself.
 
-The leaves of all long texts of a batch go to the library in one call. It uses several threads once ``THREADED``
-characters are there; below that, tasks are parallel enough and threads would only wait for each other. Short texts
-are not cut; those of plain characters share a table of the ids of words met before, and each new word goes to the
-library once.
+The leaves of all texts of a batch are encoded together, and so are the windows of a level. Pieces of plain characters
+share a table of words met before (ids, and the characters that each covers), and each new word goes to the library once;
+the other pieces go to the library in one call, which uses several threads once ``THREADED`` characters are there; below
+that, tasks are parallel enough and threads would only wait for each other. Texts of one leaf have nothing to join.
 
 Characters are normalised once over the whole text by the library's normaliser (composition, white space, lower case),
 because a cut must not fall between characters that it would join. Strings of special tokens are found before that,
@@ -42,7 +42,7 @@ from tokenizers import Tokenizer
 from .common import documents, held, slices, whole_text
 from .tokens import ALPHABET, LETTERS, NUMBERS
 
-LEAF = 8192
+LEAF = 2048
 WINDOW = 48
 #: Ids that are decoded in one call.
 DECODED = 1 << 16
@@ -77,12 +77,15 @@ class TreeBPE:
         self.merger.no_truncation()
         self.merger.no_padding()
         self.is_end = np.zeros(self.whole.get_vocab_size(), bool)
+        self.token_bytes = np.zeros(self.whole.get_vocab_size(), np.int64)
         for token, i in self.whole.get_vocab().items():
             self.is_end[i] = token.endswith(END_OF_WORD)
+            self.token_bytes[i] = len(token.removesuffix(END_OF_WORD))
+        #: of a word, for each id: the id, and where in the word its characters begin and end
         self.words: dict[str, bytes] | None = {} if spec["model"].get("end_of_word_suffix") == END_OF_WORD else None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text: short ones by the library as they are, long ones by tree concatenation."""
+        """Ids of each text: those of one leaf as they are, all others by tree concatenation."""
         out: list = [None] * len(texts)
         short = [i for i, t in enumerate(texts) if len(t) <= self.leaf]
         plain = [i for i in short if self.words is not None and PLAIN.fullmatch(texts[i]) and not (self.special and self.special.search(texts[i]))]
@@ -107,31 +110,56 @@ class TreeBPE:
             out[i] = np.concatenate([np.zeros(0, np.int64), *(encoded[p] if isinstance(p, int) else p for p in known[i])])
         return out
 
-    def _by_words(self, lists: list[list[str]]) -> list[np.ndarray]:
+    def _learn(self, lists: list[list[str]]) -> None:
         new = list(set().union(*lists).difference(self.words))
         if len(self.words) + len(new) > KEPT_WORDS:
             self.words = {}
             new = list(set().union(*lists))
-        if new:
-            # plain text has no zero byte; the byte-level alphabet has a character for each byte
-            spelt = "\0".join(new).encode().decode("latin-1").translate(ALPHABET).split(ALPHABET[0])
-            (e,) = self.merger.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            ends, ids, start = ((np.nonzero(self.is_end[ids])[0] + 1) * 4).tolist(), ids.tobytes(), 0
-            for word, end in zip(new, ends, strict=True):
-                self.words[word] = ids[start:end]
-                start = end
+        if not new:
+            return
+        # plain text has no zero byte; the byte-level alphabet has a character for each byte
+        spelt = "\0".join(new).encode().decode("latin-1").translate(ALPHABET).split(ALPHABET[0])
+        (e,) = self.merger.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(e.ids, "<u4")
+        lasts = np.nonzero(self.is_end[ids])[0] + 1
+        firsts = np.concatenate([[0], lasts[:-1]])
+        ends = np.cumsum(self.token_bytes[ids])
+        before = np.repeat(np.concatenate([[0], ends[lasts[:-1] - 1]]), lasts - firsts)
+        triples = np.stack([ids, ends - self.token_bytes[ids] - before, ends - before], axis=1).astype("<i4")
+        whole = triples.tobytes()
+        for word, cut, a, b in zip(new, spelt, firsts.tolist(), lasts.tolist(), strict=True):
+            if len(cut) == len(word):
+                self.words[word] = whole[12 * a : 12 * b]
+            else:  # characters of several bytes: a token covers all that it has a byte of
+                character = np.repeat(np.arange(len(word), dtype="<i4"), [len(c.encode()) for c in word])
+                own = triples[a:b]
+                self.words[word] = np.stack([own[:, 0], character[own[:, 1]], character[own[:, 2] - 1] + np.int32(1)], axis=1).tobytes()
+
+    def _by_words(self, lists: list[list[str]]) -> list[np.ndarray]:
+        self._learn(lists)
         known = self.words
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4").astype(np.int64) for words in lists]
+        return [np.frombuffer(b"".join([known[w] for w in words]), "<i4")[::3].astype(np.int64) for words in lists]
 
     def _spans(self, parts: list[tuple[str, int]]) -> list[Span]:
         """Encodings of pieces of text that begin at the given characters."""
-        os.environ["TOKENIZERS_PARALLELISM"] = "true" if sum(len(p) for p, _ in parts) >= THREADED else "false"
-        got = self.bare.encode_batch([p for p, _ in parts], add_special_tokens=False)
-        out = []
-        for e, (_, at) in zip(got, parts, strict=True):
-            offsets = np.array(e.offsets, np.int64).reshape(-1, 2) + at
-            out.append((np.array(e.ids, np.int64), offsets[:, 0], offsets[:, 1]))
+        out: list = [None] * len(parts)
+        plain = [k for k, (p, _) in enumerate(parts) if self.words is not None and PLAIN.fullmatch(p)]
+        lists = [WORD.findall(parts[k][0]) for k in plain]
+        if plain:
+            self._learn(lists)
+        for k, words in zip(plain, lists, strict=True):
+            known = [self.words[w] for w in words]
+            found = np.frombuffer(b"".join(known), "<i4").reshape(-1, 3).astype(np.int64)
+            # the words are all that is no white space, one after another
+            solid = np.nonzero(np.frombuffer(parts[k][0].encode("utf-32-le"), "<u4") > 32)[0]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            first = np.repeat(solid[np.cumsum(sizes) - sizes] + parts[k][1], np.fromiter(map(len, known), np.int64, len(known)) // 12)
+            out[k] = found[:, 0], found[:, 1] + first, found[:, 2] + first
+        rest = [k for k in range(len(parts)) if out[k] is None]
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if sum(len(parts[k][0]) for k in rest) >= THREADED else "false"
+        for k, e in zip(rest, self.bare.encode_batch([parts[k][0] for k in rest], add_special_tokens=False), strict=True):
+            offsets = np.array(e.offsets, np.int64).reshape(-1, 2) + parts[k][1]
+            out[k] = np.array(e.ids, np.int64), offsets[:, 0], offsets[:, 1]
         return out
 
     def _trees(self, texts: list[str]) -> list[np.ndarray]:
