@@ -16,10 +16,7 @@ its links, never all pairs. A bucket of over ``TILE`` fingerprints isn't held by
 and each pair of tiles is compared by a task of its own, which is exact. Components come from rounds of large-star and
 small-star over the distinct fingerprints, each round's table written to the shared folder.
 
-Near copies. :func:`similar_groups` takes the default of near-duplicate stages, five-word shingles and a similarity of
-0.8 or more, without fingerprints: such pairs share a shingle among the first fifth of either in any one order of all
-shingles (prefix filter), so these are the keys, none is missed, and each pair is decided on the whole sets of shingles
-(of 64-bit hashes). The order takes shingles that are common in a sample last; the sample changes cost, never the result.
+Near copies of texts by a similarity of their shingles are in :mod:`webloom.llm.near_copies`, which starts from these links.
 
 Defined cases: null text counts as empty; texts without words have fingerprint 0 and link like any other; with fewer
 words than a shingle holds, the whole sequence is one shingle; rows repeated are rows of the result each; a
@@ -28,14 +25,13 @@ null doc_id gets a row, but names no component unless the component has no other
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, remove, slices, whole_text
@@ -50,12 +46,6 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 TILE = 2048
 #: Hashes counted at once.
 COUNTED = 1 << 16
-#: For near copies of a stage: words in a shingle, least similarity; of :func:`prints`: fingerprints of words, bytes of a sketch.
-WIDE_SHINGLE, SIMILARITY, TABLES, BINS = 5, 0.8, 3, 512
-#: Texts that tell which shingles are common, how many such are kept, and what rounding may take from a bound.
-SAMPLE, COMMON, SLACK = 20_000, 1 << 18, 1e-6
-#: Residues of text hashes that tell which texts a comparison asks for.
-SLOTS = 1 << 22
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -172,10 +162,9 @@ def forest(fps: np.ndarray, nodes: np.ndarray, first: int | None = None, max_bit
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
     """Edges u, v between rows (node, fps) some of whose fingerprints share a key and differ in ``max_bits`` at most.
 
-    They connect what all such pairs connect. Up to 3 bits all pairs share a key that is home for one of them, so
-    buckets without a home key are passed over; beyond that any shared key counts.
+    They connect what all such pairs connect: pairs within 3 bits share a key that is home for one of them, so buckets
+    without a home key are passed over.
     """
-    wide = max_bits > MAX_BITS
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +193,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataF
             return []
         at = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
         sizes = np.diff(np.concatenate([at, [len(key)]]))
-        live = (sizes > 1) & (wide | (np.add.reduceat(home.astype(np.int64), at) > 0))
+        live = (sizes > 1) & (np.add.reduceat(home.astype(np.int64), at) > 0)
         two = at[live & (sizes == 2)]
         close = two[np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= max_bits]
         out = list(zip(node[close].tolist(), node[close + 1].tolist(), strict=True))
@@ -313,165 +302,6 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     return classes(docs, shingle, max_bits).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# ---- similarity over five-word shingles ----
-# prints and similarity estimate it for callers that can do with that; similar_groups decides on the sets.
-
-
-def prints(text: str, tables: int = TABLES, shingle: int = WIDE_SHINGLE, bins: int = BINS) -> tuple[list[int], bytes]:
-    """``tables`` fingerprints of the distinct words (signed), and a sketch of the distinct shingles.
-
-    The sketch has a byte for each of ``bins`` ranges of the shingles' hashes: 0 for none, else from the least hash there.
-    """
-    words = text.encode().lower().split()
-    h, distinct = xxhash.xxh64_intdigest, list(set(words))
-    fps = []
-    for q in range(tables):
-        counts = np.zeros(64, np.int64)
-        for a in range(0, len(distinct), COUNTED):
-            hashes = np.fromiter([h(w, SEED + q) for w in distinct[a : a + COUNTED]], np.uint64, min(COUNTED, len(distinct) - a))
-            counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        fps.append(int.from_bytes(np.packbits(counts * 2 > len(distinct), bitorder="little").tobytes(), "little", signed=True))
-    sketch = np.zeros(bins, np.uint8)
-    for a in range(0, max(1, len(words) - shingle + 1) if words else 0, COUNTED):
-        part = words[a : a + COUNTED + shingle - 1]
-        grams = {b" ".join(g) for g in zip(*(part[k:] for k in range(shingle)), strict=False)} if len(words) >= shingle else {b" ".join(words)}
-        hashes = np.sort(np.fromiter([h(g, SEED) for g in grams], np.uint64, len(grams)))
-        if a == 0:
-            least = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
-        at, first = np.unique(hashes % np.uint64(bins), return_index=True)
-        least[at] = np.minimum(least[at], hashes[first])
-        some = least != np.iinfo(np.uint64).max
-        sketch = np.where(some, (least // np.uint64(bins)) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
-    return fps, sketch.tobytes()
-
-
-def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Estimated share of shingles that two texts have in common, from their sketches; 0 for two without any."""
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    either = ((x > 0) | (y > 0)).sum(axis=1)
-    return ((x == y) & (x > 0)).sum(axis=1) / np.maximum(either, 1)
-
-
-def shingles(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """Hashes of the distinct shingles, sorted; none for a text without words."""
-    words = text.encode().lower().split()
-    h, found = xxhash.xxh64_intdigest, [np.zeros(0, np.uint64)]
-    for a in range(0, max(1, len(words) - shingle + 1) if words else 0, COUNTED):
-        part = words[a : a + COUNTED + shingle - 1]
-        grams = {b" ".join(g) for g in zip(*(part[k:] for k in range(shingle)), strict=False)} if len(words) >= shingle else {b" ".join(words)}
-        found.append(np.fromiter([h(g, SEED) for g in grams], np.uint64, len(grams)))
-    return np.unique(np.concatenate(found))
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, often: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """The hashes that come first in an order of all hashes, rare ones before the ``common`` (sorted; found ``often``).
-
-    Two sets of similarity ``least`` share at least that part of either, so they can't miss each other in the rest.
-    """
-    n = len(hashes)
-    rank = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        rank = np.where(common[at] == hashes, often[at], 0)
-    return hashes[np.lexsort((hashes, rank))[: n - math.ceil(least * n - SLACK) + 1]]
-
-
-def lists(sets: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)], dtype=np.int32), np.concatenate(sets).view(np.int64))
-
-
-def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that most of about ``SAMPLE`` texts share, and in how many they were; it only sets the order of prefixes."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512, 4 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t) for t in batch.column("text").to_pylist()]).view(np.int64))], ["shingle"])
-
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < (SAMPLE << 20) // max(1, rows.count())
-    counts = rows.filter(drawn).select("text").mapInArrow(spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
-    found = counts.filter("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
-    hashes = found.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], found.column("n").to_numpy()[order]
-
-
-def similar_pairs(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (u, v) whose texts (hash, text) have sets of shingles of similarity ``least`` or more."""
-    wanted = pairs.select(F.col("u").alias("hash")).union(pairs.select("v")).distinct()
-    slot = F.pmod("hash", F.lit(SLOTS))  # passes over most other texts before any is shuffled
-    texts = rows.select("hash", "text").withColumn("slot", slot).join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), "slot", "left_semi")
-    once = texts.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text"))
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), lists([shingles(t) for t in batch.column("text").to_pylist()])], ["hash", "shingles"])
-
-    asked, _ = materialize(once.mapInArrow(compute, "hash long, shingles array<long>"), "asked-shingles")
-    both = pairs.join(asked.select(F.col("hash").alias("u"), F.col("shingles").alias("a")), "u").join(asked.select(F.col("hash").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(shared / (F.size("a") + F.size("b") - shared) >= least).select("u", "v")
-
-
-def similar_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, n, hash and root of every row: rows whose texts are connected by pairs of similarity ``least`` or more share a root.
-
-    Texts with a shingle in common among their prefixes are candidates, unless their sizes or the places of that shingle
-    exclude the similarity. Neighbours among a shingle's texts are verified first; then all candidates that these pairs
-    haven't connected. Only verified pairs connect.
-    """
-    rows = whole_text(docs).select("doc_id", "text", F.length("text").alias("n"), F.xxhash64("text").alias("hash"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512, 4 << 20):
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            columns = [pa.array([len(s) for s in sets], pa.int32()), lists([prefix(s, *common.value, least) for s in sets])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("hash"), *columns], ["doc_id", "n", "hash", "size", "prefix"])
-
-    made, _ = materialize(rows.mapInArrow(compute, "doc_id long, n int, hash long, size int, prefix array<long>"), "prints")
-    keyed = made.select(F.col("hash").alias("node"), "size", F.posexplode("prefix").alias("at", "key"))
-    row, beside = F.struct("node", "size", "at"), Window.partitionBy("key").orderBy("size", "node")
-    near = keyed.select("key", "node", "size", "at", F.lag(row).over(beside).alias("x"), F.lead("node").over(beside).alias("next"))
-    # copies of one text lie side by side, one of them is enough
-    shared, _ = materialize(near.filter("coalesce(x.node, next) IS NOT NULL AND (x IS NULL OR x.node <> node)").drop("next"), "shared-shingles")
-
-    def possible(x: str, y: str) -> Column:
-        size, other = F.col(f"{x}.size"), F.col(f"{y}.size")
-        return (size >= least * other - SLACK) & (F.least(size - F.col(f"{x}.at"), other - F.col(f"{y}.at")) >= least / (1 + least) * (size + other) - SLACK)
-
-    def pair(x: str, y: str) -> list[Column]:
-        return [F.least(f"{x}.node", f"{y}.node").alias("u"), F.greatest(f"{x}.node", f"{y}.node").alias("v")]
-
-    tried, _ = materialize(shared.withColumn("y", row).filter("x IS NOT NULL").filter(possible("x", "y")).select(*pair("x", "y")).distinct(), "neighbours")
-    edges, _ = materialize(similar_pairs(tried, rows, least), "similar-neighbours")
-    roots = components(edges, rows=edges.count())
-    rooted = shared.join(roots, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    open_rows, _ = materialize(rooted.join(mixed, "key", "left_semi"), "open-shingles")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    later = (F.col("x.size") < F.col("y.size")) | (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node"))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & later & possible("x", "y")).select(*pair("x", "y")).distinct()
-    rest, _ = materialize(across.join(tried, ["u", "v"], "left_anti"), "other-candidates")
-    edges, _ = materialize(edges.union(similar_pairs(rest, rows, least)), "similar-edges")
-    roots = components(edges, rows=edges.count())
-    return made.join(roots, made["hash"] == roots["node"], "left").select("doc_id", "n", "hash", F.coalesce("root", "hash").alias("root"))
-
-
-def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Of each group of similar texts the row with the longest, then the smallest doc_id stays, with all columns of ``docs``.
-
-    The row that stays is found by an aggregate over ids and lengths alone; the texts are shuffled once, to be filtered.
-    Of rows repeated with one doc_id and one text one stays.
-    """
-    best = F.max(F.struct("n", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus_id"), "hash"))
-    ranked = similar_groups(docs, least).groupBy("root").agg(best.alias("best"))
-    stay = ranked.select((-F.col("best.minus_id")).alias("_stay_id"), F.col("best.hash").alias("_stay_hash"))
-    keyed = docs.withColumns({"_row_id": F.col("doc_id").cast("long"), "_row_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = keyed.join(stay, keyed["_row_id"].eqNullSafe(stay["_stay_id"]) & (keyed["_row_hash"] == stay["_stay_hash"]), "left_semi")
-    order = Window.partitionBy("_row_id", "_row_hash").orderBy("_row_hash")
-    return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(docs.columns)
-
-
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
