@@ -141,14 +141,16 @@ def xpath_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.with_xml(P.read_pages(spark, sf_dir)).select("page_id", text.is_unique(xml, "//title").alias("one_title"), text.is_unique(xml, "//h1").alias("one_heading"), text.is_unique(xml, "//a").alias("one_anchor"))
 
 
-@query()
+@query("SELECT page_id, 'q=' || page_id || ';lang=en;s=2;' AS params FROM pages")
 def form_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.concat(F.lit('<form id="f"><input name="q" value="'), F.col("page_id").cast("string"), F.lit('"><input name="lang"><select name="s"><option value="1">a<option value="2" selected>b</select><input type=submit name=go></form>'))
     rows = P.read_pages(spark, sf_dir).select("page_id", form.alias("html"))
     return P.form_parameters(rows, "//form[@id]", [('//input[@name="lang"]', "en")], "page_id")
 
 
-@query()
+@query(sql(r"""SELECT page_id, direction, CAST(step AS INTEGER) AS step, replace(xpath, '?', regexp_extract(html, '<html lang="([^"]*)"', 1)) AS xpath, CAST(n AS INTEGER) AS n
+  FROM pages JOIN (SELECT page_id, count(*) AS n FROM links GROUP BY 1) USING (page_id)
+  CROSS JOIN (VALUES ('finer', 1, '/html[@lang="?"]/body/nav/ul/li/a'), ('coarser', 1, '/html/body/nav/ul/li/a'), ('coarser', 2, '//body/nav/ul/li/a'), ('coarser', 3, '//nav/ul/li/a'), ('coarser', 4, '//ul/li/a'), ('coarser', 5, '//li/a'), ('coarser', 6, '//a')) t(direction, step, xpath)""", "links"))
 def xpath_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All finer and coarser versions of each page's default paths, with the number of hrefs that each matches."""
 
@@ -165,7 +167,7 @@ def xpath_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P._mapped(P.read_pages(spark, sf_dir), ["page_id"], make, "direction string, step int, xpath string, n int")
 
 
-@query()
+@query(sql(f"SELECT page_id, '{NAV}' AS xpath, CAST(NULL AS VARCHAR) AS refined, CAST(count(*) AS INTEGER) AS n FROM links GROUP BY 1", "links"))
 def next_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first coarser version that gives other links, fewer than the page has addresses."""
 

@@ -220,7 +220,11 @@ def overall_link_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.overall_link_recall(recalls(spark, sf_dir)).select(r9("links_recall"))
 
 
-@query()
+TWO = r"regexp_replace(regexp_replace(CAST(round_even({}, 2) AS VARCHAR), '(\.[0-9]*?)0+$', '\1'), '\.$', '')"
+
+
+# the golden classes have no links of their own here, so the last column is a dash
+@query(sql(f"SELECT golden, concat_ws(chr(9), golden, class_id, {TWO.format('precision')}, {TWO.format('recall')}, {TWO.format('f')}, '-') AS line FROM best", *EVAL, "scored", "best"))
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix, sizes, _ = inputs(spark, sf_dir)
     best = E.best_matches(E.precision_recall(matrix, sizes))
