@@ -33,7 +33,7 @@ from .tokens import byte_bpe
 CAPACITY = 1024
 END_ID = 2
 #: Pieces in a salted group of one length: a share of all, but at least and at most so many, about.
-RANKED_SHARE, RANKED_LEAST, RANKED_TOGETHER = 200, 1000, 100_000
+RANKED_SHARE, RANKED_LEAST, RANKED_TOGETHER = 1000, 250, 100_000
 
 
 class Complements:
