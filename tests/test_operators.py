@@ -74,6 +74,15 @@ def test_evaluation_of_a_perfect_and_a_merged_model(spark):
         assert evaluation.weighted_mean(evaluation.cohesion(matrix, sizes), "entropy").first()[0] == pytest.approx(entropy)
 
 
+def test_golden_patterns_beyond_a_broadcast(spark, monkeypatch):
+    golden = spark.createDataFrame([("A", "http://s/a.*"), ("B", "http://s/b.*"), ("C", "http://s/.*"), ("D", "http://s/b1")], "name string, pattern string")
+    pages = spark.createDataFrame([("1", f"http://s/a{k}") for k in range(3)] + [("2", f"http://s/b{k}") for k in range(2)], "class_id string, url string")
+    want = sorted(map(tuple, evaluation.golden_matches(pages, golden).collect()))
+    monkeypatch.setattr(evaluation, "PATTERNS", 2)
+    monkeypatch.setattr(evaluation.small, "__defaults__", (2,))
+    assert sorted(map(tuple, evaluation.golden_matches(pages, golden).collect())) == want and len(want) == 11
+
+
 def test_link_recall_matches_one_to_one(spark):
     schema = "src string, link_type string, dest string"
     golden = spark.createDataFrame([("h", "list", "a"), ("h", "list", "a"), ("h", "menu", "b")], schema)

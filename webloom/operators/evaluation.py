@@ -6,18 +6,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Patterns of a golden model that are broadcast; more are compared in pieces of about so many.
+PATTERNS = 10_000
+
+
+def small(df: DataFrame, most: int = PATTERNS) -> bool:
+    """Whether the rows may be broadcast: their number is counted, up to the bound."""
+    return df.limit(most + 1).count() <= most
+
+
 def golden_matches(pages: DataFrame, golden: DataFrame) -> DataFrame:
     """(class_id, page, golden) for each golden class one of whose patterns matches the whole URL.
 
-    ``golden``: (name, pattern), a model's worth of rows; the pages are read once.
+    ``golden``: (name, pattern). A model's worth of rows is broadcast, and the pages are read once; beyond ``PATTERNS`` each
+    page meets one piece of the patterns after another.
     """
-    return pages.join(F.broadcast(golden), F.expr("url RLIKE concat('^(?:', pattern, ')$')")).select("class_id", F.col("url").alias("page"), F.col("name").alias("golden")).distinct()
+    matching = F.expr("url RLIKE concat('^(?:', pattern, ')$')")
+    if small(golden):
+        found = pages.join(F.broadcast(golden), matching)
+    else:
+        pieces = 1 + golden.count() // PATTERNS
+        cut = golden.withColumn("piece", F.pmod(F.xxhash64("name", "pattern"), F.lit(pieces)).cast("int"))
+        found = pages.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).join(cut, "piece").filter(matching)
+    return found.select("class_id", F.col("url").alias("page"), F.col("name").alias("golden")).distinct()
 
 
 def count_matrix(matches: DataFrame, classes: DataFrame, golden: DataFrame) -> DataFrame:
     """golden, class_id and the number of pages in both, for every pair (a model's classes by a golden model's)."""
     counts = matches.groupBy("golden", "class_id").agg(F.count("*").alias("n"))
-    cells = classes.select("class_id").distinct().crossJoin(F.broadcast(golden.select(F.col("name").alias("golden")).distinct()))
+    names = golden.select(F.col("name").alias("golden")).distinct()
+    cells = classes.select("class_id").distinct().crossJoin(F.broadcast(names) if small(names) else names)
     return cells.join(counts, ["golden", "class_id"], "left").select("golden", "class_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
