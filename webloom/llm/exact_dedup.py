@@ -50,12 +50,13 @@ def exact_dedup(docs: DataFrame, hashed: Callable[[Column], Column] = content_ha
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, one for each text, with all columns of ``docs``; of rows repeated as a whole one stays."""
-    stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
-    keyed = docs.withColumns({"_row_id": F.col("doc_id").cast("long"), "_row_sha": F.sha2(without_space(F.coalesce("text", F.lit(""))), 256)})
-    on = keyed["_row_id"].eqNullSafe(stay["_stay_id"]) & (keyed["_row_sha"] == stay["_stay_sha"])
+    # ids as text, an empty one for null: the join and the ranking then need one and the same distribution of the rows
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    stay = exact_dedup(docs).filter("kept").select(name.alias("_row_id"), F.col("text_sha256").alias("_row_sha"))
+    keyed = docs.withColumns({"_row_id": name, "_row_sha": F.sha2(without_space(F.coalesce("text", F.lit(""))), 256)})
     # the longest original of a doc_id that occurs with several texts of one class
     order = Window.partitionBy("_row_id", "_row_sha").orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
-    return keyed.join(stay, on, "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(docs.columns)
+    return keyed.join(stay, ["_row_id", "_row_sha"], "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
