@@ -248,8 +248,8 @@ def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     best = F.max(F.struct("n", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus_id"), "node"))
     ranked = similar_groups(docs, least).groupBy("root").agg(best.alias("best"))
-    stay = ranked.select((-F.col("best.minus_id")).alias("_stay_id"), F.col("best.node").alias("_stay_node"))
-    keyed = docs.withColumns({"_row_id": F.col("doc_id").cast("long"), "_row_node": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))})
-    kept = keyed.join(stay, keyed["_row_id"].eqNullSafe(stay["_stay_id"]) & (keyed["_row_node"] == stay["_stay_node"]), "left_semi")
+    # ids as text, an empty one for null: the join and the ranking then need one and the same distribution of the rows
+    stay = ranked.select(F.coalesce((-F.col("best.minus_id")).cast("string"), F.lit("")).alias("_row_id"), F.col("best.node").alias("_row_node"))
+    keyed = docs.withColumns({"_row_id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "_row_node": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))})
     order = Window.partitionBy("_row_id", "_row_node").orderBy("_row_node")
-    return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(docs.columns)
+    return keyed.join(stay, ["_row_id", "_row_node"], "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(docs.columns)
