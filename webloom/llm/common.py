@@ -41,16 +41,24 @@ def remove(spark: SparkSession, path: str) -> None:
 
 #: Rows of a file of a small table.
 ROWS_A_FILE = 100_000
+#: Spark's setting that removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, label: str, rows: int | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
     ``rows``: about how many rows it has, if known; then it gets files of ``ROWS_A_FILE`` rows, so many small partitions don't make many small files.
+    The shuffles that made the table go when it is written, so stages that follow each other don't add up on the disks.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

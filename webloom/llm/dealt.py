@@ -7,7 +7,9 @@ the order of the keys comes back. A bucket makes its question again to read the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,13 @@ def words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def deal(rows: DataFrame, buckets: int) -> DataFrame:
-    """Rows with ``text`` as parcels: bucket, an array for each other column, and ``blob``, the texts' words.
+def joined(texts: list[list[bytes]]) -> bytes:
+    """Texts' words, compressed as they are; :func:`lines` reads them."""
+    return zstandard.ZstdCompressor(level=3).compress(END.join([b" ".join(t) for t in texts]))
+
+
+def parcels(rows: DataFrame, buckets: int, pack: Callable[[list[list[bytes]]], bytes] = joined) -> DataFrame:
+    """Rows with ``text`` as parcels: bucket, an array for each other column, and ``blob``, what ``pack`` makes of the texts' words.
 
     A parcel goes to a bucket by its place in its task, whatever it holds, so no key or group of copies makes a large
     bucket. ``rows`` should come from stored tables, so that a task that runs again makes the same parcels.
@@ -38,15 +45,35 @@ def deal(rows: DataFrame, buckets: int) -> DataFrame:
     schema = ", ".join(["bucket int", *(f"{f.name} array<{f.dataType.simpleString()}>" for f in others), "blob binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3).compress
+        task = TaskContext.get().partitionId()
         for place, batch in enumerate(slices(batches, PARCEL_ROWS, PARCEL)):
-            blob = END.join([b" ".join(words(t)) for t in batch.column("text").to_pylist()])
+            blob = pack([words(t) for t in batch.column("text").to_pylist()])
             bucket = xxhash.xxh64_intdigest(f"{task}:{place}") % buckets
             whole = pa.array([0, batch.num_rows], pa.int32())
-            columns = [pa.array([bucket], pa.int32()), *(pa.ListArray.from_arrays(whole, batch.column(f.name)) for f in others), pa.array([pack(blob)], pa.binary())]
+            columns = [pa.array([bucket], pa.int32()), *(pa.ListArray.from_arrays(whole, batch.column(f.name)) for f in others), pa.array([blob], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", *(f.name for f in others), "blob"])
 
-    return rows.mapInArrow(run, schema).repartition(buckets, "bucket")
+    return rows.mapInArrow(run, schema)
+
+
+def deal(rows: DataFrame, buckets: int) -> DataFrame:
+    return parcels(rows, buckets).repartition(buckets, "bucket")
+
+
+def numbered(texts: list[list[bytes]]) -> bytes:
+    """Texts as numbers of their distinct words, and these words, compressed; :func:`numbers` reads them."""
+    index: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    found = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(texts)), "<u4")
+    sizes = np.fromiter(map(len, texts), "<u4", len(texts))
+    known = np.frombuffer(zstandard.ZstdCompressor(level=3).compress(END.join(index)), np.uint8)
+    return packed(sizes, found, known)
+
+
+def numbers(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a parcel, the numbers of words in each text, and all texts' words by number."""
+    sizes, found, known = unpacked(blob, "<u4", "<u4", "u1")
+    joined = zstandard.ZstdDecompressor().decompress(known.tobytes())
+    return (joined.split(END) if joined else []), sizes.astype(np.int64), found.astype(np.int64)
 
 
 def lines(table: pa.Table) -> Iterator[list[bytes]]:

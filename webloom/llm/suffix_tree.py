@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fold, materialize, slices, whole_text
-from .dealt import END, MESSAGES, by_part, deal, lines, messages, packed, part_of, unpacked, words
+from .dealt import END, MESSAGES, by_part, messages, numbered, numbers, packed, parcels, part_of, unpacked, words
 
 DEPTH = 2
 #: By length of the context: weight of the shorter context's distribution, as a number of occurrences.
@@ -102,6 +101,11 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
+def token_hash(token: bytes) -> int:
+    """The hash that Spark's xxhash64 gives for the bytes, unsigned."""
+    return xxhash.xxh64_intdigest(token, 42)
+
+
 def in_steps(p: np.ndarray) -> np.ndarray:
     return np.clip(np.round(-STEPS * np.log10(p)), 0, 255).astype(np.uint8)
 
@@ -143,44 +147,54 @@ class Level:
 
 
 class Bucket:
-    """The documents of a bucket as one row of symbols: each is its words' numbers between two zeros.
+    """The documents of a bucket as one row of symbols: each is its words' numbers between two of the end.
 
     Everything here follows from the documents and the answers alone, so a question can be made again to read its answer.
     """
 
-    def __init__(self, dealt: pa.Table, parts: int, gram_parts: int):
+    def __init__(self, dealt: pa.Table, parts: int, gram_parts: int, words_only: bool = False):
         self.parts, self.gram_parts = parts, gram_parts
+        held_parcels = [numbers(blob) for blob in dealt.column("blob").to_pylist()]
         index: dict[bytes, int] = defaultdict(itertools.count().__next__)
-        find = index.__getitem__
-        find(b"")  # the end
+        index[b""]  # the end
+        own = [np.fromiter(map(index.__getitem__, known), np.int64, len(known)) for known, _, _ in held_parcels]
+        found = list(index)
+        hashes = np.fromiter(map(token_hash, found), np.uint64, len(found))
+        # in the order of the hash, whatever order the parcels come in; the rare equal ones by the token
+        order = np.argsort(hashes)
+        if (hashes[order][1:] == hashes[order][:-1]).any():
+            order = np.array(sorted(range(len(found)), key=lambda k: (int(hashes[k]), found[k])))
+        self.words, self.word_hash = [found[k] for k in order.tolist()], hashes[order]
+        if words_only:
+            return
+        place = np.empty(len(found), np.int64)
+        place[order] = np.arange(len(found))
+        self.end = int(place[0])
         self.doc_ids = [i for ids in dealt.column("doc_id").to_pylist() for i in ids]
-        training = [not h for held in dealt.column("held").to_pylist() for h in held]
-        rows = [np.array([0, *map(find, line), 0], np.int32) for line in lines(dealt)]
-        self.words = sorted(index)
-        place = np.empty(len(index), np.int32)
-        place[[index[w] for w in self.words]] = np.arange(len(index), dtype=np.int32)
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.symbols = place[np.concatenate(rows)] if rows else np.zeros(0, np.int32)
+        sizes = np.concatenate([np.zeros(0, np.int64), *(s for _, s, _ in held_parcels)]) + 2
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
+        self.symbols = np.full(int(sizes.sum()), self.end, np.int64)
+        inner = np.ones(len(self.symbols), bool)
+        inner[self.starts] = inner[self.ends - 1] = False
+        self.symbols[inner] = place[np.concatenate([np.zeros(0, np.int64), *(o[n] for o, (_, _, n) in zip(own, held_parcels, strict=True))])]
         self.scored = np.ones(len(self.symbols), bool)
         self.scored[self.starts] = False
-        self.training = np.repeat(np.array(training, bool), sizes)
-        self.word_hash = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
-        self.word_part = np.fromiter((zlib.crc32(w) % parts for w in self.words), np.int64, len(self.words))
+        self.training = np.repeat(~np.array([h for held in dealt.column("held").to_pylist() for h in held], bool), sizes)
+
+    def word_parts(self) -> Iterator[tuple[int, int, int]]:
+        """Parts of the tokens, and where each begins and ends."""
+        part, at = np.unique(part_of(self.word_hash, self.parts), return_index=True)
+        return zip(part.tolist(), at.tolist(), [*at[1:].tolist(), len(self.words)], strict=True)
 
     def ask_counts(self) -> list[tuple[int, bytes]]:
-        """For each part its distinct tokens, sorted and compressed."""
-        pack, by_part = zstandard.ZstdCompressor(level=1).compress, defaultdict(list)
-        for word, part in zip(self.words, self.word_part.tolist(), strict=True):
-            by_part[part].append(word)
-        return [(part, pack(END.join(words))) for part, words in sorted(by_part.items())]
+        """For each part its distinct tokens, compressed."""
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return [(part, pack(END.join(self.words[a:b]))) for part, a, b in self.word_parts()]
 
     def root(self, answers: dict[int, bytes], total: int, distinct: int) -> Level:
         """The baseline: the tokens' counts and probabilities."""
-        self.counts = np.zeros(len(self.words), np.int64)
-        for part, data in answers.items():
-            self.counts[self.word_part == part] = unpacked(data, "<i8")[0]
+        self.counts = np.concatenate([unpacked(answers[part], "<i8")[0] for part, _, _ in self.word_parts()])
         p = (self.counts + 1) / (total + (distinct + 1))
         return Level(np.where(self.counts[self.symbols] >= 2, self.symbols, -1), self.word_hash, self.counts, p[self.symbols])
 
@@ -205,7 +219,12 @@ class Bucket:
         symbol = self.word_hash[grams % len(self.words)] >> np.uint64(32)
         owner = np.searchsorted(contexts, grams // len(self.words))
         group = rank[offset[owner] + (symbol % slices[owner].astype(np.uint64)).astype(np.int64)] if len(grams) else np.zeros(0, np.int64)
-        by_group = np.argsort(group, kind="stable")
+        if len(order) == len(contexts):  # n-grams lie by context: they are moved as blocks
+            sizes = np.bincount(owner, minlength=len(contexts))
+            begin, lens = (np.cumsum(sizes) - sizes)[order], sizes[order]
+            by_group = np.repeat(begin - (np.cumsum(lens) - lens), lens) + np.arange(len(grams))
+        else:
+            by_group = np.argsort(group, kind="stable")
         count = np.bincount(inverse, weights=self.training[at[known]], minlength=len(grams)).astype(np.int64)
         steps = in_steps(lower.p[at[known]][first])
         return Question(self.gram_parts, lower, at, contexts, context_at, known, inverse, group_context[order], hashes[order], n, group[by_group], by_group, symbol, count, steps, owner)
@@ -275,7 +294,8 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, dep
     floor = math.log10(n + (v + 1))
     buckets = int(max(1, -(-n // BUCKET_TOKENS)) * folds // max(1, folds - 1) + 1)
     parts, gram_parts = int(-(-v // PART_TOKENS) or 1), int(1 + n // PART_GRAMS)
-    dealt = deal(rows, buckets)
+    stored, _ = materialize(parcels(rows, buckets, numbered), "parcels")
+    dealt = stored.repartition(buckets, "bucket")
 
     def level(bucket: Bucket, right: pa.Table, k: int) -> Level:
         """What answers say of contexts of up to k tokens."""
@@ -286,7 +306,7 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, dep
         return found
 
     def ask_tokens(key: tuple, table: pa.Table) -> pa.Table:
-        return messages(key[0].as_py(), Bucket(table, parts, gram_parts).ask_counts())
+        return messages(key[0].as_py(), Bucket(table, parts, gram_parts, words_only=True).ask_counts())
 
     def count_tokens(questions: pa.Table, known: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -316,20 +336,20 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, dep
         columns = [bucket.doc_ids, [b - a for a, b in spans], [int(known[a:b].sum()) for a, b in spans], [math.fsum(base[a:b].tolist()) - (b - a) * floor for a, b in spans], [math.fsum(p[a:b].tolist()) for a, b in spans]]
         return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 2, strict=True)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    def answered(df: DataFrame, k: int) -> DataFrame:
-        """Dealt as the parcels are; several later steps read the one exchange."""
-        return df.withColumn("level", F.lit(k)).repartition(buckets, "bucket")
-
     def with_answers(answers: list[DataFrame]):
-        right = answers[0] if len(answers) == 1 else reduce(DataFrame.unionByName, answers).repartition(buckets, "bucket")
-        return dealt.groupBy("bucket").cogroup(right.groupBy("bucket"))
+        return dealt.groupBy("bucket").cogroup(reduce(DataFrame.unionByName, answers).repartition(buckets, "bucket").groupBy("bucket"))
+
+    def stored_level(df: DataFrame, k: int) -> DataFrame:
+        """The answers are kept, since all later levels read them; the questions go with the shuffles that carried them."""
+        return materialize(df, f"answers-{k}")[0].withColumn("level", F.lit(k))
 
-    known = counts.withColumn("part", (F.crc32("token") % parts).cast("int"))
+    high = F.shiftrightunsigned(F.xxhash64("token"), 32)  # as part_of has it
+    known = counts.withColumn("part", F.shiftrightunsigned(high * parts, 32).cast("int"))
     asked = dealt.groupBy("bucket").applyInArrow(ask_tokens, MESSAGES)
-    answers = [answered(asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(count_tokens, MESSAGES), 0)]
+    answers = [stored_level(asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(count_tokens, MESSAGES), 0)]
     for k in range(1, depth + 1):
         asked = with_answers(answers).applyInArrow(asker(k), MESSAGES)
-        answers.append(answered(asked.groupBy("part").applyInArrow(summer(k), MESSAGES), k))
+        answers.append(stored_level(asked.groupBy("part").applyInArrow(summer(k), MESSAGES), k))
     scored = with_answers(answers).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
