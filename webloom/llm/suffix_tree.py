@@ -106,6 +106,17 @@ def token_hash(token: bytes) -> int:
     return xxhash.xxh64_intdigest(token, 42)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, a place of each, and which of them each key is; numpy's own needs a stable sort for that."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
 def in_steps(p: np.ndarray) -> np.ndarray:
     return np.clip(np.round(-STEPS * np.log10(p)), 0, 255).astype(np.uint8)
 
@@ -118,7 +129,7 @@ def sum_grams(messages: list[bytes], shrink: float) -> list[bytes]:
     total = np.concatenate([g[1] for g in got])[place]
     owner = np.repeat(slice_at, np.concatenate([g[2] for g in got]))
     symbol, n, steps = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
-    grams, first, inverse = np.unique(mixed(slices_[owner], symbol.astype(np.uint64)), return_index=True, return_inverse=True)
+    grams, first, inverse = distinct(mixed(slices_[owner], symbol.astype(np.uint64)))
     n = np.bincount(inverse, weights=n, minlength=len(grams)).astype(np.int64)
     n[n < 2] = 0
     own, p = owner[first], 10.0 ** (-steps[first].astype(np.float64) / STEPS)
@@ -205,8 +216,10 @@ class Bucket:
         at = np.nonzero(self.scored & (here >= 0))[0]
         known = lower.gram[at] >= 0
         key = here[at[known]] * len(self.words) + self.symbols[at[known]]
-        grams, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        contexts, context_at = np.unique(here[at], return_inverse=True)
+        grams, first, inverse = distinct(key)
+        there = np.zeros(len(lower.gram_n), bool)
+        there[here[at]] = True
+        contexts, context_at = np.nonzero(there)[0], (np.cumsum(there) - 1)[here[at]]
         n = lower.gram_n[contexts]
         slices = 1 + n // SPLIT
         offset = np.cumsum(slices) - slices
@@ -333,7 +346,8 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, dep
         known = bucket.counts[bucket.symbols] > 0
         base = np.log10(bucket.counts + 1.0)[bucket.symbols]
         spans = list(zip((bucket.starts + 1).tolist(), bucket.ends.tolist(), strict=True))
-        columns = [bucket.doc_ids, [b - a for a, b in spans], [int(known[a:b].sum()) for a, b in spans], [math.fsum(base[a:b].tolist()) - (b - a) * floor for a, b in spans], [math.fsum(p[a:b].tolist()) for a, b in spans]]
+        n_known = np.diff(np.concatenate([[0], np.cumsum(known & bucket.scored)])[np.append(bucket.starts, len(known))])
+        columns = [bucket.doc_ids, [b - a for a, b in spans], n_known, [math.fsum(base[a:b].tolist()) - (b - a) * floor for a, b in spans], [math.fsum(p[a:b].tolist()) for a, b in spans]]
         return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 2, strict=True)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     def with_answers(answers: list[DataFrame]):
