@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -43,8 +43,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, materialize, slices, whole_text
-from .dealt import END, MESSAGES, by_part, messages, numbered, numbers, packed, parcels, part_of, unpacked, words
+from .common import documents, fold, materialize, whole_text
+from .dealt import END, MESSAGES, by_part, messages, numbered, numbers, packed, parcels, part_of, unpacked
 
 DEPTH = 2
 #: By length of the context: weight of the shorter context's distribution, as a number of occurrences.
@@ -53,12 +53,10 @@ SHRINK = (200.0, 1.0)
 LEAST_GAIN = 1.0
 FOLDS, HELD_OUT = 7, 2
 BUCKET_TOKENS = 2_000_000
-#: Distinct training tokens whose counts one task looks up, and tokens whose n-grams one task sums, about.
+#: By these the parts are sized: a part sums the tokens, or the n-grams, of so many questions, about.
 PART_TOKENS, PART_GRAMS = 200_000, 2_000_000
 #: Occurrences from which a context's next symbols are spread over several parts.
 SPLIT = 200_000
-#: Distinct tokens that a task counts before it hands them on.
-COUNTED = 2_000_000
 #: Steps a power of ten in which a probability is handed to the part that tests a context.
 STEPS = 16
 #: Odd multipliers that mix hashes.
@@ -72,27 +70,6 @@ ANSWER = ("<f8", "<i8", "<i8")
 # ---- counts ----
 
 
-def unigrams(rows: DataFrame) -> DataFrame:
-    """token (binary; the end token is empty) and c, over all rows of ``text``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "c"])
-
-        held: Counter = Counter()
-        for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                held.update(words(text))
-            held[b""] += batch.num_rows
-            if len(held) > COUNTED:
-                yield out(held)
-                held = Counter()
-        if held:
-            yield out(held)
-
-    return rows.select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
-
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64-bit hashes of pairs of hashes."""
     h = a * np.uint64(MIX[0]) + b * np.uint64(MIX[1])
@@ -102,7 +79,6 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def token_hash(token: bytes) -> int:
-    """The hash that Spark's xxhash64 gives for the bytes, unsigned."""
     return xxhash.xxh64_intdigest(token, 42)
 
 
@@ -163,7 +139,7 @@ class Bucket:
     Everything here follows from the documents and the answers alone, so a question can be made again to read its answer.
     """
 
-    def __init__(self, dealt: pa.Table, parts: int, gram_parts: int, words_only: bool = False):
+    def __init__(self, dealt: pa.Table, parts: int, gram_parts: int):
         self.parts, self.gram_parts = parts, gram_parts
         held_parcels = [numbers(blob) for blob in dealt.column("blob").to_pylist()]
         index: dict[bytes, int] = defaultdict(itertools.count().__next__)
@@ -176,8 +152,6 @@ class Bucket:
         if (hashes[order][1:] == hashes[order][:-1]).any():
             order = np.array(sorted(range(len(found)), key=lambda k: (int(hashes[k]), found[k])))
         self.words, self.word_hash = [found[k] for k in order.tolist()], hashes[order]
-        if words_only:
-            return
         place = np.empty(len(found), np.int64)
         place[order] = np.arange(len(found))
         self.end = int(place[0])
@@ -198,10 +172,11 @@ class Bucket:
         part, at = np.unique(part_of(self.word_hash, self.parts), return_index=True)
         return zip(part.tolist(), at.tolist(), [*at[1:].tolist(), len(self.words)], strict=True)
 
-    def ask_counts(self) -> list[tuple[int, bytes]]:
-        """For each part its distinct tokens, compressed."""
-        pack = zstandard.ZstdCompressor(level=1).compress
-        return [(part, pack(END.join(self.words[a:b]))) for part, a, b in self.word_parts()]
+    def ask_counts(self) -> Iterator[tuple[int, bytes]]:
+        """For each part its distinct tokens and how often they are in the bucket's training texts."""
+        own, pack = np.bincount(self.symbols[self.scored & self.training], minlength=len(self.words)), zstandard.ZstdCompressor(level=1).compress
+        for part, a, b in self.word_parts():
+            yield part, packed(np.frombuffer(pack(END.join(self.words[a:b])), np.uint8), own[a:b])
 
     def root(self, answers: dict[int, bytes], total: int, distinct: int) -> Level:
         """The baseline: the tokens' counts and probabilities."""
@@ -302,14 +277,33 @@ class Question:
 def lm_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, depth: int = DEPTH, shrink: tuple[float, ...] = SHRINK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; ``shrink`` has a weight for each length of contexts."""
     rows = whole_text(docs).select("doc_id", (fold("doc_id", folds) == held_out).alias("held"), "text")
-    counts, _ = materialize(unigrams(rows.filter("NOT held")), "unigrams")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    floor = math.log10(n + (v + 1))
-    buckets = int(max(1, -(-n // BUCKET_TOKENS)) * folds // max(1, folds - 1) + 1)
-    parts, gram_parts = int(-(-v // PART_TOKENS) or 1), int(1 + n // PART_GRAMS)
+    size = (rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // 6  # tokens, about
+    buckets, parts, gram_parts = 1 + size // BUCKET_TOKENS, 1 + size // (10 * PART_TOKENS), 1 + size // PART_GRAMS
     stored, _ = materialize(parcels(rows, buckets, numbered), "parcels")
     dealt = stored.repartition(buckets, "bucket")
 
+    def ask_tokens(key: tuple, table: pa.Table) -> pa.Table:
+        return messages(key[0].as_py(), Bucket(table, parts, gram_parts).ask_counts())
+
+    def count_tokens(key: tuple, table: pa.Table) -> pa.Table:
+        """Counts over all buckets, and one row more with the part's occurrences and known tokens."""
+        total: dict[bytes, int] = defaultdict(int)
+        asked = []
+        for data in table.column("data").to_pylist():
+            joined, own = unpacked(data, "u1", "<i8")
+            asked.append(zstandard.ZstdDecompressor().decompress(joined.tobytes()).split(END))
+            for word, n in zip(asked[-1], own.tolist(), strict=True):
+                total[word] += n
+        found = [packed(np.fromiter(map(total.__getitem__, words_), "<i8", len(words_))) for words_ in asked]
+        none = [None] * len(found)
+        columns = [[*table.column("part").to_pylist(), key[0].as_py()], [*table.column("bucket").to_pylist(), -1], [*found, None], [*none, sum(total.values())], [*none, sum(n > 0 for n in total.values())]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()], strict=True)], ["part", "bucket", "data", "n", "v"])
+
+    asked = dealt.groupBy("bucket").applyInArrow(ask_tokens, MESSAGES)
+    counted, _ = materialize(asked.groupBy("part").applyInArrow(count_tokens, MESSAGES + ", n long, v long"), "answers-0")
+    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    floor = math.log10(n + (v + 1))
+
     def level(bucket: Bucket, right: pa.Table, k: int) -> Level:
         """What answers say of contexts of up to k tokens."""
         of = [by_part(right.filter(pc.equal(right.column("level"), j))) for j in range(k + 1)]
@@ -318,15 +312,6 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, dep
             found = bucket.question(found).answered(of[j], shrink[j - 1])
         return found
 
-    def ask_tokens(key: tuple, table: pa.Table) -> pa.Table:
-        return messages(key[0].as_py(), Bucket(table, parts, gram_parts, words_only=True).ask_counts())
-
-    def count_tokens(questions: pa.Table, known: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        find = dict(zip(known.column("token").to_pylist(), known.column("c").to_pylist(), strict=True)).get
-        found = [packed(np.array([find(w, 0) for w in unpack(q).split(END)], "<i8")) for q in questions.column("data").to_pylist()]
-        return pa.table([questions.column("part"), questions.column("bucket"), pa.array(found, pa.binary())], ["part", "bucket", "data"])
-
     def asker(k: int):
         def ask(left: pa.Table, right: pa.Table) -> pa.Table:
             bucket = Bucket(left, parts, gram_parts)
@@ -357,10 +342,7 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, dep
         """The answers are kept, since all later levels read them; the questions go with the shuffles that carried them."""
         return materialize(df, f"answers-{k}")[0].withColumn("level", F.lit(k))
 
-    high = F.shiftrightunsigned(F.xxhash64("token"), 32)  # as part_of has it
-    known = counts.withColumn("part", F.shiftrightunsigned(high * parts, 32).cast("int"))
-    asked = dealt.groupBy("bucket").applyInArrow(ask_tokens, MESSAGES)
-    answers = [stored_level(asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(count_tokens, MESSAGES), 0)]
+    answers = [counted.filter("bucket >= 0").select("part", "bucket", "data", F.lit(0).alias("level"))]
     for k in range(1, depth + 1):
         asked = with_answers(answers).applyInArrow(asker(k), MESSAGES)
         answers.append(stored_level(asked.groupBy("part").applyInArrow(summer(k), MESSAGES), k))
