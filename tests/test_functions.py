@@ -120,3 +120,23 @@ def test_form_parameters():
     root = dom.parse('<form id="f"><input name="q"><input type="submit" name="go"><select name="s"><option value="1"><option value="2" selected></select></form>')
     assert dom.form_parameters(root, "//form[@id]", [('//input[@name="q"]', "x y")]) == "q=x y;s=2;"
     assert dom.form_parameters(root, "//form[@class]", []) is None
+
+
+def test_references_end_with_a_semicolon(spark):
+    xml = dom.to_xml(dom.parse('<title>Cut &amp;amp; off &amp&quot;&#228;&nosuch; & &ampx; &am</title><a href="/x?a=1&copy=2&amp;b=3">x</a>'))
+    row = spark.createDataFrame([(xml,)], "v string").select(text.node_text(F.col("v"), "//title/text()"), text.extract_url(F.col("v"), "//a")).first()
+    assert list(row) == ['"Cut &amp; off &amp""ä&nosuch; & &ampx; &am"', "/x?a=1&copy=2&b=3"]
+
+
+def test_titles_cut_within_a_reference(spark, tmp_path):
+    import duckdb
+
+    from webloom.queries import ORACLES, QUERIES
+
+    pages = [(k, f"http://h.test/{k}", f"<html lang=en><head><title>{t}</title></head><body><p>x</p></body></html>") for k, t in enumerate(["a &amp; b &amp", "&amp;&am", "x &lt", "y &quot;z&quot; &a", "&lt;&gt"])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name, column in (("extract_string_title", "title"),):
+        rows = QUERIES[name](spark, str(tmp_path)).select("page_id", column).collect()
+        assert sorted(map(tuple, rows)) == sorted(con.sql(f"SELECT page_id, {column} FROM ({ORACLES[name]})").fetchall()), name
