@@ -137,6 +137,6 @@ def test_titles_cut_within_a_reference(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
-    for name, column in (("extract_string_title", "title"),):
+    for name, column in (("extract_string_title", "title"), ("record_rows", "value")):
         rows = QUERIES[name](spark, str(tmp_path)).select("page_id", column).collect()
         assert sorted(map(tuple, rows)) == sorted(con.sql(f"SELECT page_id, {column} FROM ({ORACLES[name]})").fetchall()), name
