@@ -322,3 +322,12 @@ def test_a_whole_run_of_an_inferred_model(spark, tmp_path):
     assert models.read_targets(spark, f"{folder}/models").filter("kind = 'link'").count() > 2
     assert spark.read.text(f"{folder}/evaluations/s.test").count() == 3
     assert found.schedule.count() == len(urls) and found.versions.first()["version"] == 1
+
+
+def test_places_of_one_address_do_not_depend_on_the_order_of_rows(spark):
+    rows = [("h", "http://h/x", None, "c", 1, k) for k in range(50)]
+    for given in (rows, rows[::-1]):
+        pages = spark.createDataFrame(given, "site string, url string, form_params string, class_name string, depth int, page_id long").coalesce(1)
+        spilled = frontier.spill(pages, 4, "page_id").collect()
+        assert sorted((r["page_id"], r["nth"], r["in_memory"]) for r in spilled) == [(k, k + 1, k < 4) for k in range(50)]
+        assert sorted(r["page_id"] for r in frontier.top_k_by_site(pages, 3, "page_id").collect()) == [0, 1, 2]

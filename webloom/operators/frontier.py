@@ -50,8 +50,8 @@ def top_k(frontier: DataFrame, k: int) -> DataFrame:
     return frontier.orderBy(*_order()).limit(k)
 
 
-def top_k_by_site(frontier: DataFrame, k: int) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("site").orderBy(*_order()))
+def top_k_by_site(frontier: DataFrame, k: int, *ties: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("site").orderBy(*_order((*PRIORITY, *ties))))
     return frontier.withColumn("nth", nth).filter(F.col("nth") <= k)
 
 
@@ -63,9 +63,12 @@ def dedupe(new: DataFrame, visited: DataFrame) -> DataFrame:
     return fresh.select("key", "first.*")
 
 
-def spill(frontier: DataFrame, capacity: int) -> DataFrame:
-    """Marks the URLs that a memory of ``capacity`` a site holds; the rest keep their full address and their place."""
-    ranked = running(frontier, F.lit(1), [c for c in PRIORITY if c != "site"], "nth").withColumn("nth", F.col("nth").cast("int"))
+def spill(frontier: DataFrame, capacity: int, *ties: str) -> DataFrame:
+    """Marks the URLs that a memory of ``capacity`` a site holds; the rest keep their full address and their place.
+
+    ``ties``: columns that order rows of one address, where a frontier has such; without them their order is open.
+    """
+    ranked = running(frontier, F.lit(1), [*(c for c in PRIORITY if c != "site"), *ties], "nth").withColumn("nth", F.col("nth").cast("int"))
     return ranked.withColumn("in_memory", F.col("nth") <= capacity)
 
 

@@ -48,12 +48,12 @@ def frontier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(over_frontier("SELECT page_id, row_number() OVER (PARTITION BY site ORDER BY depth, class_name, url)::INTEGER AS nth, row_number() OVER (PARTITION BY site ORDER BY depth, class_name, url) <= 4 AS in_memory FROM fr"))
 def frontier_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.spill(frontier(spark, sf_dir), 4).select("page_id", "nth", "in_memory")
+    return R.spill(frontier(spark, sf_dir), 4, "page_id").select("page_id", "nth", "in_memory")
 
 
 @query(over_frontier("SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY site ORDER BY depth, class_name, url) AS n FROM fr) WHERE n <= 3"))
 def frontier_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k_by_site(frontier(spark, sf_dir), 3).select("page_id")
+    return R.top_k_by_site(frontier(spark, sf_dir), 3, "page_id").select("page_id")
 
 
 TWICE = f"""twice AS (SELECT url, {ROOT} AS site, {KEY} AS rel, page_id FROM (SELECT url, page_id FROM pages UNION ALL SELECT url || '#again', page_id FROM pages)),
