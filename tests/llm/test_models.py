@@ -179,6 +179,17 @@ def test_letters_are_the_categories_of_letters():
     assert set("".join(language.WORDS.findall(" ".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))))) == letters
 
 
+def test_words_are_counted_without_the_pattern_of_all_numbers(monkeypatch):
+    import sys
+    from collections import Counter
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    text = every + " " + "x".join(every) + " a½b a½b Ünlü"
+    assert language.count_words(text) == Counter(language.WORDS.findall(text.lower()))
+    monkeypatch.setattr(language, "WORDS", None)  # it takes six times as long; runs of letters do without
+    assert language.count_words("Der Bär, der 2 Ñandús_sah") == {"der": 2, "bär": 1, "ñandús": 1, "sah": 1}
+
+
 def test_number_signs_are_no_letters(spark, some):
     model = language.train(some)
     rows = spark.createDataFrame([(1, "½ ² ①"), (2, "Ⅷ"), (3, "12 ٣ _"), (4, "Ⅷ the house and the garden ½")], "doc_id long, text string")

@@ -44,6 +44,18 @@ STRICTNESS = 4.0
 _OTHER_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("No", "Nl"))
 #: Runs of letters (Unicode categories L*): what is alphanumeric less the numbers.
 WORDS = re.compile(rf"[^\W\d_{_OTHER_NUMBERS}]+")
+#: Runs that may hold such numbers; a pattern that doesn't name them takes a sixth of the time.
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def count_words(text: str) -> Counter:
+    """How often each of the :data:`WORDS` is in the lower-cased text; only runs that aren't all letters are cut by that pattern."""
+    counts = Counter(_RUNS.findall(text.lower()))
+    for run in [r for r in counts if not r.isalpha()]:
+        times = counts.pop(run)
+        for word in WORDS.findall(run):
+            counts[word] += times
+    return counts
 
 
 @dataclass
@@ -112,7 +124,7 @@ def train(docs: DataFrame, folds: int = FOLDS) -> Languages:
         for batch in slices(batches, 2048, 8 << 20):
             words: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words[lang].update(WORDS.findall(text.lower()))
+                words[lang].update(count_words(text))
             for lang, counts in words.items():
                 known, times = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
                 for a in range(0, len(known), RATED):
@@ -134,7 +146,7 @@ def train(docs: DataFrame, folds: int = FOLDS) -> Languages:
 
 def identify_texts(model: Languages, texts: list[str | None], table: WordTable) -> tuple[list[str], list[float], list[list[tuple[str, float]]]]:
     """Prediction, score and the chosen languages with their proportions of each text."""
-    counted = [Counter(WORDS.findall(t.lower())) if t else Counter() for t in texts]
+    counted = [count_words(t) if t else Counter() for t in texts]
     if not model.names:
         counted = [Counter()] * len(texts)
     some = [i for i, c in enumerate(counted) if c]
