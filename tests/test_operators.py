@@ -331,3 +331,28 @@ def test_places_of_one_address_do_not_depend_on_the_order_of_rows(spark):
         spilled = frontier.spill(pages, 4, "page_id").collect()
         assert sorted((r["page_id"], r["nth"], r["in_memory"]) for r in spilled) == [(k, k + 1, k < 4) for k in range(50)]
         assert sorted(r["page_id"] for r in frontier.top_k_by_site(pages, 3, "page_id").collect()) == [0, 1, 2]
+
+
+def test_pairs_of_keys_with_equal_sets(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(scoring, "CHUNK", 7)  # several chunks a set
+    monkeypatch.setattr(scoring, "PAIRS_A_TASK", 100)
+    rng = random.Random(5)
+    kinds = [set(rng.sample("abcdefghijkl", rng.randint(1, 9))) for _ in range(8)] + [set("abcdefg"), set("abcdef"), {"a", None}, {None}]
+    sets = {k: kinds[k % 12] if k % 3 else kinds[rng.randint(0, 2)] for k in range(90)}
+    members = spark.createDataFrame([(k, e) for k, s in sets.items() for e in s for _ in range(2)] + [(None, "a")], "class_id long, xpath string")
+    shared = {(a, b): len((sets[a] & sets[b]) - {None}) for a in sets for b in sets if a < b}
+    union = {(a, b): len(sets[a]) + len(sets[b]) - n for (a, b), n in shared.items()}
+    want = {p: (n, (union[p] - n) / union[p]) for p, n in shared.items() if n and (union[p] - n) / union[p] < 0.2}
+    got = [tuple(r) for r in scoring.collapse_pairs(members, "class_id", "xpath").collect()]
+    assert len(got) == len(want) and {(a, b): (n, d) for a, b, n, d in got} == want
+
+
+def test_equal_sets_are_compared_once(spark):
+    members = spark.createDataFrame([(k, e) for k in range(300) for e in "abcdef"[: 5 + k % 2]], "class_id long, xpath string")
+    for of in (scoring.collapse_pairs,):
+        plan = of(members, "class_id", "xpath")
+        assert plan.count() == 300 * 299 // 2
+        # pairs of keys come from chunks, in no join and no shuffle of their own
+        assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString(), of
