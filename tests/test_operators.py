@@ -343,6 +343,9 @@ def test_pairs_of_keys_with_equal_sets(spark, monkeypatch):
     sets = {k: kinds[k % 12] if k % 3 else kinds[rng.randint(0, 2)] for k in range(90)}
     members = spark.createDataFrame([(k, e) for k, s in sets.items() for e in s for _ in range(2)] + [(None, "a")], "class_id long, xpath string")
     shared = {(a, b): len((sets[a] & sets[b]) - {None}) for a in sets for b in sets if a < b}
+    want = {p: n for p, n in shared.items() if n and n == min(len(sets[p[0]]), len(sets[p[1]]))}
+    got = [tuple(r) for r in scoring.subset_pairs(members, "class_id", "xpath").collect()]
+    assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
     union = {(a, b): len(sets[a]) + len(sets[b]) - n for (a, b), n in shared.items()}
     want = {p: (n, (union[p] - n) / union[p]) for p, n in shared.items() if n and (union[p] - n) / union[p] < 0.2}
     got = [tuple(r) for r in scoring.collapse_pairs(members, "class_id", "xpath").collect()]
@@ -351,7 +354,7 @@ def test_pairs_of_keys_with_equal_sets(spark, monkeypatch):
 
 def test_equal_sets_are_compared_once(spark):
     members = spark.createDataFrame([(k, e) for k in range(300) for e in "abcdef"[: 5 + k % 2]], "class_id long, xpath string")
-    for of in (scoring.collapse_pairs,):
+    for of in (scoring.subset_pairs, scoring.collapse_pairs):
         plan = of(members, "class_id", "xpath")
         assert plan.count() == 300 * 299 // 2
         # pairs of keys come from chunks, in no join and no shuffle of their own
