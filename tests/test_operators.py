@@ -359,3 +359,15 @@ def test_equal_sets_are_compared_once(spark):
         assert plan.count() == 300 * 299 // 2
         # pairs of keys come from chunks, in no join and no shuffle of their own
         assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString(), of
+
+
+def test_links_of_a_page_do_not_carry_its_list(spark):
+    xml = "<html><body>" + "".join(f'<ul><li><a href="/p{k}">x</a></li></ul>' for k in range(500)) + '<p><a href="http://o.test/">o</a><a href="/q">q</a></p></body></html>'
+    pages = spark.createDataFrame([("http://h.test", "http://h.test/", "home", xml), ("http://h.test", "http://h.test/i", "item", xml), ("http://h.test", "http://h.test/n", "home", None)], "site string, url string, class_name string, xml string")
+    links = [("home", "//li/a", "item"), ("home", "//p/a", "other"), ("item", "//p/a", "home"), ("item", "//b", "none")]
+    rows = traverse.out_links(pages, links)
+    got = sorted(tuple(r) for r in rows.select("page", "xpath", "pos", "link", "dest").collect())
+    home = "http://h.test/"
+    assert got == sorted([(home, "//li/a", k, f"http://h.test/p{k}", "item") for k in range(500)] + [(home, "//p/a", 1, "http://h.test/q", "other"), (home + "i", "//p/a", 1, "http://h.test/q", "home")])
+    # from a page to its links in one step: a second one had the page's whole list in every row
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1

@@ -38,11 +38,18 @@ def out_links(pages: DataFrame, links: list[tuple[str, str, str]], base: str = "
 
     ``links``: (class, xpath, destination); ``base``: resolve against the ``site`` root or the ``page``.
     """
-    found = [F.struct(F.lit(x).alias("xpath"), F.lit(d).alias("dest"), F.when(F.col("class_name") == c, text.hrefs(F.col("xml"), x)).alias("hrefs")) for c, x, d in links]
-    if not found:
+    if not links:
         return pages.select("site", F.col("url").alias("page"), "class_name", F.lit("").alias("xpath"), F.lit(0).alias("pos"), F.lit("").alias("link"), F.lit("").alias("dest")).limit(0)
-    rows = pages.select("site", F.col("url").alias("page"), "class_name", F.explode(F.array(*found)).alias("f")).filter(F.col("f.hrefs").isNotNull())
-    rows = rows.select("site", "page", "class_name", "f.xpath", "f.dest", F.posexplode("f.hrefs").alias("pos", "href"))
+
+    def found(k: int, c: str, x: str) -> Column:
+        hrefs = F.when(F.col("class_name") == c, text.hrefs(F.col("xml"), x))
+        return F.coalesce(F.transform(hrefs, lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), h.alias("href"))), F.array().cast("array<struct<k:int,pos:int,href:string>>"))
+
+    # one step from a page to its links: a row that kept the page's list beside each link would grow with the square of the list
+    every = F.flatten(F.array(*[found(k, c, x) for k, (c, x, _) in enumerate(links)]))
+    rows = pages.select("site", F.col("url").alias("page"), "class_name", F.inline(every))
+    named = [F.array(*[F.lit(link[i]) for link in links])[F.col("k")].alias(n) for i, n in ((1, "xpath"), (2, "dest"))]
+    rows = rows.select("site", "page", "class_name", *named, "pos", "href")
     at = F.col("site") if base == "site" else F.col("page")
     return rows.filter(urls.is_valid_url(F.col("site"), F.col("href"))).select("site", "page", "class_name", "xpath", "pos", urls.absolute_url(at, F.col("href")).alias("link"), "dest").filter("link <> ''")
 
