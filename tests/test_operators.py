@@ -371,3 +371,29 @@ def test_links_of_a_page_do_not_carry_its_list(spark):
     assert got == sorted([(home, "//li/a", k, f"http://h.test/p{k}", "item") for k in range(500)] + [(home, "//p/a", 1, "http://h.test/q", "other"), (home + "i", "//p/a", 1, "http://h.test/q", "home")])
     # from a page to its links in one step: a second one had the page's whole list in every row
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
+def test_a_mirror_has_the_saved_pages_in_few_files(spark, tmp_path):
+    from webloom.sources import pages as P
+
+    rows = [(f"http://s{k % 2}.test", f"http://s{k % 2}.test/a/{k}?q={k}", f"<h1>é{k}</h1>\n") for k in range(60)]
+    pages = spark.createDataFrame([*rows, *rows[:5]], "site string, url string, html string")
+    P.write_mirror(pages, str(tmp_path / "mirror"))
+    P.write_saved(pages, str(tmp_path / "files"))
+    got = sorted((r["site"], r["file"], r["html"].rstrip()) for r in P.read_mirror(spark, str(tmp_path / "mirror")).collect())
+    assert got == sorted((r["site"], r["file"], r["html"].rstrip()) for r in P.read_saved(spark, str(tmp_path / "files")).collect()) and len(got) == 60
+    assert len(list((tmp_path / "mirror").rglob("*.parquet"))) <= 8  # not one a page
+
+
+def test_classes_with_one_path_share_a_column(spark):
+    classes = [f"s{k}\nhome" for k in range(40)]
+    pages = spark.createDataFrame([("http://h.test", f"http://h.test/{k}", c, f'<p><a href="/{k}">t{k}</a></p>') for k, c in enumerate(classes)], "site string, url string, class_name string, xml string")
+    found = traverse.out_links(pages, [(c, "//p/a", f"d{k}") for k, c in enumerate(classes)])
+    assert sorted((r["class_name"], r["link"], r["dest"]) for r in found.collect()) == sorted((c, f"http://h.test/{k}", f"d{k}") for k, c in enumerate(classes))
+    made = traverse.records(pages, [(c, "string", "//p/a/text()") for c in classes])
+    assert sorted((r["class_name"], r["record"][0]) for r in made.collect()) == sorted((c, f"t{k}") for k, c in enumerate(classes))
+    forms = pages.withColumn("html", F.lit('<form id="f"><input name="q" value="1"></form>'))
+    led = traverse.form_links(forms, [(c, "//form[@id]", f"d{k}") for k, c in enumerate(classes)])
+    assert sorted((r["class_name"], r["dest"], r["form_params"]) for r in led.collect()) == sorted((c, f"d{k}", "q=1;") for k, c in enumerate(classes))
+    for plan, what in ((found, "XPathListEvaluator"), (made, "XPathListEvaluator"), (led, "MapInArrow")):
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count(what) < 8, what  # not one a class

@@ -53,8 +53,11 @@ def write_inferred(rows: DataFrame, folder: str, save_pages: list[str]) -> None:
     M.write_site_lines(lines, f"{folder}/classification", "value")
 
 
-def run(spark: SparkSession, settings: list[dict], store: DataFrame, folder: str, versions: DataFrame | None = None, now_ms: int = 0) -> Run:
-    """``settings``: a dict for each site, see :class:`webloom.sources.models.Seed`; ``store``: the page store; ``versions``: those of earlier runs."""
+def run(spark: SparkSession, settings: list[dict], store: DataFrame, folder: str, versions: DataFrame | None = None, now_ms: int = 0, page_files: bool = False) -> Run:
+    """``settings``: a dict for each site, see :class:`webloom.sources.models.Seed`; ``store``: the page store; ``versions``: those of earlier runs.
+
+    Saved pages are rows of a store (``mirror``); ``page_files``: also a file for each (``files``).
+    """
     sites = [M.Seed(**s) for s in settings]
     inferred = [s for s in sites if s.model_pages > 0]
     target = Grown(spark, "site string, ord int, " + ", ".join(f"{c} string" for c in M.TARGET), "targets")
@@ -93,7 +96,9 @@ def run(spark: SparkSession, settings: list[dict], store: DataFrame, folder: str
     headers = M.record_header(M.target_data(rows.withColumn("src", F.concat_ws("\n", "site", "src"))))
     headers.select(F.split("class_name", "\n")[0].alias("site"), F.split("class_name", "\n")[1].alias("class_name"), "header").write.mode("overwrite").parquet(f"{folder}/headers")
     M.url_class_index(tables["url_class"]).write.mode("overwrite").partitionBy("site").text(f"{folder}/index")
-    P.write_saved(tables["pages"], f"{folder}/mirror")
+    P.write_mirror(tables["pages"], f"{folder}/mirror")
+    if page_files:
+        P.write_saved(tables["pages"], f"{folder}/files")
     waits = spark.createDataFrame([(s.site, s.wait_ms, s.random_pause_ms) for s in sites], "site string, wait_ms int, random_pause_ms int")
     schedule = fr.politeness(tables["url_class"].withColumn("nth", F.lit(0)).join(waits, "site")).select("site", "url", "scheduled_ms")
     return Run(found, rows, tables["url_class"], tables["records"], tables["failed"], schedule)

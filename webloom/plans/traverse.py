@@ -1,7 +1,7 @@
 """Guided traversal: follow only the links that a model names, label each URL with its class, extract records.
 
 A crawl is a loop of rounds, until the frontier is empty. A round takes each site's best URLs within the site's budget,
-joins the page store, evaluates the model's paths (one column a path: models have tens), and puts links that are new into
+joins the page store, evaluates the model's paths (one column a path, whatever classes have it: models have tens), and puts links that are new into
 the frontier. What rounds find is appended to tables in the shared folder; only what is left of the frontier is written
 anew. The model is small and is read by the driver to make the columns.
 
@@ -41,47 +41,59 @@ def out_links(pages: DataFrame, links: list[tuple[str, str, str]], base: str = "
     if not links:
         return pages.select("site", F.col("url").alias("page"), "class_name", F.lit("").alias("xpath"), F.lit(0).alias("pos"), F.lit("").alias("link"), F.lit("").alias("dest")).limit(0)
 
-    def found(k: int, c: str, x: str) -> Column:
-        hrefs = F.when(F.col("class_name") == c, text.hrefs(F.col("xml"), x))
+    paths = list(dict.fromkeys(x for _, x, _ in links))
+
+    def found(k: int, path: str) -> Column:
+        hrefs = F.when(F.col("class_name").isin(*{c for c, x, _ in links if x == path}), text.hrefs(F.col("xml"), path))
         return F.coalesce(F.transform(hrefs, lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), h.alias("href"))), F.array().cast("array<struct<k:int,pos:int,href:string>>"))
 
     # one step from a page to its links: a row that kept the page's list beside each link would grow with the square of the list
-    every = F.flatten(F.array(*[found(k, c, x) for k, (c, x, _) in enumerate(links)]))
+    every = F.flatten(F.array(*[found(k, x) for k, x in enumerate(paths)]))
     rows = pages.select("site", F.col("url").alias("page"), "class_name", F.inline(every))
-    named = [F.array(*[F.lit(link[i]) for link in links])[F.col("k")].alias(n) for i, n in ((1, "xpath"), (2, "dest"))]
-    rows = rows.select("site", "page", "class_name", *named, "pos", "href")
+    model = pages.sparkSession.createDataFrame([(c, paths.index(x), x, d) for c, x, d in links], "class_name string, k int, xpath string, dest string")
+    rows = rows.join(F.broadcast(model), ["class_name", "k"])  # as small as the driver's list
     at = F.col("site") if base == "site" else F.col("page")
     return rows.filter(urls.is_valid_url(F.col("site"), F.col("href"))).select("site", "page", "class_name", "xpath", "pos", urls.absolute_url(at, F.col("href")).alias("link"), "dest").filter("link <> ''")
 
 
 def records(pages: DataFrame, data: list[tuple[str, str, str]]) -> DataFrame:
     """(site, class_name, url, record) of pages whose class has data; ``data``: (class, kind, xpath) in record order."""
-    made: dict[str, list] = {}
+    fields: dict[str, list[tuple[str, str]]] = {}
     for c, kind, path in data:
-        column = text.extract(kind, F.col("xml"), path)
-        if column is not None:
-            made.setdefault(c, []).append(column)
+        if text.extract(kind, F.col("xml"), path) is not None:
+            fields.setdefault(c, []).append((kind, path))
+    classes: dict[tuple, list[str]] = {}  # classes with the same fields share columns
+    for c, its in fields.items():
+        classes.setdefault(tuple(its), []).append(c)
     record = F.lit(None).cast("array<string>")
-    for c, columns in made.items():
-        record = F.when(F.col("class_name") == c, F.array(*columns)).otherwise(record)
+    for its, names in classes.items():
+        record = F.when(F.col("class_name").isin(*names), F.array(*[text.extract(kind, F.col("xml"), path) for kind, path in its])).otherwise(record)
     return pages.select("site", "class_name", "url", record.alias("record")).filter(F.col("record").isNotNull())
 
 
+def by_path(rows: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """Classes by path: those of sites with the same model share a column, or a pass over the pages."""
+    found: dict[str, list[str]] = {}
+    for c, path in dict.fromkeys(rows):
+        found.setdefault(path, []).append(c)
+    return found
+
+
 def answer(requests: DataFrame, store: DataFrame, forms: list[tuple[str, str]] = ()) -> DataFrame:
     """Requests with code, html and ``page``, the address that the page is known by.
 
     ``forms``: (class, path of its form).
     """
     own = F.lit(None).cast("string")
-    for c, path in forms:
-        own = F.when(F.col("class_name") == c, path).otherwise(own)
+    for path, classes in by_path(forms).items():
+        own = F.when(F.col("class_name").isin(*classes), path).otherwise(own)
     # a form's parameters are part of the address until here
     marked = dispatch(requests.withColumns({"asked": F.col("url"), "class_form": own, "url": F.concat("url", F.coalesce(F.concat(F.lit(">"), "form_params"), F.lit("")))}))
     marked = marked.withColumns({"url": F.col("asked"), "form_params": F.when(F.col("mode") == "post", F.col("params"))}).drop("asked", "address", "params")
     found = fetch(marked.drop("html", "final_url", "code"), store)
     if forms:
         first = stored(found.filter("mode = 'get_post'"), "form-pages")
-        rows = [form_parameters(first.filter(F.col("class_name") == c), path, [], "site", "url", "class_name") for c, path in forms]
+        rows = [form_parameters(first.filter(F.col("class_name").isin(*classes)), path, [], "site", "url", "class_name") for path, classes in by_path(forms).items()]
         params = rows[0]
         for r in rows[1:]:
             params = params.unionByName(r)
@@ -95,11 +107,13 @@ def answer(requests: DataFrame, store: DataFrame, forms: list[tuple[str, str]] =
 
 def form_links(pages: DataFrame, links: list[tuple[str, str, str]]) -> DataFrame:
     """(site, class_name, xpath, url, form_params, dest) of the pages' forms; ``links``: (class, path, destination)."""
-    found = pages.select("site", "url", "class_name").limit(0).select("site", "class_name", F.lit("").alias("xpath"), "url", F.lit("").alias("form_params"), F.lit("").alias("dest"))
-    for c, path, dest in links:
-        rows = form_parameters(pages.filter(F.col("class_name") == c), path, [], "site", "url", "class_name")
-        found = found.unionByName(rows.select("site", "class_name", F.lit(path).alias("xpath"), "url", F.col("params").alias("form_params"), F.lit(dest).alias("dest")))
-    return found
+    out = pages.select("site", "url", "class_name").limit(0).select("site", "class_name", F.lit("").alias("xpath"), "url", F.lit("").alias("form_params"), F.lit("").alias("dest"))
+    for path, classes in by_path([(c, x) for c, x, _ in links]).items():
+        rows = form_parameters(pages.filter(F.col("class_name").isin(*classes)), path, [], "site", "url", "class_name")
+        leads = pages.sparkSession.createDataFrame([(c, d) for c, x, d in links if x == path], "class_name string, dest string")
+        rows = rows.join(F.broadcast(leads), "class_name")  # as small as the driver's list
+        out = out.unionByName(rows.select("site", "class_name", F.lit(path).alias("xpath"), "url", F.col("params").alias("form_params"), "dest"))
+    return out
 
 
 def crawl(

@@ -286,7 +286,7 @@ def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.split("value", "\t")
     index = spark.read.text(f"{folder}/out/index").select(F.col("site").cast("string").alias("site"), cells[0].alias("url"), cells[1].alias("class_name"), cells[2].alias("file"))
     records = spark.read.text(f"{folder}/out/records").select(F.col("site").cast("string").alias("site"), cells[0].alias("url"), cells[1].alias("record"))
-    saved = P.read_saved(spark, f"{folder}/out/mirror").select("site", "file", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
+    saved = P.read_mirror(spark, f"{folder}/out/mirror").select("site", "file", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
     return index.join(records, ["site", "url"], "left").join(saved, ["site", "file"]).select("site", "class_name", "url", "record", "heading")
 
 
