@@ -306,6 +306,57 @@ def test_scores_agree_with_walking_the_contexts(spark, some, small, monkeypatch)
         assert sum(chance(context, w) for w in [*vocabulary, "unknown"]) == pytest.approx(1)
 
 
+def test_keys_in_order():
+    rng = np.random.default_rng(3)
+    for most in (0, 5, 1 << 40, (1 << 62) - 1):  # the last doesn't fit beside a place
+        keys = rng.integers(0, most + 1, 1000)
+        assert suffix_tree.in_order(keys, most).tolist() == np.argsort(keys, kind="stable").tolist()
+        for found, first, inverse in (suffix_tree.distinct(keys), suffix_tree.distinct(keys, most)):
+            assert found.tolist() == np.unique(keys).tolist() == keys[first].tolist()
+            assert (found[inverse] == keys).all()
+
+
+def test_a_part_tests_the_contexts_that_it_holds_whole():
+    # two contexts in one slice each, and a slice of a third; the second question repeats the first
+    n = np.array([10, 4000, suffix_tree.SPLIT])
+    asked = suffix_tree.packed(np.array([1, 2, 3], np.uint64), n, np.array([1, 1, 1], np.int32), np.array([7, 8, 9], np.uint32), np.array([5, 1, 40], np.int32), np.array([40, 2, 40], np.uint8))
+    answers = suffix_tree.sum_grams([asked, asked], 1.0)
+    assert answers[0] == answers[1]
+    gain, often, count = suffix_tree.unpacked(answers[0], *suffix_tree.ANSWER)
+    assert count.tolist() == often.tolist() == [10, 2, 80]
+    assert gain.tolist()[:2] == [suffix_tree.KEPT, -suffix_tree.KEPT]
+    p = 10 ** (-40 / suffix_tree.STEPS)
+    assert gain[2] == pytest.approx(80 * math.log((80 + p) / ((suffix_tree.SPLIT + 1) * p)))
+
+
+def test_a_bucket_needs_few_bytes_a_token(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(suffix_tree, "TaskContext", Task)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 400) % 30_000) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([k % 7 == 2 for k in range(1000)]), pa.array(texts)], ["doc_id", "held", "text"])
+    rows = pa.Table.from_batches(suffix_tree.gather(iter([batch]), 1))
+    own = suffix_tree.unpacked(rows.column("data")[0].as_py(), "u1", "<i8")[1]
+    state = rows.slice(1)
+    assert rows.column("part").to_pylist() == [0, -1]
+    tracemalloc.start()
+    bucket = suffix_tree.Bucket(state, 1, 1)
+    level = bucket.root({0: suffix_tree.packed(own)}, int(own.sum()), int((own > 0).sum()))
+    answer = suffix_tree.sum_grams([data for _, data in bucket.question(level).messages()], 200.0)[0]
+    level = bucket.question(level).answered({0: answer}, 200.0)
+    list(bucket.question(level).messages())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * len(bucket.symbols)
+
+
 def test_the_tree_beats_the_baseline_and_grows(spark):
     import os
 

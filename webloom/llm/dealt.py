@@ -7,8 +7,6 @@ the order of the keys comes back. A bucket makes its question again to read the
 
 from __future__ import annotations
 
-import itertools
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,22 +58,6 @@ def deal(rows: DataFrame, buckets: int) -> DataFrame:
     return parcels(rows, buckets).repartition(buckets, "bucket")
 
 
-def numbered(texts: list[list[bytes]]) -> bytes:
-    """Texts as numbers of their distinct words, and these words, compressed; :func:`numbers` reads them."""
-    index: dict[bytes, int] = defaultdict(itertools.count().__next__)
-    found = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(texts)), "<u4")
-    sizes = np.fromiter(map(len, texts), "<u4", len(texts))
-    known = np.frombuffer(zstandard.ZstdCompressor(level=3).compress(END.join(index)), np.uint8)
-    return packed(sizes, found, known)
-
-
-def numbers(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words of a parcel, the numbers of words in each text, and all texts' words by number."""
-    sizes, found, known = unpacked(blob, "<u4", "<u4", "u1")
-    joined = zstandard.ZstdDecompressor().decompress(known.tobytes())
-    return (joined.split(END) if joined else []), sizes.astype(np.int64), found.astype(np.int64)
-
-
 def lines(table: pa.Table) -> Iterator[list[bytes]]:
     """The words of each text of a bucket's parcels, in order."""
     unpack = zstandard.ZstdDecompressor().decompress
