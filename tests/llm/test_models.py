@@ -306,6 +306,52 @@ def test_scores_agree_with_walking_the_contexts(spark, some, small, monkeypatch)
         assert sum(chance(context, w) for w in [*vocabulary, "unknown"]) == pytest.approx(1)
 
 
+def test_features_are_counted_in_the_workers():
+    import pyarrow as pa
+
+    rows = [(10, 1, [3, 5, 9], [1, 2, 4]), (11, 0, [5], [7]), (12, 0, [], []), (13, 1, [9, 70_000], [1, 1]), (14, 0, [3, 9], [5, 6])]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "label", "f", "n"])
+    batches = [whole.slice(0, 2), whole.slice(2)]  # the second doesn't begin where its lists' values do
+    want = defaultdict(lambda: [0, 0, 0])
+    for _, y, fs, ns in rows:
+        for f, n in zip(fs, ns, strict=True):
+            want[f] = [want[f][0] + n * y, want[f][1] + n * (1 - y), want[f][2] + 1]
+    (got,) = toxicity.count(iter(batches))
+    assert {r["f"]: [r["p"], r["q"], r["rows"]] for r in got.to_pylist()} == want
+    kept = np.zeros(1 << toxicity.BITS, bool)
+    kept[[5, 9]] = True
+    chosen = [tuple(r.values()) for b in toxicity.only(iter(batches), kept) for r in b.to_pylist()]
+    assert chosen == [(i, f, n) for i, _, fs, ns in rows for f, n in zip(fs, ns, strict=True) if f in (5, 9)]
+
+
+def test_what_a_worker_keeps_goes_with_the_next_stage():
+    from webloom.llm import common
+
+    common.held(("here",), dict)
+    common.release()
+    assert not common._held
+    first, second = common.held(("a",), list), common.held(("b",), list)
+    assert list(common._held) == [("b",)] and first is not second is common.held(("b",), dict)
+    common.release()
+
+
+def test_texts_are_read_in_small_batches(spark):
+    from webloom.llm.common import ROWS_READ, small_batches
+
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "4096")
+        small_batches(spark)
+        assert spark.conf.get(key) == str(ROWS_READ)
+        spark.conf.set(key, "2000")  # one's own stays
+        small_batches(spark)
+        assert spark.conf.get(key) == "2000"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_keys_in_order():
     rng = np.random.default_rng(3)
     for most in (0, 5, 1 << 40, (1 << 62) - 1):  # the last doesn't fit beside a place

@@ -16,7 +16,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import release, slices
 
 #: Rows and bytes of text of a parcel.
 PARCEL_ROWS, PARCEL = 2048, 1 << 20
@@ -43,6 +43,7 @@ def parcels(rows: DataFrame, buckets: int, pack: Callable[[list[list[bytes]]], b
     schema = ", ".join(["bucket int", *(f"{f.name} array<{f.dataType.simpleString()}>" for f in others), "blob binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         task = TaskContext.get().partitionId()
         for place, batch in enumerate(slices(batches, PARCEL_ROWS, PARCEL)):
             blob = pack([words(t) for t in batch.column("text").to_pylist()])

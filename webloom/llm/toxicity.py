@@ -27,11 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chargrams import WordTable, grams
-from .common import documents, fold, held, materialize, slices, whole_text
+from .common import documents, fold, held, materialize, release, slices, whole_text
 
 SIZES = (4, 5, 6)
 BITS = 19
@@ -68,6 +69,38 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(grams(words, SIZES, BITS)[0], return_counts=True) if words else (np.zeros(0, np.int64),) * 2
 
 
+def flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of all rows of a batch, their values, and what ``column`` has beside each."""
+    sizes = pc.list_value_length(batch.column("f")).to_numpy(zero_copy_only=False)
+    f, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("f", "n"))
+    return f, n, np.repeat(batch.column(column).to_numpy(zero_copy_only=False), sizes)
+
+
+#: Rows of counts that a task hands on at once.
+COUNTS = 1 << 16
+
+
+def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's features: the sum of their values in toxic rows and in others, and the number of rows."""
+    sums = np.zeros((3, 1 << BITS), np.int64)
+    for batch in batches:
+        f, n, label = flat(batch, "label")
+        for total, weights in zip(sums, (n * label, n * (1 - label), None), strict=True):
+            total += np.bincount(f, weights, 1 << BITS).astype(np.int64)
+    used = np.nonzero(sums[2])[0]
+    for at in range(0, len(used), COUNTS):
+        part = used[at : at + COUNTS]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(total[part]) for total in sums)], ["f", "p", "q", "rows"])
+
+
+def only(batches: Iterator[pa.RecordBatch], kept: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """doc_id, f and n of the features that are kept."""
+    for batch in batches:
+        f, n, ids = flat(batch, "doc_id")
+        here = kept[f]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[here]), pa.array(f[here]), pa.array(n[here])], ["doc_id", "f", "n"])
+
+
 def fit(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, count: np.ndarray, ratio: np.ndarray) -> Classifier:
     """Logistic regression on the scaled values, by adaptive gradient steps over all rows."""
     used, column = np.unique(feature, return_inverse=True)
@@ -98,6 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("doc_id", F.col("first.text").alias("text"), "label")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches):
             for i, text, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True):
                 f, n = features(text)
@@ -108,16 +142,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     totals = {y: n for y, n in spread_rows.groupBy("label").count().collect()}
     if len(totals) < 2:
         return Classifier(np.zeros(1 << BITS, np.float32), {0: -1000.0, 1: 1000.0}.get(next(iter(totals), 0), -1000.0))
-    each = spread_rows.select("label", F.explode(F.arrays_zip("f", "n")).alias("x")).select("label", F.col("x.f").alias("f"), F.col("x.n").alias("n"))
-    counts = each.groupBy("f").agg(F.sum(F.col("n") * F.col("label")).alias("p"), F.sum(F.col("n") * (1 - F.col("label"))).alias("q"), F.count("*").alias("rows"))
+    counts = spread_rows.mapInArrow(count, "f int, p long, q long, rows long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("p", "q", "rows")))
     table = counts.filter(F.col("rows") >= LEAST_ROWS).toArrow().to_pandas()  # at most 2**BITS rows
     p, q, ratio = table["p"].to_numpy(float), table["q"].to_numpy(float), np.zeros(1 << BITS)
     size = 1 << BITS
     log = np.log((p + SMOOTHING) / (p.sum() + SMOOTHING * size)) - np.log((q + SMOOTHING) / (q.sum() + SMOOTHING * size))
     keep = np.abs(log) >= LEAST_RATIO
     ratio[table["f"].to_numpy()[keep]] = log[keep]
-    kept = spark.createDataFrame([(int(f),) for f in np.nonzero(ratio)[0]], "f int")
-    small = spread_rows.select("doc_id", F.explode(F.arrays_zip("f", "n")).alias("x")).select("doc_id", F.col("x.f").alias("f"), F.col("x.n").alias("n")).join(F.broadcast(kept), "f").toArrow().to_pandas()  # kept features of the sample's rows
+    shared = spark.sparkContext.broadcast(ratio != 0)
+    small = spread_rows.mapInArrow(lambda batches: only(batches, shared.value), "doc_id long, f int, n int").toArrow().to_pandas()  # kept features of the sample's rows
     ids = spread_rows.select("doc_id", "label").toArrow().to_pandas()
     ids = ids.sort_values("doc_id").reset_index(drop=True)
     row = ids["doc_id"].searchsorted(small["doc_id"]).astype(np.int64)
